@@ -22,3 +22,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
