@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import random
-from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import SPACE, fresh_path, materialize
 
-WEIGHTS, MOST, CHUNK = (5, 2, 1), 3, 2048
+WEIGHTS, MOST, CHUNK, LANDING = (5, 2, 1), 3, 2048, 12
 
 
 def word_count(text: str = "text"):
@@ -60,8 +60,8 @@ def flight(sizes: list[float], chances: list[float], rand: random.Random, land:
     """Cube method with two balancing totals, the sizes and the number of units.
 
     Three open units at a time move along the null space of the two totals until one is 0 or 1; what cannot move stays
-    open. Units come largest first, so that small ones are left. land: the last two take the values that change the sum
-    of sizes least.
+    open. land: LANDING units spread over the sizes wait for the end; with what the others left open they are the landing
+    problem, whose outcome is the one that misses the totals least.
     """
     p = list(chances)
     held: list[int] = []
@@ -81,18 +81,21 @@ def flight(sizes: list[float], chances: list[float], rand: random.Random, land:
                 left.append(i)
         return left
 
-    for i in range(len(p)):
-        if not 0 < p[i] < 1:
-            continue
+    open_ = sorted((i for i in range(len(p)) if 0 < p[i] < 1), key=lambda i: -sizes[i])
+    wait = open_[:: max(1, len(open_) // LANDING)][-LANDING:] if land else []
+    for i in sorted(set(open_) - set(wait)):
         held.append(i)
         if len(held) == 3:
             a, b, c = (sizes[k] for k in held)
             u = [b - c, c - a, a - b]
             held = step(held, u if any(u) else [1.0, -1.0, 0.0])
     if land:
-        ends = [[(i, v) for v in (0.0, 1.0)] for i in held]
-        for i, v in min(product(*ends), key=lambda end: abs(sum(sizes[i] * (v - p[i]) for i, v in end))):
-            p[i] = v
+        held += wait
+        size, chance = np.array([sizes[i] for i in held]), np.array([p[i] for i in held])
+        ends = np.arange(1 << len(held))[:, None] >> np.arange(len(held)) & 1
+        missed = np.abs((ends - chance) @ size) + 0.01 * size.mean() * np.abs((ends - chance).sum(axis=1)) if held else []
+        for i, v in zip(held, ends[np.argmin(missed)] if held else [], strict=True):
+            p[i] = float(v)
     return p
 
 
