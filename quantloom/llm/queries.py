@@ -36,3 +36,33 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.mixing import mixture
 
     return mixture(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+ORACLE["op3_warc_normaliser"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
+     f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN d.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id > f.first THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON d.digest = f.digest
+"""
+
+#: Contract: one further conversation whose texts are control strings.
+CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.chat import formatted, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return read_back(formatted(rows.union(extra))).drop("n_tokens")
