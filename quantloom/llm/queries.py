@@ -73,3 +73,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.line_dedup import line_removals
+
+    return line_removals(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+     n AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM l),
+     u AS (SELECT doc_id, i - 1 AS unit_no, length(parts[i]) AS n_chars,
+                  sum(length(parts[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(parts[i]) - 1 AS start,
+                  trim(regexp_replace(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g')) AS plain
+           FROM n),
+     r AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit_no) OVER w AS kept_unit_no, row_number() OVER w AS k
+           FROM u WHERE length(plain) >= 20 WINDOW w AS (PARTITION BY plain ORDER BY doc_id, unit_no))
+SELECT doc_id, CAST(unit_no AS INTEGER) AS unit_no, CAST(start AS BIGINT) AS start, CAST(n_chars AS BIGINT) AS n_chars,
+       kept_doc_id, CAST(kept_unit_no AS INTEGER) AS kept_unit_no
+FROM r WHERE k > 1
+"""

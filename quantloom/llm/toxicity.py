@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash, of at most so many bytes each.
-TRAIN_ROWS, TRAIN_BYTES = 6000, 100_000
-LEAST_DOCS, LEAST_Z, WORDS_MOST = 3, 3.0, 4000
+TRAIN_ROWS, TRAIN_BYTES = 16_000, 100_000
+LEAST_DOCS, LEAST_Z, WORDS_MOST = 3, 4.0, 4000
 STEPS, RATE, SPARSITY, THRESHOLD = 250, 0.1, 2e-4, 0.3
 #: A-Z lower-cased, sentence ends as line feeds, other ASCII but letters and digits as spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".!?\n" else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
