@@ -3,12 +3,12 @@
 Every document's shingle set gets a signature of SLOTS min-hashes. TREES orders of the signature sort the documents; those
 that share a prefix of at least MIN_DEPTH hashes in an order form a region. Regions of more than REGION rows are split by
 longer prefixes, down to MAX_DEPTH, and what is still larger is dealt into blocks (adaptive depth). Inside a region the
-neighbours are screened by one bit of each hash, and links are confirmed on the full sets:
+neighbours are screened by two bits of each hash, and links are confirmed on the full sets:
 
 1. each document proposes its most similar neighbour and a common hub; the pairs are confirmed by joining full sets;
-2. neighbours that are still in different components propose again, once for each other component;
-3. what remains goes, with full sets, to the region itself, which confirms every pair between components that passes the
-   screen; in dealt regions the documents outside the largest component meet all blocks. No pair is capped.
+2. for ROUNDS rounds, each document with neighbours in other components proposes the most similar one not yet tried;
+3. then every pair of neighbours in different components that was not tried is screened by the whole signatures and
+   confirmed; in dealt regions the documents outside the largest component meet all blocks. No pair is capped.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from quantloom.llm.common import U64, binary_column, components, discard, materi
 from quantloom.llm.shingles import shingle_sets
 
 TREES, MIN_DEPTH, MAX_DEPTH, SLOTS, REGION = 16, 3, 6, 128, 512
-#: Pairs of Jaccard similarity s agree in (1 + s) / 2 of the bits; 4.5 standard deviations below the threshold pass.
+ROUNDS = 2
+#: Pairs of Jaccard similarity s agree in s + (1 - s) / 4 of the bit pairs; 4.5 standard deviations below the threshold pass.
 SCREEN_DEVIATIONS = 4.5
+BITS = ("b0", "b1", "b2", "b3")
 _WHAT = mixed(np.arange(1, SLOTS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 MULTIPLIERS = (_WHAT >> U64(32)).astype(np.uint32) | np.uint32(1)
 ADDENDS = _WHAT.astype(np.uint32)
@@ -81,15 +83,16 @@ def forest_rows(reps: DataFrame) -> DataFrame:
         for batch in batches:
             rep, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, SLOTS)
-            bits = np.packbits(((sig * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(bool), axis=1).view(np.int64)
+            code = (sig * np.uint32(0x9E3779B1)) >> np.uint32(30)
+            bits = np.hstack([np.packbits(((code >> np.uint32(k)) & np.uint32(1)).astype(bool), axis=1).view(np.int64) for k in (0, 1)])
             for t in range(TREES):
                 own = sig[:, t * MAX_DEPTH : (t + 1) * MAX_DEPTH]
                 key = np.full(len(rep), t + 1, U64)
                 for k in range(MIN_DEPTH):
                     key = mixed(key * U64(0x9E3779B97F4A7C15) + own[:, k])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), *(own[:, k].copy().view(np.int32) for k in range(MIN_DEPTH, MAX_DEPTH)), rep, n, bits[:, 0], bits[:, 1])], ["region", *more, "rep", "n", "b0", "b1"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), *(own[:, k].copy().view(np.int32) for k in range(MIN_DEPTH, MAX_DEPTH)), rep, n, *bits.T)], ["region", *more, "rep", "n", *BITS])
 
-    return reps.select("rep", "n", "signature").mapInArrow(scan, f"region long, {', '.join(f'{d} int' for d in more)}, rep long, n long, b0 long, b1 long")
+    return reps.select("rep", "n", "signature").mapInArrow(scan, f"region long, {', '.join(f'{d} int' for d in more)}, rep long, n long, {', '.join(f'{b} long' for b in BITS)}")
 
 
 def adaptive_regions(rows: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def adaptive_regions(rows: DataFrame) -> DataFrame:
             rows = rows.withColumn("parts", F.coalesce(F.ceil(F.col("rows_in") / REGION), F.lit(1)).cast("int"))
             rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         rows = rows.drop("rows_in")
-    return rows.select("region", "block", "parts", "rep", "n", "b0", "b1")
+    return rows.select("region", "block", "parts", "rep", "n", *BITS)
 
 
 def region_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -129,13 +132,18 @@ def region_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def least_agreeing(similarity: float, codes: int) -> float:
+    """In how many of the SLOTS codes, of so many values, a pair of the threshold's similarity agrees at least."""
+    share = similarity + (1 - similarity) / codes
+    return SLOTS * share - SCREEN_DEVIATIONS * (SLOTS * share * (1 - share)) ** 0.5
+
+
 def passing(t: pa.Table, similarity: float, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs (i < j) of the same run that pass the screen, and in how many bits they agree; apart: of two components."""
-    region, block, rep, n, b0, b1 = (np.asarray(t.column(c)) for c in ("region", "block", "rep", "n", "b0", "b1"))
-    b0, b1 = b0.view(U64), b1.view(U64)
+    """Row pairs (i < j) of the same run that pass the screen, and in how many codes they agree; apart: of two components."""
+    region, block, rep, n = (np.asarray(t.column(c)) for c in ("region", "block", "rep", "n"))
+    bits = [np.asarray(t.column(c)).view(U64) for c in BITS]
     comp = np.asarray(t.column("comp")) if apart else None
-    share = (1 + similarity) / 2
-    least = SLOTS * share - SCREEN_DEVIATIONS * (SLOTS * share * (1 - share)) ** 0.5
+    least = least_agreeing(similarity, 4)
     left, off, out = np.arange(len(region)), 0, []
     while True:
         off += 1
@@ -144,11 +152,13 @@ def passing(t: pa.Table, similarity: float, apart: bool) -> tuple[np.ndarray, np
         if not len(left):
             break
         i, j = left, left + off
+        good = (rep[i] != rep[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
         if apart:
-            differ = comp[i] != comp[j]
-            i, j = i[differ], j[differ]
-        agree = SLOTS - (np.bitwise_count(b0[i] ^ b0[j]).astype(np.int32) + np.bitwise_count(b1[i] ^ b1[j]))
-        good = (agree >= least) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (rep[i] != rep[j])
+            good &= comp[i] != comp[j]
+        i, j = i[good], j[good]
+        lo, hi = ((bits[k][i] ^ bits[k][j]) | (bits[k + 2][i] ^ bits[k + 2][j]) for k in (0, 1))
+        agree = SLOTS - np.bitwise_count(lo).astype(np.int32) - np.bitwise_count(hi)
+        good = agree >= least
         if good.any():
             out.append((i[good], j[good], agree[good]))
     if not out:
@@ -157,9 +167,16 @@ def passing(t: pa.Table, similarity: float, apart: bool) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("region", "block", *columns).repartition("region", "block").sortWithinPartitions("region", "block", "rep")
+
+
+ROW = "rep long, n long, " + ", ".join(f"{b} long" for b in BITS)
+
+
 def propose(rows: DataFrame, similarity: float) -> DataFrame:
     """Rows with a neighbour that passes; best: the most similar one, hub: the smallest of the very similar ones."""
-    hub_least = SLOTS * (1 + similarity + 0.1) / 2
+    hub_least = SLOTS * (similarity + 0.1 + (0.9 - similarity) / 4)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in region_runs(batches):
@@ -178,45 +195,64 @@ def propose(rows: DataFrame, similarity: float) -> DataFrame:
             part = t.take(pa.array(own)).append_column("best", pa.array(best)).append_column("score", pa.array(score.astype(np.int32))).append_column("hub", pa.array(hub))
             yield from part.combine_chunks().to_batches()
 
-    dealt = rows.repartition("region", "block").sortWithinPartitions("region", "block", "rep")
-    return dealt.mapInArrow(scan, "region long, block int, parts int, rep long, n long, b0 long, b1 long, best long, score int, hub long")
+    return dealt(rows, "parts", "rep", "n", *BITS).mapInArrow(scan, f"region long, block int, parts int, {ROW}, best long, score int, hub long")
 
 
-def propose_apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): for each row and each other component among its passing neighbours, the most similar one of them."""
+def propose_again(rows: DataFrame, similarity: float) -> DataFrame:
+    """(rep, best, score): the most similar passing neighbour in another component that rep has not tried, in each region."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in region_runs(batches):
             i, j, agree = passing(t, similarity, apart=True)
-            if len(i):
-                rep, comp = np.asarray(t.column("rep")), np.asarray(t.column("comp"))
-                i, j, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
-                order = np.lexsort((rep[j], -agree, comp[j], i))
-                i, j = i[order], j[order]
-                new = np.ones(len(i), bool)
-                new[1:] = (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])
-                a, b = rep[i[new]], rep[j[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            if not len(i):
+                continue
+            rep = np.asarray(t.column("rep"))
+            i, j, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
+            for k in range(2 + ROUNDS):
+                new = rep[j] != np.asarray(t.column(f"t{k}"))[i]
+                i, j, agree = i[new], j[new], agree[new]
+            order = np.lexsort((rep[j], -agree, i))
+            own, first = np.unique(i[order], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[own], rep[j][order][first], agree[order][first].astype(np.int32))], ["rep", "best", "score"])
 
-    dealt = rows.repartition("region", "block").sortWithinPartitions("region", "block", "rep")
-    return dealt.mapInArrow(scan, "a long, b long").distinct()
+    return dealt(rows, "rep", "n", *BITS, "comp", *(f"t{k}" for k in range(2 + ROUNDS))).mapInArrow(scan, "rep long, best long, score int")
 
 
-def needy(rows: DataFrame, similarity: float) -> DataFrame:
-    """Rows that still have a passing neighbour in another component."""
+def apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of passing neighbours in different components."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in region_runs(batches):
             i, j, _ = passing(t, similarity, apart=True)
             if len(i):
-                yield from t.take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
+                rep = np.asarray(t.column("rep"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j]))], ["a", "b"])
+
+    return dealt(rows, "rep", "n", *BITS, "comp").mapInArrow(scan, "a long, b long").distinct()
 
-    dealt = rows.repartition("region", "block").sortWithinPartitions("region", "block", "rep")
-    return dealt.mapInArrow(scan, "region long, block int, parts int, rep long, n long, b0 long, b1 long, comp long")
+
+def screened(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole signatures agree often enough."""
+    least = least_agreeing(similarity, 1 << 30)
+    own = classes.select("rep", "signature").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+    own = materialize(own, "pair-signatures")
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SLOTS) for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return both.select("a", "b", "x", "y").mapInArrow(scan, "a long, b long")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).where("a <> b").distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """(a, b): those of the pairs (rep, other) whose full sets have 100 * intersection >= percent * union."""
+    pairs = ordered(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(shingle_table(docs.join(ids, "doc_id", "left_semi"), words), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -226,42 +262,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return found
 
 
-def confirm_inside(rows: DataFrame, docs: DataFrame, words: int, similarity: float, percent: int) -> DataFrame:
-    """Links between components, every passing pair of a region confirmed on full sets unless already joined there."""
-    sets = shingle_table(docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in region_runs(batches):
-            i, j, agree = passing(t, similarity, apart=True)
-            if not len(i):
-                continue
-            rep, comp, sets = np.asarray(t.column("rep")), np.asarray(t.column("comp")), t.column("shingles").combine_chunks()
-            of = lambda k: np.asarray(sets[k].values)
-            parent: dict[int, int] = {}
-
-            def root(c: int, parent: dict[int, int] = parent) -> int:
-                while parent.get(c, c) != c:
-                    c = parent[c]
-                return c
-
-            links = []
-            for k in np.lexsort((j, i, -agree)):
-                x, y = i[k], j[k]
-                p, q = root(comp[x]), root(comp[y])
-                if p == q:
-                    continue
-                u, v = of(x), of(y)
-                same = len(np.intersect1d(u, v, assume_unique=True))
-                if 100 * same >= percent * (len(u) + len(v) - same):
-                    parent[max(p, q)] = min(p, q)
-                    links.append((int(max(rep[x], rep[y])), int(min(rep[x], rep[y]))))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
-
-    full = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("region", "block", "parts", "rep", "n", "b0", "b1", "comp", "shingles")
-    return full.repartition("region", "block").sortWithinPartitions("region", "block", "rep").mapInArrow(scan, "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -278,28 +278,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = materialize(propose(adaptive_regions(forest), similarity), "neighbours")
     discard(forest)
     first = rows.groupBy("rep").agg(F.max_by("best", F.struct("score", -F.col("best"))).alias("best"), F.min("hub").alias("hub"))
-    pair = lambda other: F.struct(F.greatest("rep", other).alias("a"), F.least("rep", other).alias("b"))
-    tried = materialize(first.select(F.explode(F.array(pair("best"), pair("hub"))).alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "pairs")
+    tried = materialize(first.select("rep", F.explode(F.array("best", "hub")).alias("other"), F.lit(0).alias("round")).distinct(), "tried")
     links = confirm(tried, docs, words, percent)
     own = rows.drop("best", "score", "hub")
 
     def labelled(links: DataFrame) -> DataFrame:
         found = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "comp")
-        return own.join(found, "rep", "left").select("region", "block", "parts", "rep", "n", "b0", "b1", F.coalesce("comp", "rep").alias("comp"))
-
-    again = materialize(propose_apart(labelled(links), similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not again.isEmpty():
-        links = materialize(links.union(confirm(again, docs, words, percent)), "links")
+        return own.join(found, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    for number in range(1, ROUNDS + 1):
+        before = tried.groupBy("rep").agg(F.sort_array(F.collect_list("other")).alias("t"))
+        marked = labelled(links).join(before, "rep", "left").select("*", *(F.coalesce(F.get("t", F.lit(k)), F.col("rep")).alias(f"t{k}") for k in range(2 + ROUNDS)))
+        again = propose_again(marked, similarity).groupBy("rep").agg(F.max_by("best", F.struct("score", -F.col("best"))).alias("other")).withColumn("round", F.lit(number))
+        again = materialize(again, "tried")
+        if again.isEmpty():
+            break
+        links = links.union(confirm(again, docs, words, percent))
+        tried = tried.union(again)
     last = labelled(links)
-    dealt = last.where("parts > 1")
-    if not dealt.isEmpty():  # documents outside the largest component of a dealt region meet all its blocks
-        largest = dealt.groupBy("region", "comp").count().groupBy("region").agg(F.max_by("comp", "count").alias("largest"))
-        outside = dealt.join(largest, "region").where("comp <> largest").drop("largest")
-        other = outside.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"), "block", "parts", "rep", "n", "b0", "b1", "comp").where("at <> block")
-        last = last.union(other.select("region", "at", "parts", "rep", "n", "b0", "b1", "comp"))
-    rest = materialize(needy(last, similarity), "apart")
+    blocks = last.where("parts > 1")
+    if not blocks.isEmpty():  # documents outside the largest component of a dealt region meet all its blocks
+        largest = blocks.groupBy("region", "comp").count().groupBy("region").agg(F.max_by("comp", "count").alias("largest"))
+        outside = blocks.join(largest, "region").where("comp <> largest").drop("largest")
+        last = last.unionByName(outside.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> block").drop("block").withColumnRenamed("at", "block"))
+    rest = materialize(apart(last, similarity).join(ordered(tried), ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
-        links = links.union(materialize(confirm_inside(rest, docs, words, similarity, percent), "links"))
+        rest = materialize(screened(rest, classes, similarity).select(F.col("a").alias("rep"), F.col("b").alias("other")), "screened")
+        links = links.union(confirm(rest, docs, words, percent))
     found = components(links)
     member = some.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key").join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     lone = sig.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -95,3 +95,10 @@ SELECT doc_id, CAST(unit_no AS INTEGER) AS unit_no, CAST(start AS BIGINT) AS sta
        kept_doc_id, CAST(kept_unit_no AS INTEGER) AS kept_unit_no
 FROM r WHERE k > 1
 """
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
