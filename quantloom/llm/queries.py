@@ -102,3 +102,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.suffix_dedup import suffix_dedup
 
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
