@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from quantloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +111,36 @@ def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.fingerprints import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.search import top_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return top_documents(docs, docs.where("doc_id % 100 = 0"))
+
+
+ORACLE["op7_bm25_search"] = r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS term
+           FROM documents WHERE doc_id IS NOT NULL),
+     tf AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY doc_id, term),
+     dl AS (SELECT doc_id, sum(n) AS size FROM tf GROUP BY doc_id),
+     st AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS total, (SELECT sum(size) FROM dl) AS words),
+     df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
+     p AS (SELECT q.doc_id AS query_id, d.doc_id,
+                  sum(CAST(floor(1000000 * (ln(1 + (st.total - df.n + 0.5::DOUBLE) / (df.n + 0.5::DOUBLE)) * (d.n * 2.2::DOUBLE / (d.n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (dl.size / (st.words / st.total::DOUBLE)))))) + 0.5::DOUBLE) AS BIGINT)) AS points
+           FROM tf q JOIN tf d ON q.term = d.term AND q.doc_id <> d.doc_id JOIN df ON df.term = q.term JOIN dl ON dl.doc_id = d.doc_id, st
+           WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, d.doc_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, doc_id) AS rank FROM p WHERE points > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, points / 1000000.0::DOUBLE AS score FROM r WHERE rank <= 10
+"""
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
