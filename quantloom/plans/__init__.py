@@ -1 +1 @@
-
+"""Queries registered with the driver."""
