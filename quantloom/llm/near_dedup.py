@@ -7,8 +7,9 @@ neighbours are screened by two bits of each hash, and links are confirmed on the
 
 1. each document proposes its most similar neighbour and a common hub; the pairs are confirmed by joining full sets;
 2. for ROUNDS rounds, each document with neighbours in other components proposes the most similar one not yet tried;
-3. then every pair of neighbours in different components that was not tried is screened by the whole signatures and
-   confirmed; in dealt regions the documents outside the largest component meet all blocks. No pair is capped.
+3. then the documents that still have neighbours in other components bring their sets, as 32-bit hashes, to the region;
+   every such pair is compared there, and what reaches the threshold is confirmed on the full sets. In dealt regions the
+   documents outside the largest component meet all blocks. No pair is capped.
 """
 
 from __future__ import annotations
@@ -218,32 +219,58 @@ def propose_again(rows: DataFrame, similarity: float) -> DataFrame:
     return dealt(rows, "rep", "n", *BITS, "comp", *(f"t{k}" for k in range(2 + ROUNDS))).mapInArrow(scan, "rep long, best long, score int")
 
 
-def apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of passing neighbours in different components."""
+def needy(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows with a passing neighbour in another component."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in region_runs(batches):
             i, j, _ = passing(t, similarity, apart=True)
             if len(i):
-                rep = np.asarray(t.column("rep"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j]))], ["a", "b"])
+                yield from t.take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
 
-    return dealt(rows, "rep", "n", *BITS, "comp").mapInArrow(scan, "a long, b long").distinct()
+    return dealt(rows, "rep", "n", *BITS, "comp").mapInArrow(scan, f"region long, block int, {ROW}, comp long")
 
 
-def screened(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose whole signatures agree often enough."""
-    least = least_agreeing(similarity, 1 << 30)
-    own = classes.select("rep", "signature").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
-    own = materialize(own, "pair-signatures")
-    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+def compare_apart(rows: DataFrame, docs: DataFrame, words: int, similarity: float, percent: int) -> DataFrame:
+    """(rep, other): pairs of different components whose 32-bit sets reach the threshold.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SLOTS) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+    Such sets share at least what the full sets share. Pairs far enough above the threshold that collisions cannot have
+    made them join their components there, and further pairs between the two are left out.
+    """
+    sets = shingle_table(docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+    sets = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first(F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int"))).alias("low"))
 
-    return both.select("a", "b", "x", "y").mapInArrow(scan, "a long, b long")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in region_runs(batches):
+            i, j, agree = passing(t, similarity, apart=True)
+            if not len(i):
+                continue
+            rep, comp, n = (np.asarray(t.column(c)) for c in ("rep", "comp", "n"))
+            own = [np.unique(np.asarray(x.values)) for c in t.column("low").chunks for x in c]
+            parent: dict[int, int] = {}
+
+            def root(c: int, parent: dict[int, int] = parent) -> int:
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
+            links = []
+            for k in np.argsort(-agree, kind="stable").tolist():
+                x, y = int(i[k]), int(j[k])
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p == q:
+                    continue
+                need = -(-percent * int(n[x] + n[y]) // (100 + percent))
+                extra = len(np.intersect1d(own[x], own[y], assume_unique=True)) - need + int(n[x] - len(own[x]) + n[y] - len(own[y]))
+                if extra >= 0:
+                    links.append((int(rep[x]), int(rep[y])))
+                    if extra >= 8 + n[x] * n[y] // (1 << 28):
+                        parent[max(p, q)] = min(p, q)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["rep", "other"])
+
+    full = dealt(rows.join(sets, "rep"), "rep", "n", *BITS, "comp", "low")
+    return full.mapInArrow(scan, "rep long, other long").distinct()
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -301,10 +328,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         largest = blocks.groupBy("region", "comp").count().groupBy("region").agg(F.max_by("comp", "count").alias("largest"))
         outside = blocks.join(largest, "region").where("comp <> largest").drop("largest")
         last = last.unionByName(outside.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> block").drop("block").withColumnRenamed("at", "block"))
-    rest = materialize(apart(last, similarity).join(ordered(tried), ["a", "b"], "left_anti"), "apart")
+    rest = materialize(needy(last, similarity), "apart")
     if not rest.isEmpty():
-        rest = materialize(screened(rest, classes, similarity).select(F.col("a").alias("rep"), F.col("b").alias("other")), "screened")
-        links = links.union(confirm(rest, docs, words, percent))
+        close = materialize(compare_apart(rest, docs, words, similarity, percent), "close")
+        links = links.union(confirm(close.join(tried.select("rep", "other"), ["rep", "other"], "left_anti"), docs, words, percent))
     found = components(links)
     member = some.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key").join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     lone = sig.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
