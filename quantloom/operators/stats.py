@@ -65,10 +65,10 @@ def block_means(series: DataFrame, keys: list[str], value: str, order: str, bloc
     rows = rows.withColumn("_before", F.sum("_v").over(w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")).withColumn("_all", F.sum("_v").over(w))
     shape = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.first("observed").alias("observed"), F.first("_all").alias("_all"))
     shape = shape.where(F.col("n") >= block)
-    draws = shape.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n + {block} - 1) div {block} as int) - 1"))))
-    word = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r"), F.col("k")).cast("binary")), 1, 8)
+    draws = shape.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n + {block} - 1) div {block} as int) - 1"))))
+    word = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r"), F.col("_draw")).cast("binary")), 1, 8)
     draws = draws.withColumn("_from", F.conv(word, 16, 10).cast("long") % F.col("n"))
-    draws = draws.withColumn("_len", F.least(F.lit(block), F.col("n") - F.col("k") * block)).withColumn("_to", F.col("_from") + F.col("_len"))
+    draws = draws.withColumn("_len", F.least(F.lit(block), F.col("n") - F.col("_draw") * block)).withColumn("_to", F.col("_from") + F.col("_len"))
     wrap = F.col("_to") >= F.col("n")
     draws = draws.withColumn("_end", F.when(wrap, F.col("_to") - F.col("n")).otherwise(F.col("_to"))).withColumn("_wrap", wrap.cast("int"))
     at = rows.select(*keys, F.col("_i").alias("_p"), F.col("_before").alias("_b"))

@@ -23,7 +23,7 @@ def sine_bars(spark, markets=1, n=80, change=None):
         for i in range(n):
             c = (100 + 50 * m + 0.02 * i + 3 * np.sin(i / 11)) * (change or {}).get(i, 1.0)
             o = c - 0.25 * np.sin(i / 3)
-            rows.append(("x", f"m{m}", "4h", START + timedelta(hours=4 * i), float(o), float(max(o, c) + 1), float(min(o, c) - 1), float(c), float(5 + np.sin(i / 7) + m), START + timedelta(hours=4 * i + 5)))
+            rows.append(("x", f"m{m}", "4h", START + timedelta(hours=4 * i), float(o), float(max(o, c) + 1), float(min(o, c) - 1), float(c), float((5 + np.sin(i / 7) + m) * (change or {}).get(i, 1.0)), START + timedelta(hours=4 * i + 5)))
     return spark.createDataFrame(rows, SCHEMAS["ohlcv"])
 
 
@@ -82,7 +82,7 @@ def test_factors_see_only_completed_bars(spark):
         a, b = plain[name].to_numpy(float), moved[name].to_numpy(float)
         same = np.isclose(a, b, equal_nan=True)
         assert same[:21].all() and same[40:61].all(), name
-        assert not same[21:40].all(), name
+        assert not same[21:40].all() or name == "close_location", name  # it does not change with scale
     ewm = plain[plain.symbol == "m0"].close.ewm(span=6, adjust=False, min_periods=6).mean()
     want = (plain[plain.symbol == "m0"].close / ewm - 1).shift(1)
     assert np.allclose(want, plain[plain.symbol == "m0"].ema_gap_6, equal_nan=True)
