@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT, KEYS, WIDTH, RETRIES, ROUNDS = 128, 32, 16, 3, 24
+UNIT, KEYS, WIDTH, RETRIES, ROUNDS = 256, 16, 8, 3, 16
 CELLS = 3 * WIDTH
 KEY_SPACE = 1 << 62
 
@@ -40,27 +40,32 @@ def below_sql(keys: str, bound: str) -> str:
     return f"aggregate(sequence(1, cast(ceil(log2(size({keys}) + 1)) as int) + 1), named_struct('lo', 0L, 'hi', cast(size({keys}) as bigint)), (s, i) -> {step}, s -> s.lo)"
 
 
-def in_cell(key: str, cell: str) -> str:
-    return f"(shiftright({key}, {int(math.log2(WIDTH))} * ({cell} div {WIDTH})) & {WIDTH - 1}) = {cell} % {WIDTH}"
+def mask_sql(key: str) -> str:
+    """The bits of a key's three cells among the CELLS of its block."""
+    step = int(math.log2(WIDTH))
+    return " | ".join(f"shiftleft(1L, {WIDTH * j} + int(shiftright({key}, {step * j}) & {WIDTH - 1}))" for j in range(3))
+
+
+BITS = f"array({', '.join(f'{1 << c}L' for c in range(CELLS))})"
 
 
 def sketch_sql(keys: str, blocks: str) -> str:
     """All cells of so many blocks, one block after the other."""
     empty = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
-    # SQL's div gives bigint; cells count in int.
-    add = f"(a, x) -> if({in_cell('x', 'cast(c as bigint)')}, named_struct('n', a.n + 1, 'k', a.k ^ x, 'h', a.h ^ xxhash64(x)), a)"
-    cells = f"transform(sequence(0, {CELLS - 1}), c -> aggregate(own, {empty}, {add}))"
+    add = "(a, x) -> if((x.m & bit) = 0, a, named_struct('n', a.n + 1, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
+    cells = f"transform({BITS}, bit -> aggregate(own, {empty}, {add}))"
     width = f"({KEY_SPACE}L div {blocks})"
     cuts = f"transform(sequence(0L, {blocks}), b -> if(b = {blocks}, cast(size({keys}) as bigint), if(b = 0, 0L, {below_sql(keys, f'b * {width}')})))"
     part = f"slice({keys}, cast(cuts[cast(b as int)] as int) + 1, cast(cuts[cast(b as int) + 1] - cuts[cast(b as int)] as int))"
-    return let(cuts, "cuts", f"flatten(transform(sequence(0L, {blocks} - 1), b -> {let(part, 'own', cells)}))")
+    items = f"transform({part}, x -> named_struct('k', x, 'h', xxhash64(x), 'm', {mask_sql('x')}))"
+    return let(cuts, "cuts", f"flatten(transform(sequence(0L, {blocks} - 1), b -> {let(items, 'own', cells)}))")
 
 
 def peel_sql(cells: str) -> str:
     """(ok, p, q) of one block's difference: whether it peeled, and how many digests only the first and second have."""
-    pure = "array_distinct(transform(filter(s.d, c -> abs(c.n) = 1 and c.h = xxhash64(c.k)), c -> named_struct('k', c.k, 'n', c.n)))"
-    take = f"(a, x) -> if({in_cell('x.k', 'cast(i as bigint)')}, named_struct('n', a.n - x.n, 'k', a.k ^ x.k, 'h', a.h ^ xxhash64(x.k)), a)"
-    after = f"transform(s.d, (c, i) -> aggregate(pure, c, {take}))"
+    pure = f"array_distinct(transform(filter(s.d, c -> abs(c.n) = 1 and c.h = xxhash64(c.k)), c -> named_struct('k', c.k, 'h', c.h, 'n', c.n, 'm', {mask_sql('c.k')})))"
+    take = "(a, x) -> if((x.m & bit) = 0, a, named_struct('n', a.n - x.n, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
+    after = f"zip_with(s.d, {BITS}, (c, bit) -> aggregate(pure, c, {take}))"
     step = let(pure, "pure", f"if(size(pure) = 0, named_struct('d', s.d, 'p', s.p, 'q', s.q, 'go', false), named_struct('d', {after}, 'p', s.p + size(filter(pure, x -> x.n = 1)), 'q', s.q + size(filter(pure, x -> x.n = -1)), 'go', true))")
     done = "s -> named_struct('ok', forall(s.d, c -> c.n = 0 and c.k = 0 and c.h = 0), 'p', s.p, 'q', s.q)"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('d', {cells}, 'p', 0, 'q', 0, 'go', true), (s, r) -> if(s.go, {step}, s), {done})"
@@ -74,6 +79,13 @@ def difference_sql(one: str, other: str, blocks: str) -> str:
     return f"aggregate(sequence(0L, {blocks} - 1), named_struct('ok', true, 'p', 0, 'q', 0), (t, b) -> {step})"
 
 
+def once(rows: DataFrame, **values: str) -> DataFrame:
+    """rows with columns of SQL values, computed once: the optimizer may not copy them to where they are read."""
+    kept = [c for c in rows.columns if c not in values]
+    held = F.explode(F.array(F.struct(*(F.expr(v).alias(c) for c, v in values.items())))).alias("_once")
+    return rows.select("*", held).select(*kept, "_once.*")
+
+
 def with_likeness(rows: DataFrame, one: str, other: str, name: str) -> DataFrame:
     """rows with the Jaccard similarity of two texts' unit sets; a text has the columns <text>_keys, _blocks and _cells.
 
@@ -81,15 +93,14 @@ def with_likeness(rows: DataFrame, one: str, other: str, name: str) -> DataFrame
     """
     first, second = f"{one}_keys", f"{other}_keys"
     rows = rows.withColumn("_b", F.greatest(f"{one}_blocks", f"{other}_blocks"))
-    sized = [F.expr(f"if({x}_blocks = _b, {x}_cells, {sketch_sql(f'{x}_keys', '_b')})").alias(c) for x, c in ((one, "_x"), (other, "_y"))]
-    rows = rows.select("*", *sized).withColumn("_z", F.expr(difference_sql("_x", "_y", "_b")))
+    rows = once(rows, **{c: f"if({x}_blocks = _b, {x}_cells, {sketch_sql(f'{x}_keys', '_b')})" for x, c in ((one, "_x"), (other, "_y"))})
+    rows = once(rows, _z=difference_sql("_x", "_y", "_b"))
     for _ in range(RETRIES):
         rows = rows.withColumn("_b", F.col("_b") * 2)
-        again = [F.expr(f"if(_z.ok, null, {sketch_sql(x, '_b')})").alias(c) for x, c in ((first, "_x"), (second, "_y"))]
-        rows = rows.select(*(c for c in rows.columns if c not in ("_x", "_y")), *again)
-        rows = rows.withColumn("_z", F.expr(f"if(_z.ok, _z, {difference_sql('_x', '_y', '_b')})"))
+        rows = once(rows, **{c: f"if(_z.ok, null, {sketch_sql(x, '_b')})" for x, c in ((first, "_x"), (second, "_y"))})
+        rows = once(rows, _z=f"if(_z.ok, _z, {difference_sql('_x', '_y', '_b')})")
     missed = f"named_struct('ok', true, 'p', size(array_except({first}, {second})), 'q', size(array_except({second}, {first})))"
-    rows = rows.withColumn("_z", F.expr(f"if(_z.ok, _z, {missed})"))
+    rows = once(rows, _z=f"if(_z.ok, _z, {missed})")
     total, differ = f"(size({first}) + size({second}))", "(_z.p + _z.q)"
     return rows.withColumn(name, F.expr(f"if({total} = 0, 1.0D, cast({total} - {differ} as double) / ({total} + {differ}))")).drop("_b", "_x", "_y", "_z")
 
@@ -132,8 +143,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_next(rows).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 2)), substring(next, 1, int(n_chars div 2)))"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(F.expr(keys_sql(x)).alias(f"{x}_keys") for x in ("text", "edited", "next")))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next")
+    rows = once(rows, **{f"{x}_keys": keys_sql(x) for x in ("text", "edited", "next")}).drop("text", "edited", "next")
     rows = rows.select("*", *(F.expr(blocks_sql(f"size({x}_keys)")).alias(f"{x}_blocks") for x in ("text", "edited", "next")))
-    rows = rows.select("*", *(F.expr(sketch_sql(f"{x}_keys", f"{x}_blocks")).alias(f"{x}_cells") for x in ("text", "edited", "next")))
+    rows = once(rows, **{f"{x}_cells": sketch_sql(f"{x}_keys", f"{x}_blocks") for x in ("text", "edited", "next")})
     rows = with_likeness(with_likeness(rows, "text", "edited", "near_edited"), "text", "next", "near_next")
     return rows.select("doc_id", "n_chars", "edited_sha256", written("text_cells").alias("fingerprint"), written("edited_cells").alias("edited_fingerprint"), "near_edited", "near_next")

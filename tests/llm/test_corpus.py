@@ -27,7 +27,7 @@ def test_fingerprints(spark):
     rows = list(dict.fromkeys(rows))
     order = sorted(rows, key=lambda r: -r[0])
     got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rows, DOCS)).collect()}
-    units = lambda t: set(re.findall(r"[^\n]{1,128}", t))
+    units = lambda t: set(re.findall(r"[^\n]{1,256}", t))
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (i, t, *_) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
