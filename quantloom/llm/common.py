@@ -52,6 +52,25 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+FILTER_BITS = 1 << 23
+
+
+def sieved(rows: DataFrame, keys: DataFrame, column: str, inside: bool = True) -> DataFrame:
+    """Those rows that may have a key of keys (column), or with inside=False those that surely have none.
+
+    keys become a bit map of FILTER_BITS bits, whatever their number, so that a join with few keys need not move all rows.
+    Null keys are never inside.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    maps = keys.where(F.col(column).isNotNull()).select(bit.alias("_b")).groupBy(F.bitmap_bucket_number("_b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_map"))
+    maps = F.broadcast(materialize(maps, "bit-map"))  # at most FILTER_BITS / 8 bytes
+    found = rows.withColumn("_b", bit).join(maps, F.bitmap_bucket_number("_b") == F.col("_bucket"), "left")
+    at = F.bitmap_bit_position("_b")
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(bitmap_bit_position(_b) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
+    return found.where(hit if inside else ~hit).select(*rows.columns)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser: every output bit depends on every input bit."""
     x = x ^ (x >> U64(30))

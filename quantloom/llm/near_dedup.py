@@ -5,7 +5,7 @@ that share a prefix of at least MIN_DEPTH hashes in an order form a region. Regi
 longer prefixes, down to MAX_DEPTH, and what is still larger is dealt into blocks (adaptive depth). Inside a region the
 neighbours are screened by two bits of each hash, and links are confirmed on the full sets:
 
-1. each document proposes its most similar neighbour and a common hub; the pairs are confirmed by joining full sets;
+1. each document proposes a common hub of very similar ones, or its most similar neighbour; full sets are joined;
 2. for ROUNDS rounds, each document with neighbours in other components proposes the most similar one not yet tried;
 3. then the documents that still have neighbours in other components bring their sets, as 32-bit hashes, to the region;
    every such pair is compared there, and what reaches the threshold is confirmed on the full sets. In dealt regions the
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import U64, binary_column, components, discard, materialize, mixed
+from quantloom.llm.common import U64, components, discard, materialize, mixed, sieved
 from quantloom.llm.shingles import shingle_sets
 
 TREES, MIN_DEPTH, MAX_DEPTH, SLOTS, REGION = 16, 3, 6, 128, 512
@@ -97,20 +97,25 @@ def forest_rows(reps: DataFrame) -> DataFrame:
 
 
 def adaptive_regions(rows: DataFrame) -> DataFrame:
-    """Regions of more than REGION rows take longer prefixes; those of full depth are dealt into blocks."""
-    rows = rows.withColumns({"parts": F.lit(1), "block": F.lit(0)})
+    """Regions of more than REGION rows take longer prefixes; those of full depth are dealt into blocks. Only the rows of
+    such regions are counted again."""
+    done, plain = [], {"parts": F.lit(1), "block": F.lit(0)}
+    columns = ("region", "block", "parts", "rep", "n", *BITS)
     for k in range(MIN_DEPTH, MAX_DEPTH + 1):
         large = materialize(rows.groupBy("region").agg(F.count("*").alias("rows_in")).where(F.col("rows_in") > REGION), "large-regions")
         if large.isEmpty():
             break
-        rows = rows.join(large, "region", "left")
+        done.append(rows.join(large, "region", "left_anti").withColumns(plain).select(*columns))
+        rows = materialize(rows.join(large, "region"), "large-rows")
         if k < MAX_DEPTH:
-            rows = rows.withColumn("region", F.when(F.col("rows_in").isNull(), F.col("region")).otherwise(F.xxhash64("region", f"d{k}")))
+            rows = rows.withColumn("region", F.xxhash64("region", f"d{k}")).drop("rows_in")
         else:
-            rows = rows.withColumn("parts", F.coalesce(F.ceil(F.col("rows_in") / REGION), F.lit(1)).cast("int"))
-            rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        rows = rows.drop("rows_in")
-    return rows.select("region", "block", "parts", "rep", "n", *BITS)
+            parts = F.ceil(F.col("rows_in") / REGION).cast("int")
+            plain = {"parts": parts, "block": F.pmod(F.xxhash64("rep"), parts).cast("int")}
+    out = rows.withColumns(plain).select(*columns)
+    for part in done:
+        out = out.union(part)
+    return out
 
 
 def region_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -209,14 +214,14 @@ def propose_again(rows: DataFrame, similarity: float) -> DataFrame:
                 continue
             rep = np.asarray(t.column("rep"))
             i, j, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
-            for k in range(2 + ROUNDS):
+            for k in range(1 + ROUNDS):
                 new = rep[j] != np.asarray(t.column(f"t{k}"))[i]
                 i, j, agree = i[new], j[new], agree[new]
             order = np.lexsort((rep[j], -agree, i))
             own, first = np.unique(i[order], return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[own], rep[j][order][first], agree[order][first].astype(np.int32))], ["rep", "best", "score"])
 
-    return dealt(rows, "rep", "n", *BITS, "comp", *(f"t{k}" for k in range(2 + ROUNDS))).mapInArrow(scan, "rep long, best long, score int")
+    return dealt(rows, "rep", "n", *BITS, "comp", *(f"t{k}" for k in range(1 + ROUNDS))).mapInArrow(scan, "rep long, best long, score int")
 
 
 def needy(rows: DataFrame, similarity: float) -> DataFrame:
@@ -237,8 +242,8 @@ def compare_apart(rows: DataFrame, docs: DataFrame, words: int, similarity: floa
     Such sets share at least what the full sets share. Pairs far enough above the threshold that collisions cannot have
     made them join their components there, and further pairs between the two are left out.
     """
-    sets = shingle_table(docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
-    sets = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first(F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int"))).alias("low"))
+    sets = shingle_table(chosen(docs, rows.select(F.col("rep").alias("doc_id"))), words)
+    sets = sets.select(F.col("doc_id").alias("rep"), F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in region_runs(batches):
@@ -277,16 +282,20 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).where("a <> b").distinct()
 
 
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of some documents; only they are moved."""
+    ids = ids.distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return sieved(rows, ids, "doc_id").join(ids, "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): those of the pairs (rep, other) whose full sets have 100 * intersection >= percent * union."""
-    pairs = ordered(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(shingle_table(docs.join(ids, "doc_id", "left_semi"), words), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    pairs = materialize(ordered(pairs), "pairs")
+    sets = lambda c, name: shingle_table(chosen(docs, pairs.select(F.col(c).alias("doc_id"))), words).toDF(c, name)
+    both = pairs.join(sets("a", "x"), "a").join(sets("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y"))
-    found = materialize(both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b"), "links")
-    discard(sets)
-    return found
+    return materialize(both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -305,7 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = materialize(propose(adaptive_regions(forest), similarity), "neighbours")
     discard(forest)
     first = rows.groupBy("rep").agg(F.max_by("best", F.struct("score", -F.col("best"))).alias("best"), F.min("hub").alias("hub"))
-    tried = materialize(first.select("rep", F.explode(F.array("best", "hub")).alias("other"), F.lit(0).alias("round")).distinct(), "tried")
+    tried = materialize(first.select("rep", F.when(F.col("hub") < F.col("rep"), F.col("hub")).otherwise(F.col("best")).alias("other"), F.lit(0).alias("round")), "tried")
     links = confirm(tried, docs, words, percent)
     own = rows.drop("best", "score", "hub")
 
@@ -315,7 +324,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     for number in range(1, ROUNDS + 1):
         before = tried.groupBy("rep").agg(F.sort_array(F.collect_list("other")).alias("t"))
-        marked = labelled(links).join(before, "rep", "left").select("*", *(F.coalesce(F.get("t", F.lit(k)), F.col("rep")).alias(f"t{k}") for k in range(2 + ROUNDS)))
+        marked = labelled(links).join(before, "rep", "left").select("*", *(F.coalesce(F.get("t", F.lit(k)), F.col("rep")).alias(f"t{k}") for k in range(1 + ROUNDS)))
         again = propose_again(marked, similarity).groupBy("rep").agg(F.max_by("best", F.struct("score", -F.col("best"))).alias("other")).withColumn("round", F.lit(number))
         again = materialize(again, "tried")
         if again.isEmpty():
@@ -333,12 +342,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         close = materialize(compare_apart(rest, docs, words, similarity, percent), "close")
         links = links.union(confirm(close.join(tried.select("rep", "other"), ["rep", "other"], "left_anti"), docs, words, percent))
     found = components(links)
-    member = some.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key").join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    member = some.select("doc_id", "n_shingles", "set_key").join(materialize(classes.select("set_key", "rep"), "classes"), "set_key").join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     lone = sig.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return member.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies stays (five-word shingles, similarity 0.8)."""
+    """Pipeline stage: one document of each group of near copies stays (five-word shingles, similarity 0.8); repeated rows of
+    its doc_id stay with it."""
     kept = near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept.distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

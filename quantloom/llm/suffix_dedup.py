@@ -122,7 +122,8 @@ def repeated_spans(docs: DataFrame, least: int = MIN, gram: int = GRAM) -> DataF
     Spans are byte ranges, not yet merged. A key stands for one text; rows of equal texts are occurrences of it.
     """
     parse = materialize(phrases(docs, least, gram), "parse")
-    twice = parse.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # Written first, so that the join with them can split a frequent trigger.
+    twice = materialize(parse.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "repeated-triggers")
     parse2 = materialize(parse.join(twice, "g", "left_semi"), "parse-repeated")
     discard(parse)
     where = F.struct("key", "i0", "i1", "at")
