@@ -63,7 +63,7 @@ def sieved(rows: DataFrame, keys: DataFrame, column: str, inside: bool = True) -
     """
     bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
     maps = keys.where(F.col(column).isNotNull()).select(bit.alias("_b")).groupBy(F.bitmap_bucket_number("_b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_map"))
-    maps = F.broadcast(materialize(maps, "bit-map"))  # at most FILTER_BITS / 8 bytes
+    maps = F.broadcast(materialize(maps.coalesce(1), "bit-map"))  # at most FILTER_BITS / 8 bytes
     found = rows.withColumn("_b", bit).join(maps, F.bitmap_bucket_number("_b") == F.col("_bucket"), "left")
     at = F.bitmap_bit_position("_b")
     byte = F.conv(F.hex(F.expr("substring(_map, cast(bitmap_bit_position(_b) div 8 + 1 as int), 1)")), 16, 10).cast("int")
@@ -166,8 +166,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(top, F.col("a") == F.col("k")).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         then = materialize(small.select(F.greatest("e.a", "e.b").alias("a"), F.least("e.a", "e.b").alias("b")).where("a <> b").distinct(), name)
         # Done when the edges are stars: no node is both a leaf and a centre, and each leaf has one centre.
-        leaves = then.groupBy("a").agg(F.count("*").alias("n"))
-        unsettled = leaves.where("n > 1").limit(1).count() or then.join(leaves.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+        ends = then.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("leaf")), F.struct(F.col("b").alias("v"), F.lit(0).alias("leaf")))).alias("e"))
+        roles = ends.groupBy("e.v").agg(F.sum("e.leaf").alias("leaves"), F.min("e.leaf").alias("centre"))
+        unsettled = roles.where("leaves > 1 or (leaves = 1 and centre = 0)").limit(1).count()
         discard(now)
         now = then
         if not unsettled:

@@ -6,7 +6,7 @@ longer prefixes, down to MAX_DEPTH, and what is still larger is dealt into block
 neighbours are screened by two bits of each hash, and links are confirmed on the full sets:
 
 1. each document proposes a common hub of very similar ones, or its most similar neighbour; full sets are joined;
-2. for ROUNDS rounds, each document with neighbours in other components proposes the most similar one not yet tried;
+2. for ROUNDS further rounds, each document with neighbours in other components proposes the most similar one not yet tried;
 3. then the documents that still have neighbours in other components bring their sets, as 32-bit hashes, to the region;
    every such pair is compared there, and what reaches the threshold is confirmed on the full sets. In dealt regions the
    documents outside the largest component meet all blocks. No pair is capped.
@@ -26,7 +26,7 @@ from quantloom.llm.common import U64, components, discard, materialize, mixed, s
 from quantloom.llm.shingles import shingle_sets
 
 TREES, MIN_DEPTH, MAX_DEPTH, SLOTS, REGION = 16, 3, 6, 128, 512
-ROUNDS = 2
+ROUNDS = 1
 #: Pairs of Jaccard similarity s agree in s + (1 - s) / 4 of the bit pairs; 4.5 standard deviations below the threshold pass.
 SCREEN_DEVIATIONS = 4.5
 BITS = ("b0", "b1", "b2", "b3")
