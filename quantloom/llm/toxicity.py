@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash, of at most so many bytes each.
-TRAIN_ROWS, TRAIN_BYTES = 16_000, 100_000
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 50_000
 LEAST_DOCS, LEAST_Z, WORDS_MOST = 3, 4.0, 4000
 STEPS, RATE, SPARSITY, THRESHOLD = 250, 0.1, 2e-4, 0.3
 #: A-Z lower-cased, sentence ends as line feeds, other ASCII but letters and digits as spaces.
@@ -63,13 +64,13 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
 
     Without both labels the model has no words and scores the rate of the labels.
     """
-    docs, y = [sentences(t) or [set()] for t in texts], np.array(labels, float)
+    y = np.array(labels, float)
     rate = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
     if len(set(labels)) < 2:
         return Model({}, float(np.log(rate / (1 - rate))))
     every, toxic = Counter(), Counter()
-    for doc, label in zip(docs, labels, strict=True):
-        words = set().union(*doc)
+    for text, label in zip(texts, labels, strict=True):
+        words = set().union(*sentences(text))
         every.update(words)
         toxic.update(words if label else ())
     n, k = len(y), y.sum()
@@ -80,14 +81,15 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
 
     scored = sorted(((z(w), w) for w, c in every.items() if c >= LEAST_DOCS), reverse=True)
     vocabulary = {w: i for i, w in enumerate(w for s, w in scored[:WORDS_MOST] if s >= LEAST_Z)}
-    sentence, word, of = [], [], []
-    for d, doc in enumerate(docs):
-        for words in doc:
+    del every, toxic, scored
+    sentence, word, of = array("q"), array("q"), array("q")  # texts are split again, so that only these are held
+    for d, text in enumerate(texts):
+        for words in sentences(text) or [set()]:
             for i in sorted(vocabulary[w] for w in vocabulary.keys() & words):
                 sentence.append(len(of))
                 word.append(i)
             of.append(d)
-    sentence, word, of = np.array(sentence, int), np.array(word, int), np.array(of)
+    sentence, word, of = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (sentence, word, of))
     w, bias = np.zeros(len(vocabulary)), -6.0
     moments = np.zeros((2, len(w) + 1))
     for step in range(1, STEPS + 1):
