@@ -3,8 +3,8 @@
 A text's units are its paragraphs, long ones cut every UNIT code points from their beginning. The distinct unit digests are
 dealt by their high bits into blocks of about KEYS; a block has three tables of WIDTH cells (count, key sum, check sum by
 exclusive or). Sketches of two versions subtract cell by cell; peeling cells that hold one digest recovers the digests that
-differ. Where a block does not peel, both sketches are made again with twice the blocks, up to RETRIES times; what still
-fails is compared by its digests themselves.
+differ. A block that does not peel is halved and both halves are sketched with another hash, up to RETRIES times; blocks that
+still fail are compared by their digests themselves.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT, KEYS, WIDTH, RETRIES, ROUNDS = 256, 16, 8, 3, 16
+UNIT, KEYS, WIDTH, RETRIES, ROUNDS = 256, 32, 16, 4, 24
 CELLS = 3 * WIDTH
 KEY_SPACE = 1 << 62
 
@@ -24,9 +24,9 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def keys_sql(text: str) -> str:
-    """Sorted distinct 62-bit digests of a text's units."""
-    return f"sort_array(array_distinct(transform(regexp_extract_all({text}, '[^\\\\n]{{1,{UNIT}}}', 0), u -> xxhash64(u) & {KEY_SPACE - 1}L)))"
+def keys_sql(text: str, unit: int = UNIT) -> str:
+    """Sorted distinct 62-bit digests of a text's units of at most so many code points."""
+    return f"sort_array(array_distinct(transform(regexp_extract_all({text}, '[^\\\\n]{{1,{unit}}}', 0), u -> xxhash64(u) & {KEY_SPACE - 1}L)))"
 
 
 def blocks_sql(n: str) -> str:
@@ -40,43 +40,68 @@ def below_sql(keys: str, bound: str) -> str:
     return f"aggregate(sequence(1, cast(ceil(log2(size({keys}) + 1)) as int) + 1), named_struct('lo', 0L, 'hi', cast(size({keys}) as bigint)), (s, i) -> {step}, s -> s.lo)"
 
 
-def mask_sql(key: str) -> str:
-    """The bits of a key's three cells among the CELLS of its block."""
+def mask_sql(key: str, digest: str, seed: int = 0) -> str:
+    """The bits of a key's three cells among the CELLS of its block: of the key itself, or of other bits of its digest."""
     step = int(math.log2(WIDTH))
-    return " | ".join(f"shiftleft(1L, {WIDTH * j} + int(shiftright({key}, {step * j}) & {WIDTH - 1}))" for j in range(3))
+    source, skip = (key, 0) if seed == 0 else (digest, 3 * step * (seed - 1))
+    return " | ".join(f"shiftleft(1L, {WIDTH * j} + int(shiftright({source}, {skip + step * j}) & {WIDTH - 1}))" for j in range(3))
 
 
 BITS = f"array({', '.join(f'{1 << c}L' for c in range(CELLS))})"
 
 
+def cells_sql(part: str, seed: int = 0) -> str:
+    """The cells of one block with these keys."""
+    add = lambda x: f"aggregate(hit, 0L, (a, x) -> a ^ x.{x})"
+    hit = let("filter(own, x -> (x.m & bit) <> 0)", "hit", f"named_struct('n', size(hit), 'k', {add('k')}, 'h', {add('h')})")
+    digests = f"transform({part}, x -> named_struct('k', x, 'h', xxhash64(x)))"
+    items = f"transform({digests}, x -> named_struct('k', x.k, 'h', x.h, 'm', {mask_sql('x.k', 'x.h', seed)}))"
+    return let(items, "own", f"transform({BITS}, bit -> {hit})")
+
+
+def block_sql(keys: str, block: str, blocks: str) -> str:
+    """The keys of one of so many blocks."""
+    width = f"({KEY_SPACE}L div {blocks})"
+    bounds = f"array({below_sql(keys, f'({block} * {width})')}, {below_sql(keys, f'(({block} + 1) * {width})')})"
+    return let(bounds, "ends", f"slice({keys}, cast(ends[0] as int) + 1, cast(ends[1] - ends[0] as int))")
+
+
 def sketch_sql(keys: str, blocks: str) -> str:
     """All cells of so many blocks, one block after the other."""
-    empty = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
-    add = "(a, x) -> if((x.m & bit) = 0, a, named_struct('n', a.n + 1, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
-    cells = f"transform({BITS}, bit -> aggregate(own, {empty}, {add}))"
-    width = f"({KEY_SPACE}L div {blocks})"
-    cuts = f"transform(sequence(0L, {blocks}), b -> if(b = {blocks}, cast(size({keys}) as bigint), if(b = 0, 0L, {below_sql(keys, f'b * {width}')})))"
-    part = f"slice({keys}, cast(cuts[cast(b as int)] as int) + 1, cast(cuts[cast(b as int) + 1] - cuts[cast(b as int)] as int))"
-    items = f"transform({part}, x -> named_struct('k', x, 'h', xxhash64(x), 'm', {mask_sql('x')}))"
-    return let(cuts, "cuts", f"flatten(transform(sequence(0L, {blocks} - 1), b -> {let(items, 'own', cells)}))")
+    return f"flatten(transform(sequence(0L, {blocks} - 1), b -> {cells_sql(block_sql(keys, 'b', blocks))}))"
 
 
-def peel_sql(cells: str) -> str:
+def peel_sql(cells: str, seed: int = 0) -> str:
     """(ok, p, q) of one block's difference: whether it peeled, and how many digests only the first and second have."""
-    pure = f"array_distinct(transform(filter(s.d, c -> abs(c.n) = 1 and c.h = xxhash64(c.k)), c -> named_struct('k', c.k, 'h', c.h, 'n', c.n, 'm', {mask_sql('c.k')})))"
-    take = "(a, x) -> if((x.m & bit) = 0, a, named_struct('n', a.n - x.n, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
-    after = f"zip_with(s.d, {BITS}, (c, bit) -> aggregate(pure, c, {take}))"
+    pure = f"array_distinct(transform(filter(s.d, c -> abs(c.n) = 1 and c.h = xxhash64(c.k)), c -> named_struct('k', c.k, 'h', c.h, 'n', c.n, 'm', {mask_sql('c.k', 'c.h', seed)})))"
+    add = lambda x: f"aggregate(hit, c.{x}, (a, x) -> a ^ x.{x})"
+    take = f"if(size(hit) = 0, c, named_struct('n', aggregate(hit, c.n, (a, x) -> a - x.n), 'k', {add('k')}, 'h', {add('h')}))"
+    after = f"zip_with(s.d, {BITS}, (c, bit) -> {let('filter(pure, x -> (x.m & bit) <> 0)', 'hit', take)})"
     step = let(pure, "pure", f"if(size(pure) = 0, named_struct('d', s.d, 'p', s.p, 'q', s.q, 'go', false), named_struct('d', {after}, 'p', s.p + size(filter(pure, x -> x.n = 1)), 'q', s.q + size(filter(pure, x -> x.n = -1)), 'go', true))")
     done = "s -> named_struct('ok', forall(s.d, c -> c.n = 0 and c.k = 0 and c.h = 0), 'p', s.p, 'q', s.q)"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('d', {cells}, 'p', 0, 'q', 0, 'go', true), (s, r) -> if(s.go, {step}, s), {done})"
 
 
+LESS = "(x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h)"
+
+
+def tally_sql(blocks: str, begin: str, peeled: str) -> str:
+    """(p, q, failed) over blocks b: the digests found to differ on top of those of begin, and the blocks that did not peel."""
+    step = let(peeled, "z", "if(z.ok, named_struct('p', t.p + z.p, 'q', t.q + z.q, 'failed', t.failed), named_struct('p', t.p, 'q', t.q, 'failed', concat(t.failed, array(b))))")
+    return f"aggregate({blocks}, named_struct('p', {begin}.p, 'q', {begin}.q, 'failed', cast(array() as array<bigint>)), (t, b) -> {step})"
+
+
 def difference_sql(one: str, other: str, blocks: str) -> str:
-    """(ok, p, q) of two sketches of so many blocks."""
+    """(p, q, failed) of two sketches of so many blocks."""
     cut = lambda x: f"slice({x}, cast(b as int) * {CELLS} + 1, {CELLS})"
-    less = f"zip_with({cut(one)}, {cut(other)}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
-    step = f"if(t.ok, {let(peel_sql(less), 'z', 'named_struct(' + chr(39) + 'ok' + chr(39) + ', z.ok, ' + chr(39) + 'p' + chr(39) + ', t.p + z.p, ' + chr(39) + 'q' + chr(39) + ', t.q + z.q)')}, t)"
-    return f"aggregate(sequence(0L, {blocks} - 1), named_struct('ok', true, 'p', 0, 'q', 0), (t, b) -> {step})"
+    return tally_sql(f"sequence(0L, {blocks} - 1)", "named_struct('p', 0, 'q', 0)", peel_sql(f"zip_with({cut(one)}, {cut(other)}, {LESS})"))
+
+
+def retried_sql(first: str, second: str, blocks: str, seed: int) -> str:
+    """_z with its failed blocks halved, into numbers out of so many blocks, and sketched anew by another hash."""
+    anew = [cells_sql(block_sql(x, "b", blocks), seed) for x in (first, second)]
+    halves = "flatten(transform(_z.failed, f -> array(2 * f, 2 * f + 1)))"
+    return f"if(size(_z.failed) = 0, _z, {tally_sql(halves, '_z', peel_sql(f'zip_with({anew[0]}, {anew[1]}, {LESS})', seed))})"
 
 
 def once(rows: DataFrame, **values: str) -> DataFrame:
@@ -89,20 +114,20 @@ def once(rows: DataFrame, **values: str) -> DataFrame:
 def with_likeness(rows: DataFrame, one: str, other: str, name: str) -> DataFrame:
     """rows with the Jaccard similarity of two texts' unit sets; a text has the columns <text>_keys, _blocks and _cells.
 
-    The sketches are compared at the size of the larger one; each failure doubles it.
+    The sketches are compared at the size of the larger one. <name>_direct counts the blocks compared by their digests.
     """
     first, second = f"{one}_keys", f"{other}_keys"
     rows = rows.withColumn("_b", F.greatest(f"{one}_blocks", f"{other}_blocks"))
     rows = once(rows, **{c: f"if({x}_blocks = _b, {x}_cells, {sketch_sql(f'{x}_keys', '_b')})" for x, c in ((one, "_x"), (other, "_y"))})
-    rows = once(rows, _z=difference_sql("_x", "_y", "_b"))
-    for _ in range(RETRIES):
-        rows = rows.withColumn("_b", F.col("_b") * 2)
-        rows = once(rows, **{c: f"if(_z.ok, null, {sketch_sql(x, '_b')})" for x, c in ((first, "_x"), (second, "_y"))})
-        rows = once(rows, _z=f"if(_z.ok, _z, {difference_sql('_x', '_y', '_b')})")
-    missed = f"named_struct('ok', true, 'p', size(array_except({first}, {second})), 'q', size(array_except({second}, {first})))"
-    rows = once(rows, _z=f"if(_z.ok, _z, {missed})")
+    rows = once(rows, _z=difference_sql("_x", "_y", "_b")).drop("_x", "_y")
+    for seed in range(1, RETRIES + 1):
+        rows = once(rows, _z=retried_sql(first, second, f"(_b * {1 << seed}L)", seed))
+    x, y = (block_sql(k, "b", f"(_b * {1 << RETRIES}L)") for k in (first, second))
+    missed = let(f"named_struct('x', {x}, 'y', {y})", "s", "named_struct('ok', true, 'p', size(array_except(s.x, s.y)), 'q', size(array_except(s.y, s.x)))")
+    rows = rows.withColumn(f"{name}_direct", F.expr("size(_z.failed)"))
+    rows = once(rows, _z=f"if(size(_z.failed) = 0, _z, {tally_sql('_z.failed', '_z', missed)})")
     total, differ = f"(size({first}) + size({second}))", "(_z.p + _z.q)"
-    return rows.withColumn(name, F.expr(f"if({total} = 0, 1.0D, cast({total} - {differ} as double) / ({total} + {differ}))")).drop("_b", "_x", "_y", "_z")
+    return rows.withColumn(name, F.expr(f"if({total} = 0, 1.0D, cast({total} - {differ} as double) / ({total} + {differ}))")).drop("_b", "_z")
 
 
 def written(cells: str) -> Column:
@@ -133,19 +158,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     return copied.withColumn("next", F.lead("text").over(order)).where("copy = 0").drop("part", "copy")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs (doc_id, text).
-
-    edited is the text with its last floor(n_chars / 2) code points replaced by as many of the next row's (or all), in
-    descending doc_id. Null texts are empty; texts without units have equal fingerprints, and likeness 1 to each other.
-    Repeated units of a text count once. near_edited and near_next are the likeness to the edited and to the next text.
-    """
+def compared(docs: DataFrame, unit: int = UNIT) -> DataFrame:
+    """fingerprints() with near_edited_direct and near_next_direct, the blocks of a row that sketches could not decide."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_next(rows).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 2)), substring(next, 1, int(n_chars div 2)))"))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next")
-    rows = once(rows, **{f"{x}_keys": keys_sql(x) for x in ("text", "edited", "next")}).drop("text", "edited", "next")
+    rows = once(rows, **{f"{x}_keys": keys_sql(x, unit) for x in ("text", "edited", "next")}).drop("text", "edited", "next")
     rows = rows.select("*", *(F.expr(blocks_sql(f"size({x}_keys)")).alias(f"{x}_blocks") for x in ("text", "edited", "next")))
     rows = once(rows, **{f"{x}_cells": sketch_sql(f"{x}_keys", f"{x}_blocks") for x in ("text", "edited", "next")})
     rows = with_likeness(with_likeness(rows, "text", "edited", "near_edited"), "text", "next", "near_next")
-    return rows.select("doc_id", "n_chars", "edited_sha256", written("text_cells").alias("fingerprint"), written("edited_cells").alias("edited_fingerprint"), "near_edited", "near_next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", written("text_cells").alias("fingerprint"), written("edited_cells").alias("edited_fingerprint"), "near_edited", "near_next", "near_edited_direct", "near_next_direct")
+
+
+def fingerprints(docs: DataFrame, unit: int = UNIT) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs (doc_id, text).
+
+    edited is the text with its last floor(n_chars / 2) code points replaced by as many of the next row's (or all), in
+    descending doc_id. Null texts are empty; texts without units have equal fingerprints, and likeness 1 to each other.
+    Repeated units of a text count once. near_edited and near_next are the likeness to the edited and to the next text.
+    """
+    return compared(docs, unit).drop("near_edited_direct", "near_next_direct")
