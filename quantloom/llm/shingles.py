@@ -16,10 +16,8 @@ LOWER[65:91] += 32
 STEP = U64(0x9FB21C651E98DF25)
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and the index of each row's first word."""
-    if not len(raw):
-        return np.zeros(0, U64), np.zeros(len(at), np.int64)
+def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word [^\\x20\\x09-\\x0D]+, and the index of each row's first word."""
     solid = ~IS_SPACE[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[at[(at < len(raw))]] = True
@@ -28,8 +26,16 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | first[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return start, end, np.searchsorted(start, at)
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word with A-Z lower-cased, and the index of each row's first word."""
+    if not len(raw):
+        return np.zeros(0, U64), np.zeros(len(at), np.int64)
+    start, end, first = word_bounds(raw, at)
     prefix = HASH_A.prefix(LOWER[raw])
-    return HASH_A.ranges(prefix, start, end), np.searchsorted(start, at)
+    return HASH_A.ranges(prefix, start, end), first
 
 
 def joined(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:

@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import HASH_A, U64, byte_blocks, discard, materialize, mixed
+from quantloom.llm.common import HASH_A, HASH_B, U64, byte_blocks, discard, materialize, mixed
+from quantloom.llm.shingles import word_bounds
 from quantloom.llm.spans import cut_texts, removal_report, text_key
 
 MIN, GRAM, RUN, BLOCK = 400, 128, 16, 1 << 18
-STAGE_MIN, STAGE_GRAM = 256, 96
+STAGE_MIN, STAGE_GRAM, STAGE_WORDS = 256, 96, 51
 _A, _B = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 
 
@@ -149,11 +150,36 @@ def repeated_spans(docs: DataFrame, least: int = MIN, gram: int = GRAM) -> DataF
     return whole.union(runs_whole).union(singles).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, least: int, gram: int) -> DataFrame:
+def short_passages(docs: DataFrame, words: int, under: int) -> DataFrame:
+    """(key, spans array<struct<a, b>>) for the runs of so many words, of fewer bytes than under, that occur elsewhere too in
+    docs (key, text): what repeated_spans misses of repeats that are long in words but short in bytes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, raw, at in byte_blocks(batch.column(1), BLOCK):
+                start, end, first = word_bounds(raw, at)
+                row = np.repeat(np.arange(len(at) - 1), np.diff(first))
+                i = np.arange(max(0, len(start) - words + 1))
+                i = i[(row[i] == row[i + words - 1]) & (end[i + words - 1] - start[i] < under)]
+                if not len(i):
+                    continue
+                a, b, base = start[i], end[i + words - 1], at[row[i]]
+                hashes = [h.ranges(h.prefix(raw), a, b).view(np.int64) for h in (HASH_A, HASH_B)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row[i])), *(pa.array((x - base).astype(np.int32)) for x in (a, b)), *map(pa.array, hashes)], ["key", "a", "b", "h", "k"])
+
+    rows = materialize(docs.select("key", "text").mapInArrow(scan, "key binary, a int, b int, h long, k long"), "short-passages")
+    again = materialize(rows.groupBy("h", "k").agg(F.count("*").alias("n")).where("n > 1").select("h", "k"), "repeated-passages")
+    return rows.join(again, ["h", "k"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+
+
+def with_spans(docs: DataFrame, least: int, gram: int, words: int | None = None) -> DataFrame:
+    """docs with the spans of strings of least bytes, and of passages of so many words, that occur twice."""
     keyed = docs.withColumn("_key", text_key())
     rows = docs.select(text_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = materialize(repeated_spans(rows, least, gram).withColumnRenamed("key", "_key"), "spans")
-    return keyed.join(found, "_key", "left")
+    found = repeated_spans(rows, least, gram)
+    if words:
+        found = found.union(short_passages(rows, words, least)).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return keyed.join(materialize(found.withColumnRenamed("key", "_key"), "spans"), "_key", "left")
 
 
 def suffix_dedup(docs: DataFrame, least: int = MIN, gram: int = GRAM) -> DataFrame:
@@ -167,6 +193,7 @@ def suffix_dedup(docs: DataFrame, least: int = MIN, gram: int = GRAM) -> DataFra
 
 
 def suffix_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: passages of STAGE_MIN bytes or more that occur twice are cut from every text; no row goes."""
-    out = cut_texts(with_spans(docs, STAGE_MIN, STAGE_GRAM), docs.columns)
+    """Pipeline stage: passages of STAGE_MIN bytes or of STAGE_WORDS words or more that occur twice are cut from every text; no
+    row goes."""
+    out = cut_texts(with_spans(docs, STAGE_MIN, STAGE_GRAM, STAGE_WORDS), docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -31,3 +31,14 @@ def test_fingerprints_retry_failed_blocks_with_another_hash(spark):
     r = compared(spark.createDataFrame([(2, many), (1, many.replace("row 1", "now 1"))], "doc_id long, text string")).where("doc_id = 2").first()
     changed = sum(str(k).startswith("1") for k in range(3000))
     assert r.near_next == pytest.approx((3000 - changed) / (3000 + changed)) and r.near_next_direct == 0
+
+
+def test_stage_cuts_passages_of_short_words(spark):
+    from quantloom.llm.suffix_dedup import suffix_dedup_stage
+
+    passage = " ".join(f"{'abcdefghij'[k % 10]}{k}" for k in range(51))  # 51 words, under 256 bytes
+    shorter = " ".join(f"{'klmnopqrst'[k % 10]}{k}" for k in range(50))
+    texts = {1: f"One begins\n{passage} and ends.", 2: f"É {passage}", 3: f"x {shorter} y", 4: f"{shorter} z", 5: "Z" + passage, 6: None, 7: ""}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
+    got = {r.doc_id: r.text for r in suffix_dedup_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert len(passage) < 256 and got == texts | {1: "One begins\n and ends.", 2: "É "}
