@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The classifier is fitted on at most so many labelled rows, those of smallest hash, of at most so many bytes each.
-TRAIN_ROWS, TRAIN_BYTES = 8_000, 50_000
+from quantloom.llm.common import materialize
+
+#: The classifier is fitted on at most so many labelled rows, those of smallest hash, of at most so many bytes together.
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 20_000_000
 LEAST_DOCS, LEAST_Z, WORDS_MOST = 3, 4.0, 4000
 STEPS, RATE, SPARSITY, THRESHOLD = 250, 0.1, 2e-4, 0.3
 #: A-Z lower-cased, sentence ends as line feeds, other ASCII but letters and digits as spaces.
@@ -25,7 +27,10 @@ def sentences(text: str | None) -> list[set[bytes]]:
 
 
 class Model:
-    """Word weights and a bias: a sentence scores sigmoid(bias + its words' weights), a document 1 - product(1 - score)."""
+    """Word weights and a bias: a sentence scores sigmoid(bias + its words' weights), a document 1 - product(1 - score).
+
+    All sentences without known words count as one, so that a document's length alone never makes it toxic.
+    """
 
     def __init__(self, weights: dict[bytes, float], bias: float):
         self.weights, self.bias = weights, bias
@@ -41,22 +46,23 @@ class Model:
         base = float(np.log1p(np.exp(self.bias)))  # -log(1 - score) of a sentence without known words
         total, found, at = 0.0, [], 0
         if not known:
-            return float(-np.expm1(-base * max(1, sum(map(bool, map(bytes.strip, parts)))))), []
-        raw, seen, chars = (text or "").encode(), 0, 0
+            return float(-np.expm1(-base)), []
+        raw, seen, chars, plain = (text or "").encode(), 0, 0, False
         for part in parts:
             words = set(part.split())
             if words:
                 hit = known & words
-                z = self.bias + sum(map(self.weights.get, hit))
-                total += float(np.logaddexp(0.0, z))
+                plain |= not hit
                 if hit:
+                    z = self.bias + sum(map(self.weights.get, hit))
+                    total += float(np.logaddexp(0.0, z))
                     chars += len(raw[seen:at].decode())
                     end = at + len(part)
                     length = len(raw[at:end].decode())
                     found.append((chars, chars + length, float(1 / (1 + np.exp(-z)))))
                     seen, chars = end, chars + length
             at += len(part) + 1
-        return float(-np.expm1(-total)), found
+        return float(-np.expm1(-total - base * plain)), found
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
@@ -84,8 +90,9 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     del every, toxic, scored
     sentence, word, of = array("q"), array("q"), array("q")  # texts are split again, so that only these are held
     for d, text in enumerate(texts):
-        for words in sentences(text) or [set()]:
-            for i in sorted(vocabulary[w] for w in vocabulary.keys() & words):
+        known = [vocabulary.keys() & words for words in sentences(text)]
+        for words in [*filter(None, known), *([set()] if not all(known) or not known else [])]:
+            for i in sorted(vocabulary[w] for w in words):
                 sentence.append(len(of))
                 word.append(i)
             of.append(d)
@@ -116,8 +123,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    texts = docs.where(F.octet_length(F.coalesce(F.col("text"), F.lit(""))) <= TRAIN_BYTES).select("doc_id", F.col("text").cast("string"))
-    got = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").toPandas()
+    texts = docs.select("doc_id", F.col("text").cast("string"))
+    got = materialize(texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "labelled")
+    sizes = got.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    left, ids = TRAIN_BYTES, []
+    for r in sizes:  # a row that does not fit goes, not those after it
+        if r["size"] <= left:
+            left -= r["size"]
+            ids.append((r.doc_id,))
+    ids = docs.sparkSession.createDataFrame(ids, "id long")  # at most TRAIN_ROWS rows
+    got = got.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi").orderBy("doc_id").toPandas()
     return fit(got["text"].tolist(), got["toxic"].astype(int).tolist())
 
 

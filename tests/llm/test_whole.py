@@ -42,3 +42,27 @@ def test_stage_cuts_passages_of_short_words(spark):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
     got = {r.doc_id: r.text for r in suffix_dedup_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert len(passage) < 256 and got == texts | {1: "One begins\n and ends.", 2: "É "}
+
+
+def test_length_alone_is_not_toxic():
+    from quantloom.llm.toxicity import THRESHOLD, fit
+
+    texts = [f"plain words {k}. more of them." + (" vile thing." if k % 5 == 0 else "") for k in range(300)]
+    model = fit(texts, [int(k % 5 == 0) for k in range(300)])
+    assert model.score("A clean sentence. " * 40_000)[0] < THRESHOLD
+    assert model.score("A clean sentence. " * 40_000 + "A vile one.")[0] >= THRESHOLD
+
+
+def test_long_rows_enter_the_fit(spark, monkeypatch):
+    import quantloom.llm.toxicity as module
+
+    seen = []
+    monkeypatch.setattr(module, "fit", lambda texts, labels: seen.append(sorted(map(len, texts))))
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in ((0, 10), (1, 60_000), (3, 20), (4, 70_000), (5, 30))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    train = {i for i, in docs.where(~module.held_out()).select("doc_id").collect()}
+    want = sorted(n for i, n in ((0, 10), (1, 60_000), (3, 20), (4, 70_000), (5, 30)) if i in train)
+    module.train(docs, labels)
+    monkeypatch.setattr(module, "TRAIN_BYTES", 60_100)
+    module.train(docs, labels)
+    assert seen[0] == want and want[-1] >= 60_000 and sum(seen[1]) <= 60_100 and len(seen[1]) >= len(want) - 2
