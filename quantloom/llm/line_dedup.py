@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import materialize
 
-#: Units of fewer normalised characters are never removed.
+#: op6_line_dedup leaves units of fewer normalised characters alone, as its oracle does.
 LEAST_CHARS = 20
 
 
@@ -25,8 +25,8 @@ def normalised(unit: str) -> str:
     return _SPACES.sub(" ", unit.translate(_LOWER)).strip(" ")
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, unit_no, start, n_chars, digest of every line of at least LEAST_CHARS normalised characters."""
+def units(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, unit_no, start, n_chars, digest of every line of at least so many normalised characters; empty ones never."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,7 +35,7 @@ def units(docs: DataFrame) -> DataFrame:
                 at = 0
                 for k, unit in enumerate((text or "").split("\n")):
                     plain = normalised(unit)
-                    if len(plain) >= LEAST_CHARS:
+                    if len(plain) >= max(1, least):
                         rows.append((doc_id, k, at, len(unit), md5(plain.encode()).digest()))
                     at += len(unit) + 1
             if rows:
@@ -46,15 +46,41 @@ def units(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, unit_no int, start long, n_chars long, digest binary")
 
 
-def line_removals(docs: DataFrame) -> DataFrame:
+def line_removals(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """doc_id, unit_no, start, n_chars, kept_doc_id, kept_unit_no of every unit that repeats an earlier one.
 
-    Units are lines, normalised; order is doc_id (nulls last), then unit number. Units of fewer than LEAST_CHARS
-    normalised characters stay, so do null and empty texts. start and n_chars are code points of the original text.
+    Units are lines, normalised; order is doc_id (nulls last), then unit number. Units of fewer than
+    least normalised characters stay, so do null and empty texts. start and n_chars are code points of the original text.
     Repeated rows of one doc_id rank alike: the first occurrence in such rows stays in each of them.
     """
-    rows = materialize(units(docs), "units")
+    return repeated_units(docs, least).drop("digest")
+
+
+def repeated_units(docs: DataFrame, least: int) -> DataFrame:
+    """line_removals() with the digest of each unit."""
+    rows = materialize(units(docs, least), "units")
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "unit_no")
     first = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = rows.join(materialize(first, "first-units"), "digest").where(rank > F.col("first"))
-    return again.select("doc_id", "unit_no", "start", "n_chars", F.col("first.d").alias("kept_doc_id"), F.col("first.unit_no").alias("kept_unit_no"))
+    return again.select("doc_id", "unit_no", "start", "n_chars", F.col("first.d").alias("kept_doc_id"), F.col("first.unit_no").alias("kept_unit_no"), "digest")
+
+
+def without_repeated_lines(docs: DataFrame, least: int = 0) -> DataFrame:
+    """docs (doc_id, text, further columns) without the lines that line_removals lists, each with its line end; no row goes.
+
+    By default every non-empty line takes part.
+    """
+    gone = repeated_units(docs, least).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("unit_no", "digest")).alias("_gone"))
+    at = docs.columns.index("text")
+    rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_gone")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(batch.schema) - 1).to_pylist(), strict=True):
+                drop = {(s["unit_no"], s["digest"]) for s in spans or ()}  # with the digest, as rows may share an id
+                out.append("\n".join(x for k, x in enumerate(text.split("\n")) if (k, md5(normalised(x).encode()).digest()) not in drop) if drop and text is not None else text)
+            arrays = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(batch.schema) - 1)]
+            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-1])
+
+    return rows.mapInArrow(scan, docs.schema)

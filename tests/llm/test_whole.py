@@ -66,3 +66,13 @@ def test_long_rows_enter_the_fit(spark, monkeypatch):
     monkeypatch.setattr(module, "TRAIN_BYTES", 60_100)
     module.train(docs, labels)
     assert seen[0] == want and want[-1] >= 60_000 and sum(seen[1]) <= 60_100 and len(seen[1]) >= len(want) - 2
+
+
+def test_lines_are_cut_from_texts(spark):
+    from quantloom.llm.line_dedup import without_repeated_lines
+
+    rows = [(1, "Go\n\nstay here a while longer\nb"), (2, "go \nnew\nSTAY here a while  longer\n\nb"), (3, None), (None, "new\nold"), (None, "other\nnew"), (4, "new")]
+    got = sorted((str(r.doc_id), str(r.text)) for r in without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", "Go\n\nstay here a while longer\nb"), ("2", "new\n"), ("3", "None"), ("None", "old"), ("None", "other"), ("4", "")])
+    got = {r.doc_id: r.text for r in without_repeated_lines(spark.createDataFrame(rows[:2], "doc_id long, text string"), 20).collect()}
+    assert got[2] == "go \nnew\n\nb"
