@@ -30,6 +30,8 @@ ROUNDS = 1
 #: Pairs of Jaccard similarity s agree in s + (1 - s) / 4 of the bit pairs; 4.5 standard deviations below the threshold pass.
 SCREEN_DEVIATIONS = 4.5
 BITS = ("b0", "b1", "b2", "b3")
+#: A row's part in its group: all pairs count; or a block's row, in or outside its region's largest component, or a guest there.
+ALONE, INSIDE, OUTSIDE, GUEST = range(4)
 _WHAT = mixed(np.arange(1, SLOTS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 MULTIPLIERS = (_WHAT >> U64(32)).astype(np.uint32) | np.uint32(1)
 ADDENDS = _WHAT.astype(np.uint32)
@@ -145,10 +147,14 @@ def least_agreeing(similarity: float, codes: int) -> float:
 
 
 def passing(t: pa.Table, similarity: float, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs (i < j) of the same run that pass the screen, and in how many codes they agree; apart: of two components."""
+    """Row pairs (i < j) of the same run that pass the screen, and in how many codes they agree; apart: of two components.
+
+    With a column side, pairs in which it is not null are those of a GUEST and another row, once where both are outside.
+    """
     region, block, rep, n = (np.asarray(t.column(c)) for c in ("region", "block", "rep", "n"))
     bits = [np.asarray(t.column(c)).view(U64) for c in BITS]
     comp = np.asarray(t.column("comp")) if apart else None
+    side = np.asarray(t.column("side")) if "side" in t.column_names else None
     least = least_agreeing(similarity, 4)
     left, off, out = np.arange(len(region)), 0, []
     while True:
@@ -161,6 +167,10 @@ def passing(t: pa.Table, similarity: float, apart: bool) -> tuple[np.ndarray, np
         good = (rep[i] != rep[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
         if apart:
             good &= comp[i] != comp[j]
+        if side is not None:
+            x, y = side[i], side[j]
+            first = np.where(x == GUEST, rep[i] < rep[j], rep[j] < rep[i])
+            good &= (x == ALONE) | ((x == GUEST) != (y == GUEST)) & ((x == INSIDE) | (y == INSIDE) | first)
         i, j = i[good], j[good]
         lo, hi = ((bits[k][i] ^ bits[k][j]) | (bits[k + 2][i] ^ bits[k + 2][j]) for k in (0, 1))
         agree = SLOTS - np.bitwise_count(lo).astype(np.int32) - np.bitwise_count(hi)
@@ -233,7 +243,24 @@ def needy(rows: DataFrame, similarity: float) -> DataFrame:
             if len(i):
                 yield from t.take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
 
-    return dealt(rows, "rep", "n", *BITS, "comp").mapInArrow(scan, f"region long, block int, {ROW}, comp long")
+    return dealt(rows, "rep", "n", *BITS, "comp", "side").mapInArrow(scan, f"region long, block int, {ROW}, comp long, side int")
+
+
+def with_guests(rows: DataFrame) -> DataFrame:
+    """rows with side; in dealt regions, besides the blocks alone, groups of a block and a block of the rows outside the
+    region's largest component. So each such row meets every other row, and no group exceeds two blocks."""
+    alone = rows.withColumn("side", F.lit(ALONE))
+    blocks = rows.where("parts > 1")
+    if blocks.isEmpty():
+        return alone
+    largest = blocks.groupBy("region", "comp").count().groupBy("region").agg(F.max_by("comp", "count").alias("largest"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    sized = largest.withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / REGION).cast("int")).where("chunks > 0").select("region", "largest", "chunks")
+    blocks = materialize(blocks.join(sized, "region"), "dealt")
+    outside = blocks.where("comp <> largest").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), "chunks").cast("int"))
+    group = lambda block, chunk: (F.col(block) + F.col("parts") * (F.col(chunk) + 1)).cast("int")
+    hosts = blocks.withColumn("side", F.when(F.col("comp") == F.col("largest"), INSIDE).otherwise(OUTSIDE)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", group("block", "chunk"))
+    guests = outside.withColumn("side", F.lit(GUEST)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> block").withColumn("block", group("at", "chunk"))
+    return alone.unionByName(hosts.select(*alone.columns)).unionByName(guests.select(*alone.columns))
 
 
 def compare_apart(rows: DataFrame, docs: DataFrame, words: int, similarity: float, percent: int) -> DataFrame:
@@ -274,7 +301,7 @@ def compare_apart(rows: DataFrame, docs: DataFrame, words: int, similarity: floa
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["rep", "other"])
 
-    full = dealt(rows.join(sets, "rep"), "rep", "n", *BITS, "comp", "low")
+    full = dealt(rows.join(sets, "rep"), "rep", "n", *BITS, "comp", "side", "low")
     return full.mapInArrow(scan, "rep long, other long").distinct()
 
 
@@ -331,13 +358,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             break
         links = links.union(confirm(again, docs, words, percent))
         tried = tried.union(again)
-    last = labelled(links)
-    blocks = last.where("parts > 1")
-    if not blocks.isEmpty():  # documents outside the largest component of a dealt region meet all its blocks
-        largest = blocks.groupBy("region", "comp").count().groupBy("region").agg(F.max_by("comp", "count").alias("largest"))
-        outside = blocks.join(largest, "region").where("comp <> largest").drop("largest")
-        last = last.unionByName(outside.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> block").drop("block").withColumnRenamed("at", "block"))
-    rest = materialize(needy(last, similarity), "apart")
+    rest = materialize(needy(with_guests(labelled(links)), similarity), "apart")
     if not rest.isEmpty():
         close = materialize(compare_apart(rest, docs, words, similarity, percent), "close")
         links = links.union(confirm(close.join(tried.select("rep", "other"), ["rep", "other"], "left_anti"), docs, words, percent))

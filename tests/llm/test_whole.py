@@ -76,3 +76,25 @@ def test_lines_are_cut_from_texts(spark):
     assert got == sorted([("1", "Go\n\nstay here a while longer\nb"), ("2", "new\n"), ("3", "None"), ("None", "old"), ("None", "other"), ("4", "")])
     got = {r.doc_id: r.text for r in without_repeated_lines(spark.createDataFrame(rows[:2], "doc_id long, text string"), 20).collect()}
     assert got[2] == "go \nnew\n\nb"
+
+
+def test_guests_meet_each_row_once_in_groups_of_two_blocks(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    import quantloom.llm.near_dedup as module
+
+    monkeypatch.setattr(module, "REGION", 8)
+    rows = [(5, k % 6, 6, k, 10, 0, 0, 0, 0, 100 if k % 3 == 0 else k) for k in range(48)]  # 16 rows in the largest component
+    made = module.with_guests(spark.createDataFrame(rows, "region long, block int, parts int, rep long, n long, b0 long, b1 long, b2 long, b3 long, comp long"))
+    met, groups = Counter(), made.toPandas().sort_values(["region", "block", "rep"])
+    for _, group in groups.groupby(["region", "block"]):
+        import pyarrow as pa
+
+        assert len(group) <= 3 * module.REGION
+        t = pa.Table.from_pandas(group, preserve_index=False)
+        i, j, _ = module.passing(t, 0.8, apart=True)
+        rep = t.column("rep").to_pylist()
+        met.update(tuple(sorted((rep[x], rep[y]))) for x, y in zip(i, j, strict=True))
+    comp = {r[3]: r[9] for r in rows}
+    assert met == Counter(p for p in combinations(range(48), 2) if comp[p[0]] != comp[p[1]])
