@@ -98,3 +98,30 @@ def test_guests_meet_each_row_once_in_groups_of_two_blocks(spark, monkeypatch):
         met.update(tuple(sorted((rep[x], rep[y]))) for x, y in zip(i, j, strict=True))
     comp = {r[3]: r[9] for r in rows}
     assert met == Counter(p for p in combinations(range(48), 2) if comp[p[0]] != comp[p[1]])
+
+
+def test_sparse_links_in_a_dealt_region(spark, monkeypatch):
+    import quantloom.llm.near_dedup as module
+
+    # All share a long beginning, so that every tree has one region; copies are few and lie in other blocks.
+    monkeypatch.setattr(module, "REGION", 4)
+    monkeypatch.setattr(module, "minhash", lambda x: __import__("numpy").full(module.SLOTS, 7, "uint32"))
+    texts = {k: " ".join(f"w{k}x{i}" for i in range(40)) for k in range(40)}
+    texts |= {100 + k: texts[k] + " end" for k in range(0, 40, 5)}
+    got = module.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 2, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k % 100 for k in texts}
+
+
+def test_split_regions_get_further_trees(spark, monkeypatch):
+    import numpy as np
+    import quantloom.llm.near_dedup as module
+
+    monkeypatch.setattr(module, "REGION", 2)
+    shared = np.arange(module.SLOTS, dtype=np.uint32)
+    signs = [shared.copy() for _ in range(6)]
+    for k, s in enumerate(signs):  # each differs in the last hash of every tree of the first 16, in few slots in all
+        s[np.arange(module.TREES) * module.MAX_DEPTH + 3] += 1000 * (k + 1)
+    rows = [(k, 50, s.tobytes()) for k, s in enumerate(signs)]
+    made = module.forest_regions(spark.createDataFrame(rows, "rep long, n long, signature binary"))
+    met = made.groupBy("region").count().where("count > 1").count()
+    assert met > 0
