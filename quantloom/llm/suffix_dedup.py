@@ -3,8 +3,8 @@
 Rolling-hash triggers cut every text into phrases: a window of MIN bytes belongs to the trigger that is the leftmost minimum
 of the hashes of its GRAM-byte grams, so equal windows have equal triggers at equal places, whatever surrounds them. The
 dictionary is the set of distinct phrases (all windows of one trigger, with their bytes), the parse is where they occur.
-Suffixes only have to be ordered up to MIN bytes here, and only equality in that order counts, so corpus order is made by
-sorting hashes of ever shorter suffix runs, each refining the last:
+The suffix arrays of dictionary and parse that the method goes on with are left out: only equality of strings of MIN bytes
+counts here, so ever shorter runs are grouped by hash, each level refining the last:
 
 1. phrases: of triggers that occur once nothing repeats; equal phrases repeat as a whole;
 2. runs of RUN windows of the phrases that share a trigger but differ: what all windows of the run share must repeat;
