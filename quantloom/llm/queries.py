@@ -63,11 +63,11 @@ CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assis
 
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quantloom.llm.chat import formatted, read_back
+    from quantloom.llm.chat import read_back, written
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")
-    return read_back(formatted(rows.union(extra))).drop("n_tokens")
+    return read_back(written(rows.union(extra))).drop("n_tokens")
 
 
 @query
