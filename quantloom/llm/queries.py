@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -79,23 +80,26 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quantloom.llm.line_dedup import line_removals
+    """Every document without the lines that repeat earlier ones; removed_lines has unit:start+length of each in the original."""
+    from quantloom.llm.line_dedup import line_dedup
 
-    return line_removals(table(spark, sf_dir, "documents"))
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    told = F.array_join(F.transform("removed", lambda x: F.concat(x.unit_no, F.lit(":"), x.start, F.lit("+"), x.n_chars)), ",")
+    return out.select("doc_id", "n_removed", "chars_removed", told.alias("removed_lines"), "text")
 
 
 ORACLE["op6_line_dedup"] = r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-     n AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM l),
-     u AS (SELECT doc_id, i - 1 AS unit_no, length(parts[i]) AS n_chars,
-                  sum(length(parts[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(parts[i]) - 1 AS start,
+WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+     n AS (SELECT doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS i FROM l),
+     u AS (SELECT doc_id, text, i - 1 AS unit_no, parts[i] AS line, length(parts[i]) AS n_chars,
+                  CAST(sum(length(parts[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(parts[i]) - 1 AS BIGINT) AS start,
                   trim(regexp_replace(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g')) AS plain
            FROM n),
-     r AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit_no) OVER w AS kept_unit_no, row_number() OVER w AS k
-           FROM u WHERE length(plain) >= 20 WINDOW w AS (PARTITION BY plain ORDER BY doc_id, unit_no))
-SELECT doc_id, CAST(unit_no AS INTEGER) AS unit_no, CAST(start AS BIGINT) AS start, CAST(n_chars AS BIGINT) AS n_chars,
-       kept_doc_id, CAST(kept_unit_no AS INTEGER) AS kept_unit_no
-FROM r WHERE k > 1
+     r AS (SELECT *, plain <> '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, unit_no) > 1 AS gone FROM u)
+SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, CAST(coalesce(sum(n_chars) FILTER (WHERE gone), 0) AS BIGINT) AS chars_removed,
+       coalesce(string_agg(unit_no || ':' || start || '+' || n_chars, ',' ORDER BY unit_no) FILTER (WHERE gone), '') AS removed_lines,
+       CASE WHEN any_value(text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY unit_no) FILTER (WHERE NOT gone), '') END AS text
+FROM r GROUP BY doc_id
 """
 
 
@@ -103,7 +107,7 @@ FROM r WHERE k > 1
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.suffix_dedup import suffix_dedup
 
-    return suffix_dedup(table(spark, sf_dir, "documents"))
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=True)
 
 
 @query
