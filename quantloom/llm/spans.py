@@ -34,8 +34,13 @@ def text_key(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
-def removal_report(keyed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of rows (doc_id, text, spans array<struct<a, b>>), spans in bytes."""
+def removal_report(keyed: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of rows (doc_id, text, spans array<struct<a, b>>), spans in bytes.
+
+    with_text adds text, what is left of it (null: null); characters that a span covers only in part go whole there.
+    """
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,12 +48,14 @@ def removal_report(keyed: DataFrame) -> DataFrame:
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 a, b = merged(np.array([s["a"] for s in spans or ()], int), np.array([s["b"] for s in spans or ()], int))
-                rows.append((len(raw), int((b - a).sum()), len(a), hashlib.sha256(without(raw, a, b)).hexdigest()))
+                kept = without(raw, a, b)
+                left = (kept.decode("utf-8", "ignore") if text is not None else None,) * with_text
+                rows.append((len(raw), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), *left))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=False))], names)
 
-    return keyed.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "spans").mapInArrow(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    made = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
+    return keyed.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "spans").mapInArrow(scan, made)
 
 
 def cut_texts(keyed: DataFrame, columns: list[str]) -> DataFrame:

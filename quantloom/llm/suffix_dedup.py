@@ -182,14 +182,14 @@ def with_spans(docs: DataFrame, least: int, gram: int, words: int | None = None)
     return keyed.join(materialize(found.withColumnRenamed("key", "_key"), "spans"), "_key", "left")
 
 
-def suffix_dedup(docs: DataFrame, least: int = MIN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text).
+def suffix_dedup(docs: DataFrame, least: int = MIN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text left, for every row of docs (doc_id, text).
 
     Removed is each byte that a string of least bytes covers which also starts anywhere else, in the same text included;
     overlapping starts count. Null texts are empty; texts under least bytes lose nothing; rows of equal texts of at least
     that many bytes lose all. Extra columns are ignored.
     """
-    return removal_report(with_spans(docs, least, gram))
+    return removal_report(with_spans(docs, least, gram), with_text)
 
 
 def suffix_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
