@@ -125,3 +125,40 @@ def test_split_regions_get_further_trees(spark, monkeypatch):
     made = module.forest_regions(spark.createDataFrame(rows, "rep long, n long, signature binary"))
     met = made.groupBy("region").count().where("count > 1").count()
     assert met > 0
+
+
+def test_long_white_space_is_packed(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quantloom.llm.packing import packed_documents
+
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 3_999 + "b", "a" + " \n" * 2_000 + "b", ("word" + " " * 5_000) * 3, "\x85" * 5_000]
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {(r.doc_id, r.start): r for r in packed_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ids, at = np.array([*coder.encode(text, add_special_tokens=False).ids, 2], "<u4"), 0
+        while at < len(ids):
+            r = got.pop((i, at))
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+    assert not got
+
+
+def test_lines_and_paragraphs_are_removed_with_their_places(spark):
+    from quantloom.llm.line_dedup import line_dedup
+
+    rows = [(1, "Go\n\nstay here\nb"), (2, "go \nnew\nSTAY  here\n\nb"), (3, None), (None, "new\nold"), (None, "new\nold"), (4, ""), (5, "b\nx")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, removed string, key int")
+    got = sorted(((r.doc_id or 0, r.n_removed, r.chars_removed, r.text, [tuple(x) for x in r.removed]) for r in line_dedup(docs).collect()), key=str)
+    gone = [(0, 0, 3, 1, 0), (2, 8, 10, 1, 2), (4, 20, 1, 1, 3)]
+    want = [(1, 0, 0, "Go\n\nstay here\nb", []), (2, 3, 14, "new\n", gone), (3, 0, 0, None, []), (4, 0, 0, "", []), (5, 1, 1, "x", [(0, 0, 1, 1, 3)])]
+    want += [(0, 1, 3, "old", [(0, 0, 3, 2, 1)])] * 2
+    assert got == sorted(want, key=str)
+    long = "one\ntwo"
+    docs = spark.createDataFrame([(1, f"{long}\n \n\nend"), (2, f"start\n\nOne\ntwo"), (3, "two")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup(docs, kind="paragraph").collect()} == {1: f"{long}\n \n\nend", 2: "start", 3: "two"}
+    assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
