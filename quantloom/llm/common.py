@@ -80,47 +80,82 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def byte_table(seed: int) -> np.ndarray:
-    """256 odd random 64-bit values, from the seed alone."""
-    return mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
+#: Arrays are worked on in tiles that stay in the cache.
+PRIME, TILE = (1 << 31) - 1, 1 << 13
+
+
+def residues(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, of 64-bit values under 2**63."""
+    for _ in range(2):
+        y = x >> U64(31)
+        x = x & U64(PRIME)
+        x += y
+    np.subtract(x, U64(PRIME), out=x, where=x >= U64(PRIME))
+    return x
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
+    """Powers of a base and of its inverse modulo PRIME, grown as needed."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.base, self.inverse = base, pow(base, -1, PRIME)
         self.up = self.down = np.ones(1, U64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << int(n - 1).bit_length()
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, U64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+        while len(self.up) < n:
+            size = len(self.up)
+            self.up, self.down = (np.concatenate([x, residues(x * U64(pow(b, size, PRIME)))]) for x, b in ((self.up, self.base), (self.down, self.inverse)))
         return self.up[:n], self.down[:n]
 
 
 class RollingHash:
-    """Prefix sums that give a 64-bit hash of any byte range in O(1)."""
+    """Prefix sums that give a 62-bit hash of any byte range in O(1): two polynomials modulo a prime at independent points.
 
-    def __init__(self, seed: int, base: int):
-        self.values, self.powers = byte_table(seed), Powers(base)
+    A prime modulus, because modulo 2**64 words such as Thue's and its complement share their hash at every odd point.
+    """
+
+    def __init__(self, seed: int):
+        at = np.arange(1, 515, dtype=U64)
+        drawn = mixed(at * U64(0x9E3779B97F4A7C15) + U64(seed)) % U64(PRIME - 3) + U64(2)
+        self.values, self.powers = drawn[:512].reshape(2, 256), [Powers(int(x)) for x in drawn[512:]]
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        up, _ = self.powers.upto(len(data) + 1)
-        out = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.values[data] * up[: len(data)], out=out[1:])
+        """Sums of the terms before each place, not reduced."""
+        out = np.zeros((2, len(data) + 1), U64)
+        for row, values, powers in zip(out, self.values, self.powers, strict=True):
+            up, _ = powers.upto(len(data) + 1)
+            for lo in range(0, len(data), TILE):
+                hi = min(lo + TILE, len(data))
+                x = values[data[lo:hi]]
+                x *= up[lo:hi]
+                y = x >> U64(31)
+                x &= U64(PRIME)
+                x += y
+                x[0] += row[lo]
+                np.cumsum(x, out=row[lo + 1 : hi + 1])
         return out
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = self.powers.upto(len(prefix))
-        return mixed((prefix[end] - prefix[start]) * down[start])
+        return self._hashed(prefix, len(start), lambda row, lo, hi: row[end[lo:hi]] - row[start[lo:hi]], lambda down, lo, hi: down[start[lo:hi]])
+
+    def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
+        """Hash of every range of so many bytes."""
+        return self._hashed(prefix, max(0, prefix.shape[1] - width), lambda row, lo, hi: row[lo + width : hi + width] - row[lo:hi], lambda down, lo, hi: down[lo:hi])
+
+    def _hashed(self, prefix, n, terms, scale) -> np.ndarray:
+        out = np.empty(n, U64)
+        tables = [powers.upto(prefix.shape[1])[1] for powers in self.powers]
+        for lo in range(0, n, TILE):
+            hi = min(lo + TILE, n)
+            high, low = (residues(residues(terms(row, lo, hi)) * scale(down, lo, hi)) for row, down in zip(prefix, tables, strict=True))
+            high <<= U64(31)
+            high |= low
+            out[lo:hi] = mixed(high)
+        return out
 
 
-HASH_A = RollingHash(0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
-HASH_B = RollingHash(0x14057B7EF767814F, 0x9E3779B97F4A7C15)
+HASH_A = RollingHash(0x5851F42D4C957F2D)
+HASH_B = RollingHash(0x14057B7EF767814F)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

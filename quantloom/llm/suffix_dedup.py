@@ -54,8 +54,7 @@ def phrases(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 if not total:
                     continue
                 prefix = HASH_A.prefix(raw)
-                _, down = HASH_A.powers.upto(len(prefix))
-                grams = mixed((prefix[gram:] - prefix[:-gram]) * down[: len(prefix) - gram])
+                grams = HASH_A.windows(prefix, gram)
                 place = np.arange(len(grams), dtype=U64)
                 trigger = sliding_least((grams >> U64(32) << U64(32)) | place, least - gram + 1) & U64(0xFFFFFFFF)
                 window = np.repeat(at[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(total)
