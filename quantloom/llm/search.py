@@ -1,9 +1,15 @@
 """Exact BM25 top-k over an inverted index in shards, with block-max dynamic pruning.
 
-Documents are dealt into shards of about SHARD rows. A shard's inverted index has, for each term, its postings and the
-largest term weight in every block of BLOCK documents. For a query the short lists are added up first; the k-th best sum
-so far is the threshold. The block maxima of the long lists bound what any document can still gain; only documents whose
-bound reaches the threshold are scored in full. Scores are sums of integers, so shards merge exactly and ties are ties.
+One scan of the texts writes the index: shards of at most SHARD documents, each a row with its terms, their postings and
+counts. In a shard the documents stand by their most frequent term and length, so that alike ones share blocks. A search has
+two rounds over the shards. The first searches each query in one shard only; its k-th best score there is a threshold that
+holds everywhere. The second searches all shards with it.
+
+In a shard a query goes in document order, as in WAND, with blocks of BLOCK documents in place of single ones. Its short
+lists are added up first. A block's bound is its best sum so far and the block maxima of the query's long lists. The cursor
+moves to the next block whose bound reaches the threshold (the pivot), scores the run of such blocks from there by the long
+lists' postings, raises the threshold to the k-th best score so far, and goes on; postings of other blocks are not read.
+Scores are sums of integers, so bounds are exact, shards merge exactly and ties are ties.
 """
 
 from __future__ import annotations
@@ -12,15 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import U64, byte_blocks, materialize
+from quantloom.llm.common import U64, byte_blocks, fresh_path, materialize
 from quantloom.llm.shingles import word_hashes
 
-K1, B, SCALE, TOP, SHARD, BLOCK = 1.2, 0.75, 1_000_000, 10, 8192, 64
-#: Lists of more than this share of a shard's documents wait until the threshold is known.
-LONG = 1 / 32
+K1, B, SCALE, TOP, BLOCK = 1.2, 0.75, 1_000_000, 10, 64
+#: A shard ends with so many documents or postings; a document is in one shard.
+SHARD, POSTINGS = 8192, 3_000_000
+#: Lists of fewer documents of a shard are short. A run takes in up to GAP blocks under the threshold, and ends after RUN blocks.
+LONG, GAP, RUN = 32, 2, 48
+ASKED = 64
 
 
 def row_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -31,36 +42,83 @@ def row_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, words[first[i] : first[i + 1]]
 
 
-def term_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, length in words, distinct terms (word hashes) and their counts."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """doc_id, distinct terms (word hashes) of every query that has any."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, words in row_words(batch.column(1)):
+                if len(words):
+                    own = np.unique(words).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], ["doc_id", "terms"])
+
+    return queries.select("doc_id", "text").mapInArrow(scan, "doc_id long, terms array<long>")
+
+
+def packed(values: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(values, kind).tobytes()
+
+
+def shard_row(ids: list[int], sizes: list[int], terms: list[np.ndarray], counts: list[np.ndarray]) -> tuple:
+    """The inverted index of some documents: their ids and lengths in words, terms, documents of each term, postings."""
+    n = np.array([len(x) for x in terms])
+    known, term = np.unique(np.concatenate(terms), return_inverse=True)
+    df, doc = np.bincount(term, minlength=len(known)), np.repeat(np.arange(len(ids)), n)
+    leads = np.zeros(len(ids), np.int64)
+    np.maximum.at(leads, doc, df[term] * len(known) + term)  # a document's most frequent term in the shard
+    order = np.lexsort((np.array(sizes), leads))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    doc = place[doc]
+    by_term = np.argsort(term * len(ids) + doc, kind="stable")
+    return (len(ids), sum(sizes), packed(np.array(ids)[order], "<i8"), packed(np.array(sizes)[order], "<i8"), packed(known, "<u8"), packed(df, "<i4"), packed(doc[by_term], "<u2"), packed(np.concatenate(counts)[by_term], "<i4"))
+
+
+INDEX = {"documents": pa.int64(), "words": pa.int64(), "ids": pa.binary(), "sizes": pa.binary(), "terms": pa.binary(), "df": pa.binary(), "docs": pa.binary(), "counts": pa.binary()}
+
+
+def index_shards(docs: DataFrame, name: str = "bm25-index") -> DataFrame:
+    """The inverted index of docs (doc_id, text), a row for each shard, written to the shared folder."""
+    shard_docs, most = SHARD, POSTINGS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        postings = 0
+
+        def flushed() -> pa.RecordBatch:
+            row = shard_row(*held)
+            for part in held:
+                part.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, INDEX.values(), strict=True)], list(INDEX))
+
         for batch in batches:
-            row, sizes, terms, counts, held = 0, [], [], [], 0
+            ids = np.asarray(batch.column(0))
             for i, words in row_words(batch.column(1)):
                 own, n = np.unique(words, return_counts=True)
-                sizes.append(len(words))
-                terms.append(own.view(np.int64))
-                counts.append(n.astype(np.int32))
-                held += len(own)
-                if held > 1 << 19 or i == batch.num_rows - 1:
-                    at = pa.array(np.cumsum([0, *map(len, terms)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[row : i + 1], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(at, np.concatenate(terms)), pa.ListArray.from_arrays(at, np.concatenate(counts))], ["doc_id", "size", "terms", "counts"])
-                    row, sizes, terms, counts, held = i + 1, [], [], [], 0
+                for part, v in zip(held, (int(ids[i]), len(words), own, n), strict=True):
+                    part.append(v)
+                postings += len(own)
+                if len(held[0]) >= shard_docs or postings >= most:
+                    yield flushed()
+                    postings = 0
+        if held[0]:
+            yield flushed()
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, size long, terms array<long>, counts array<int>")
+    kinds = ", ".join(f"{k} {'long' if v == pa.int64() else 'binary'}" for k, v in INDEX.items())
+    return materialize(docs.select("doc_id", "text").mapInArrow(scan, kinds).withColumn("shard", F.monotonically_increasing_id()), name)
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """(term, df) over all documents; counted in each batch before the shuffle."""
+def document_counts(index: DataFrame) -> DataFrame:
+    """(term, df) over all shards."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [np.unique(words) for _, words in row_words(batch.column(1))]
-            terms, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, U64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
+            for k in range(batch.num_rows):
+                terms, df = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((0, "<i8"), (1, "<i4")))
+                for lo in range(0, len(terms), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(terms[lo : lo + (1 << 16)]), pa.array(df[lo : lo + (1 << 16)].astype(np.int64))], ["term", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return index.select("terms", "df").mapInArrow(scan, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def weight(idf: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -73,78 +131,128 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Inverted and forward index of some documents."""
-
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], mean: float):
-        n = np.array([len(x) for x in terms])
-        self.ids, self.forward_at, self.forward_n = ids, np.cumsum(n) - n, n
-        doc = np.repeat(np.arange(len(ids)), n)
-        self.terms, self.forward_term = np.unique(np.concatenate(terms), return_inverse=True)
-        tf = np.concatenate(counts).astype(float)
-        self.forward_part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes[doc] / mean)))
-        order = np.argsort(self.forward_term, kind="stable")
-        self.doc, self.part = doc[order], self.forward_part[order]
-        self.n = np.bincount(self.forward_term, minlength=len(self.terms))
+    """The inverted index of some documents; weights are computed for the terms that queries have, once each."""
+
+    def __init__(self, row: dict[str, memoryview], mean: float):
+        read = lambda name, kind: np.frombuffer(row[name], kind)
+        self.ids, self.terms, self.n = read("ids", "<i8"), read("terms", "<u8"), read("df", "<i4").astype(np.int64)
+        self.doc, tf, sizes = read("docs", "<u2").astype(np.int32), read("counts", "<i4").astype(float), read("sizes", "<i8")
+        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes[self.doc] / mean)))
         self.at = np.cumsum(self.n) - self.n
-        block = self.doc // BLOCK
-        term = self.forward_term[order]
-        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, int)
-        self.block, self.block_most = block[new], np.maximum.reduceat(self.part, new) if len(new) else np.zeros(0)
-        self.block_n = np.bincount(term[new], minlength=len(self.terms))
-        self.block_at = np.cumsum(self.block_n) - self.block_n
-
-    def search(self, query_id: int, terms: np.ndarray, idf: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """The top documents and their scores, best first; ties by id. The query itself and scores of 0 are left out."""
-        size = len(self.ids)
-        t = np.searchsorted(self.terms, terms)
-        known = (t < len(self.terms)) & (self.terms[np.minimum(t, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(t), bool)
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.long = np.full(len(self.terms), -1, np.int32)  # a long list's row in the two tables
+        lists = np.flatnonzero(self.n >= LONG)
+        self.long[lists] = np.arange(len(lists))
+        where = spread(self.at[lists], self.n[lists])
+        row_of, block = np.repeat(np.arange(len(lists)), self.n[lists]), self.doc[where] // BLOCK
+        cell = row_of * self.blocks + block
+        held = np.bincount(cell, minlength=len(lists) * self.blocks).reshape(-1, self.blocks)
+        self.offset = np.zeros((len(lists), self.blocks + 1), np.int64)  # where each block's postings begin
+        np.cumsum(held, axis=1, out=self.offset[:, 1:])
+        self.offset += self.at[lists][:, None]
+        self.block_most = np.zeros((len(lists), self.blocks))  # largest part, then largest weight
+        new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, int)
+        if len(new):
+            self.block_most.ravel()[cell[new]] = np.maximum.reduceat(self.part[where], new)
+        self.weight, self.ready = self.part, np.zeros(len(self.terms), bool)
+
+    def find(self, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Places of those of a query's terms that the shard has."""
+        t = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[t] == terms
         t, idf = t[known], idf[known]
-        long = self.n[t] > LONG * size
-        short, rest = t[~long], t[long]
+        fresh = ~self.ready[t]
+        new, by = t[fresh], idf[fresh]
+        where = spread(self.at[new], self.n[new])
+        self.weight[where] = weight(np.repeat(by, self.n[new]), self.weight[where])
+        rows = self.long[new]
+        self.block_most[rows[rows >= 0]] = weight(by[rows >= 0, None], self.block_most[rows[rows >= 0]])
+        self.ready[new] = True
+        return t
+
+    def search(self, query_id: int, terms: np.ndarray, idf: np.ndarray, threshold: float, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that score the threshold or more, the best at most top, and their scores; scores of 0 and the query itself
+        are left out. Best first, ties by id."""
+        size, none = len(self.ids), (np.zeros(0, np.int64), np.zeros(0))
+        if not size or not len(self.terms):
+            return none
+        t = self.find(terms, idf)
+        rows = self.long[t]
+        short, rows = t[rows < 0], rows[rows >= 0]
         where = spread(self.at[short], self.n[short])
-        score = np.bincount(self.doc[where], weight(np.repeat(idf[~long], self.n[short]), self.part[where]), size)
-        threshold = np.partition(score, -top - 1)[-top - 1] if size > top + 1 else 0.0
-        where = spread(self.block_at[rest], self.block_n[rest])
-        gain = np.bincount(self.block[where], weight(np.repeat(idf[long], self.block_n[rest]), self.block_most[where]), -(-size // BLOCK))
-        bound = score + gain[np.arange(size) // BLOCK]
-        left = np.flatnonzero((bound >= threshold) & (bound > 0) & (self.ids != query_id))
-        own = np.zeros(len(self.terms))
-        own[rest] = idf[long]
-        n = self.forward_n[left]
-        where = spread(self.forward_at[left], n)
-        more = np.bincount(np.repeat(np.arange(len(left)), n), weight(own[self.forward_term[where]], self.forward_part[where]), len(left))
-        total = score[left] + more
-        best = np.lexsort((self.ids[left], -total))[:top]
-        best = best[total[best] > 0]
-        return self.ids[left[best]], total[best]
-
-
-def search_shards(rows: DataFrame, mean: float, top: int) -> DataFrame:
-    """(query_id, doc_id, points) of every shard; rows have a shard's documents (query = 0) and then every query."""
+        score = np.bincount(self.doc[where], self.weight[where], self.blocks * BLOCK)
+        own = self.ids == query_id
+        bound = score.reshape(-1, BLOCK).max(axis=1) + self.block_most[rows].sum(axis=0)
+        threshold = max(threshold, 1.0)
+        ids, points = none
+        at = 0
+        while at < self.blocks:
+            ahead = np.flatnonzero(bound[at : at + RUN + GAP] >= threshold)
+            if not len(ahead):
+                at += RUN + GAP
+                continue
+            pivot = at + int(ahead[0])
+            gaps = np.flatnonzero(np.diff(ahead) > GAP + 1)
+            end = min(at + int(ahead[gaps[0]] if len(gaps) else ahead[-1]) + 1, pivot + RUN)
+            a, b = self.offset[rows, pivot].tolist(), self.offset[rows, end].tolist()
+            lo, hi = pivot * BLOCK, min(end * BLOCK, size)
+            total = score[lo:hi]
+            if a:
+                doc = np.concatenate([self.doc[x:y] for x, y in zip(a, b, strict=True)])
+                doc -= lo
+                total = total + np.bincount(doc, np.concatenate([self.weight[x:y] for x, y in zip(a, b, strict=True)]), hi - lo)
+            good = np.flatnonzero((total >= threshold) & ~own[lo:hi])
+            if len(good):
+                ids, points = np.append(ids, self.ids[lo:hi][good]), np.append(points, total[good])
+                if len(points) > top:
+                    best = np.lexsort((ids, -points))[:top]
+                    ids, points = ids[best], points[best]
+                if len(points) == top:
+                    threshold = max(threshold, points.min())
+            at = end
+        best = np.lexsort((ids, -points))
+        return ids[best], points[best]
+
+
+def asked_in(path: str) -> Iterator[pa.RecordBatch]:
+    """The queries' table in batches."""
+    store, root = fs.FileSystem.from_uri(path)
+    for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
+        if info.path.endswith(".parquet") and info.size:
+            with store.open_input_file(info.path) as file:
+                yield from pq.ParquetFile(file).iter_batches(ASKED)
+
+
+def search_shards(index: DataFrame, queries: str, mean: float, top: int, shards: int, home: bool) -> DataFrame:
+    """(query_id, doc_id, points) of the index's shards for the queries' table at a path; home: of one shard for each query.
+
+    Each shard reads the queries in batches, so that they are neither copied by a shuffle nor held whole.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, shard = None, [], None
         for batch in batches:
-            cells = [batch.column(k) for k in range(6)]
-            number, query, ids, sizes = (np.asarray(cells[k]) for k in range(4))
-            out: list[tuple[int, np.ndarray, np.ndarray]] = []
-            of = lambda k, r, cells=cells: np.asarray(cells[k][r].values)
-            for r in range(batch.num_rows):
-                if number[r] != now:
-                    now, held, shard = number[r], [], None
-                if not query[r]:
-                    held.append((ids[r], sizes[r], of(4, r).view(U64), of(5, r)))
-                    continue
-                if shard is None:
-                    shard = Shard(np.array([x[0] for x in held]), np.array([x[1] for x in held]), [x[2] for x in held], [x[3] for x in held], mean) if held else False
-                    held = []
-                if shard:
-                    found, points = shard.search(ids[r], of(4, r).view(U64), of(5, r), top)
-                    out.append((ids[r], found, points))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out])), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]).astype(np.int64))], ["query_id", "doc_id", "points"])
-
-    return rows.mapInArrow(scan, "query_id long, doc_id long, points long")
+            for k in range(batch.num_rows):
+                number = batch.column("number")[k].as_py()
+                shard = Shard({c: batch.column(c)[k].as_buffer() for c in ("ids", "sizes", "terms", "df", "docs", "counts")}, mean)
+                for asked in asked_in(queries):
+                    query, chosen, threshold = (np.asarray(asked.column(c)) for c in ("doc_id", "home", "threshold"))
+                    out: list[tuple[int, np.ndarray, np.ndarray]] = []
+                    for r in np.flatnonzero(chosen % shards == number) if home else range(asked.num_rows):
+                        terms, idf = (np.asarray(asked.column(c)[int(r)].values) for c in ("terms", "idf"))
+                        found, points = shard.search(query[r], terms.view(U64), idf, threshold[r], top)
+                        if len(found):
+                            out.append((query[r], found, points))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out])), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]).astype(np.int64))], ["query_id", "doc_id", "points"])
+
+    return index.drop("documents", "words", "shard").mapInArrow(scan, "query_id long, doc_id long, points long")
+
+
+def written(queries: DataFrame, name: str) -> str:
+    """Where the queries' table now lies, in small row groups."""
+    path = fresh_path(queries.sparkSession, name)
+    queries.write.option("parquet.block.size", 8 << 20).parquet(path)
+    return path
 
 
 def top_documents(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
@@ -154,22 +262,27 @@ def top_documents(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
     floor(1e6 * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) + 0.5) points,
     score is points / 1e6. Ties go to the smaller doc_id. A query's own id and documents without a common word are left
     out. Null texts are empty and match nothing; rows with a null doc_id count in no statistic and are never found. Rows
-    of one doc_id are found separately.
+    of one doc_id are found separately; as queries they are one, of all their words. Extra columns are ignored.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    asked = queries.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    indexed = term_rows(rows)
-    total, words = rows.select(F.count("*"), F.sum(F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long"))).first()
-    mean = (words or 0) / total if words else 1.0
-    shards = max(1, -(-(total or 0) // SHARD))
-    spec = term_rows(asked).select("doc_id", F.explode("terms").alias("term"))
-    df = document_counts(rows).join(spec.select("term").distinct(), "term", "left_semi")
-    idf = F.log(1 + (F.lit(float(total or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    spec = materialize(spec.join(df, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t")).select("doc_id", "t.term", "t.idf"), "queries")
-    own = indexed.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "doc_id", "size", "terms", F.col("counts").cast("array<double>").alias("counts"))
-    every = spec.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), "doc_id", F.lit(0).cast("long").alias("size"), F.col("term").alias("terms"), F.col("idf").alias("counts"))
-    dealt = own.union(every).repartition(shards, "shard").sortWithinPartitions("shard", "query", "doc_id")
-    found = search_shards(dealt, mean, top)
+    spark = docs.sparkSession
+    plain = lambda rows: rows.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    index = index_shards(plain(docs))
+    total, words, shards = index.select(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
+    mean = words / total if words else 1.0
+    spec = materialize(query_terms(plain(queries)).select("doc_id", F.explode("terms").alias("term")).distinct(), "query-terms")
+    df = document_counts(index).join(spec.select("term").distinct(), "term", "left_semi")
+    idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    spec = spec.join(df, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
+    asked = spec.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("home"), "t.term", "t.idf").toDF("doc_id", "home", "terms", "idf")
+    first = written(asked.withColumn("threshold", F.lit(0.0)), "queries")
+    # A shard's number is its place in the order of its names.
+    numbers = index.select("shard").withColumn("number", F.row_number().over(Window.orderBy("shard")) - 1)
+    index = index.join(F.broadcast(numbers), "shard")  # a row for each SHARD documents
+    seen = search_shards(index, first, mean, top, max(1, shards), True)
+    least = seen.groupBy("query_id").agg(F.count("*").alias("n"), F.min("points").alias("least")).where(F.col("n") >= top)
+    asked = spark.read.parquet(first).drop("threshold")
+    second = written(asked.join(least, F.col("doc_id") == F.col("query_id"), "left").select(*asked.columns, F.coalesce("least", F.lit(0)).cast("double").alias("threshold")), "queries")
+    found = search_shards(index, second, mean, top, max(1, shards), False)
     order = Window.partitionBy("query_id").orderBy(F.col("points").desc(), "doc_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.select("query_id", "rank", "doc_id", (F.col("points") / F.lit(float(SCALE))).alias("score"))

@@ -162,3 +162,60 @@ def test_lines_and_paragraphs_are_removed_with_their_places(spark):
     docs = spark.createDataFrame([(1, f"{long}\n \n\nend"), (2, f"start\n\nOne\ntwo"), (3, "two")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup(docs, kind="paragraph").collect()} == {1: f"{long}\n \n\nend", 2: "start", 3: "two"}
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_of_two_letters_in_thues_order_differ():
+    import numpy as np
+    from quantloom.llm.common import HASH_A
+
+    word = np.array([97 + bin(k).count("1") % 2 for k in range(2048)], np.uint8)
+    hashed = lambda x: int(HASH_A.ranges(HASH_A.prefix(x), np.array([0]), np.array([len(x)]))[0])
+    for n in (1024, 2048):
+        assert hashed(word[:n]) != hashed(195 - word[:n])
+    text = np.frombuffer(b"abcabcabcdabc" * 3000, np.uint8)  # longer than a tile
+    prefix = HASH_A.prefix(text)
+    got = {}
+    for k, h in enumerate(HASH_A.windows(prefix, 7).tolist()):
+        assert got.setdefault(text[k : k + 7].tobytes(), h) == h
+    assert len(set(got.values())) == len(got)
+
+
+def test_block_max_search_is_exact_at_any_threshold(monkeypatch):
+    import numpy as np
+    import quantloom.llm.search as module
+
+    for name, value in (("BLOCK", 4), ("LONG", 5), ("GAP", 1), ("RUN", 3)):
+        monkeypatch.setattr(module, name, value)
+    rng = np.random.RandomState(3)
+    terms = [np.unique(rng.zipf(1.3, rng.randint(0, 40)).clip(1, 60)).astype(np.uint64) for _ in range(150)]
+    counts = [rng.randint(1, 5, len(x)) for x in terms]
+    sizes, ids = [int(c.sum()) for c in counts], rng.permutation(1000)[:150].tolist()
+    row = module.shard_row(ids, sizes, terms, counts)
+    shard = module.Shard(dict(zip(module.INDEX, row, strict=True)), 20.0)
+    idf = rng.rand(61) * 3
+    for k in range(150):
+        scores = {}
+        for i, size, own, n in zip(ids, sizes, terms, counts, strict=True):
+            both = [(t, c) for t, c in zip(own.tolist(), n.tolist(), strict=True) if t in terms[k]]
+            scores[i] = sum(int(module.weight(idf[t], c * 2.2 / (c + 1.2 * (0.25 + 0.75 * (size / 20.0))))) for t, c in both)
+        best = sorted(((-s, i) for i, s in scores.items() if s > 0 and i != ids[k]))
+        for threshold in (0.0, float(-best[9][0]) if len(best) > 9 else 1.0, float(-best[0][0]) if best else 5.0, 1e12):
+            found, points = shard.search(ids[k], terms[k], idf[terms[k].astype(int)], threshold, 10)
+            want = [x for x in best if -x[0] >= threshold][:10]
+            assert list(zip((-points).tolist(), found.tolist(), strict=True)) == want
+
+
+def test_search_over_many_shards(spark, monkeypatch):
+    import random
+
+    import quantloom.llm.search as module
+
+    rng = random.Random(9)
+    texts = [(k, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(0, 60)))) for k in range(300)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in [*texts, (None, "w1"), (400, None)]], "doc_id long, text string, shard int, term string").repartition(3)
+    rows = lambda: [tuple(r) for r in module.top_documents(docs, docs.where("doc_id % 7 = 0"), 5).orderBy("query_id", "rank").collect()]
+    whole = rows()
+    monkeypatch.setattr(module, "SHARD", 20)
+    assert rows() == whole and len(whole) > 150
+    again = docs.where("doc_id = 7").union(docs.where("doc_id = 7"))
+    assert [tuple(r) for r in module.top_documents(docs, again, 5).orderBy("rank").collect()] == [r for r in whole if r[0] == 7]
