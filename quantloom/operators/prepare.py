@@ -36,32 +36,46 @@ def duplicate_keys(frame: DataFrame, kind: str = "ohlcv") -> DataFrame:
     return frame.groupBy(*KEYS[kind]).count().where("count > 1")
 
 
-def clean_ohlcv(frame: DataFrame, duplicates: str = "error") -> DataFrame:
-    """The frame with unique keys and only valid bars; raises on nulls, invalid bars and, unless last_observed, duplicates."""
-    needed = KEYS["ohlcv"] + PRICES + ("volume", "observed_at")
-    require_columns(frame, needed)
+def require_clean(frame: DataFrame, duplicates: str, further: dict[str, Column] | None = None) -> None:
+    """Raise on nulls, invalid bars, what else is told and, unless last_observed, duplicate keys: one aggregation by key."""
+    require_columns(frame, KEYS["ohlcv"] + PRICES + ("volume", "observed_at"))
     if duplicates not in ("error", "last_observed"):
         raise ValueError(f"unknown policy: {duplicates}")
-    nulls, invalid = frame.agg(F.count_if(any_null(frame.columns)), F.count_if(invalid_bar())).first()
-    if nulls or invalid:
-        raise ValueError(f"{nulls} rows with nulls, {invalid} invalid bars")
-    if duplicates == "last_observed":
-        return keep_last_observed(frame)
-    if not duplicate_keys(frame).isEmpty():
-        raise ValueError("duplicate bars")
-    return frame
+    tests = {"rows with nulls": any_null(frame.columns), "invalid bars": invalid_bar(), **(further or {})}
+    per = frame.groupBy(*KEYS["ohlcv"]).agg(F.count("*").alias("_n"), *(F.count_if(v).alias(f"_t{k}") for k, v in enumerate(tests.values())))
+    got = per.agg(*(F.coalesce(F.sum(f"_t{k}"), F.lit(0)) for k in range(len(tests))), F.count_if(F.col("_n") > 1)).first()
+    found = {name: n for name, n in zip((*tests, "duplicate keys"), got, strict=True) if n and (name != "duplicate keys" or duplicates == "error")}
+    if found:
+        raise ValueError(", ".join(f"{n} {name}" for name, n in found.items()))
+
+
+def clean_ohlcv(frame: DataFrame, duplicates: str = "error") -> DataFrame:
+    """The frame with unique keys and only valid bars; raises on nulls, invalid bars and, unless last_observed, duplicates."""
+    require_clean(frame, duplicates)
+    return keep_last_observed(frame) if duplicates == "last_observed" else frame
+
+
+def grid_times(start: int, end: int, step: int) -> Column:
+    """A row for each time of the half-open [start, end)."""
+    return F.explode(F.transform(F.sequence(F.lit(start), F.lit(end - 1), F.lit(step)), F.timestamp_millis))
 
 
 def align_ohlcv(frame: DataFrame, start: int, end: int, interval: str, missing: str = "leave_null") -> DataFrame:
-    """Every market on the whole grid [start, end) in epoch ms. forward_close fills a gap with the last close and volume 0
-    and marks it; leading gaps stay null and unmarked."""
+    """Every market on the whole grid [start, end) in epoch ms, an interval begun before the end included. forward_close fills
+    a gap with the last close and volume 0 and marks it; leading gaps stay null and unmarked.
+
+    The frame is held to the rules of clean_ohlcv. A window that is empty or does not start on the interval's grid raises, and
+    so do bars outside it or off its grid; all bars are tested in one pass.
+    """
     step = interval_ms(interval)
+    if end <= start or start % step:
+        raise ValueError("the window is empty or starts off the grid")
     if missing not in ("leave_null", "forward_close"):
         raise ValueError(f"unknown policy: {missing}")
     ms = F.unix_millis("timestamp")
-    if not frame.where((ms < start) | (ms >= end) | (F.pmod(ms - start, F.lit(step)) != 0)).isEmpty():
-        raise ValueError("rows outside the window or off its grid")
-    grid = frame.select(*GROUPS).distinct().withColumn("timestamp", F.explode(F.transform(F.sequence(F.lit(start), F.lit(end - step), F.lit(step)), F.timestamp_millis)))
+    outside = (ms < start) | (ms >= end) | (F.pmod(ms - start, F.lit(step)) != 0)
+    require_clean(frame, "error", {"bars outside the window or off its grid": outside})
+    grid = frame.select(*GROUPS).distinct().withColumn("timestamp", grid_times(start, end, step))
     full = grid.join(frame, [*GROUPS, "timestamp"], "left")
     if missing == "leave_null":
         return full.withColumn("is_imputed", F.lit(False))
@@ -100,7 +114,9 @@ def apply_adjustments(frame: DataFrame, factors: DataFrame) -> DataFrame:
 def calendar(frame: DataFrame, eligibility: DataFrame, start: int, end: int, interval: str) -> DataFrame:
     """symbol, timestamp, status of the grid: outside_eligibility, observed or missing; eligibility outranks presence."""
     step = interval_ms(interval)
-    grid = eligibility.select("symbol", "eligible_from", "eligible_until", F.explode(F.transform(F.sequence(F.lit(start), F.lit(end - step), F.lit(step)), F.timestamp_millis)).alias("timestamp"))
+    if end <= start or start % step:
+        raise ValueError("the window is empty or starts off the grid")
+    grid = eligibility.select("symbol", "eligible_from", "eligible_until", grid_times(start, end, step).alias("timestamp"))
     seen = frame.select("symbol", "timestamp").distinct().withColumn("seen", F.lit(True))
     inside = (F.col("timestamp") >= F.col("eligible_from")) & (F.col("timestamp") < F.col("eligible_until"))
     status = F.when(~inside, "outside_eligibility").when(F.coalesce("seen", F.lit(False)), "observed").otherwise("missing")

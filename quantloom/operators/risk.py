@@ -1,58 +1,96 @@
-"""Order gates as reason columns: the first failing rule of an ordered list, null where all pass."""
+"""Order gates as reason columns: the first failing rule of an ordered list, null where all pass.
+
+Gates fail closed: a rule of unknown value denies the order, so do missing limits.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The reasons of a denial.
+INCOMPLETE = "risk limits are incomplete"
+NO_FRESHNESS = "risk configuration incomplete: snapshot freshness limit is missing"
+DISABLED = "execution is disabled; live trading is unavailable"
+
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
-    """The name of the first rule that holds; a rule of unknown value does not hold."""
+    """The name of the first rule that holds or cannot be decided."""
     out = F.lit(None).cast("string")
     for name, fails in reversed(rules):
-        out = F.when(F.coalesce(fails, F.lit(False)), F.lit(name)).otherwise(out)
+        out = F.when(F.coalesce(fails, F.lit(True)), F.lit(name)).otherwise(out)
     return out
 
 
-def limit_reason(max_notional: float, max_leverage: float, max_loss: float, max_drawdown: float) -> Column:
-    """Reason for rows (notional, equity, gross, daily_loss, drawdown): over a size limit, at or over a loss limit."""
-    leverage = F.try_divide(F.col("gross") + F.col("notional"), F.when(F.col("equity") > 0, F.col("equity")))
+def limit_reason(max_notional: float | None, max_daily_loss: float | None, max_drawdown: float | None, max_leverage: float | None, max_snapshot_age_ms: float | None) -> Column:
+    """Reason for rows (quote_currency, base_currency, notional, daily_loss, drawdown, gross, equity): over a size limit, at or
+    over a loss limit. Every order adds to the exposure."""
+    if None in (max_notional, max_daily_loss, max_drawdown, max_leverage, max_snapshot_age_ms):
+        return F.lit(INCOMPLETE)
     return first_reason([
-        ("equity", F.col("equity") <= 0), ("notional", F.col("notional") > max_notional), ("leverage", leverage > max_leverage),
-        ("daily_loss", F.col("daily_loss") >= max_loss), ("drawdown", F.col("drawdown") >= max_drawdown),
+        ("order and portfolio currencies differ", F.col("quote_currency") != F.col("base_currency")),
+        ("maximum order notional exceeded", F.col("notional") > max_notional),
+        ("daily loss limit reached", F.col("daily_loss") >= max_daily_loss),
+        ("drawdown limit reached", F.col("drawdown") >= max_drawdown),
+        ("leverage limit exceeded", F.col("gross") + F.col("notional") > F.col("equity") * max_leverage),
     ])
 
 
-def quote_reason(symbols: list[str], max_age_s: float, max_spread_bps: float, max_deviation_bps: float, max_weight: float) -> Column:
-    """Reason for rows (symbol, age_s, bid, ask, price, quantity, equity, held): quote and concentration checks."""
-    mid = (F.col("bid") + F.col("ask")) / 2
-    bps = lambda x: F.try_divide(x * 10_000, mid)
+def gate_reason(mode: str, max_notional: float | None, max_daily_loss: float | None, max_drawdown: float | None, max_leverage: float | None, max_snapshot_age_ms: float | None) -> Column:
+    """limit_reason() behind the execution mode and the age of the portfolio snapshot (snapshot_age_ms)."""
+    if mode != "paper":
+        return F.lit(DISABLED)
+    age = F.col("snapshot_age_ms")
+    rules = [("portfolio snapshot is from the future", age < 0)]
+    rules.append((NO_FRESHNESS, F.lit(True)) if max_snapshot_age_ms is None else ("portfolio snapshot is stale", age > max_snapshot_age_ms))
+    return F.coalesce(first_reason(rules), limit_reason(max_notional, max_daily_loss, max_drawdown, max_leverage, max_snapshot_age_ms))
+
+
+def quote_reason(max_age_ms: float, max_spread_bps: float, max_deviation_bps: float, max_position_fraction: float) -> Column:
+    """Reason for rows (order_symbol, symbol, age_ms, bid, ask, reference_price, exposure, price, notional, equity): the market
+    observation and the order's symbol position. Spread and deviation are relative to the reference price."""
+    bps = lambda x: F.try_divide(x, F.col("reference_price")) * 10_000
     return first_reason([
-        ("symbol", ~F.col("symbol").isin(symbols)), ("quote_age", (F.col("age_s") < 0) | (F.col("age_s") > max_age_s)),
-        ("quote", (F.col("bid") <= 0) | (F.col("ask") <= F.col("bid"))), ("exposure", F.col("quantity") <= 0),
-        ("spread", bps(F.col("ask") - F.col("bid")) > max_spread_bps), ("deviation", bps(F.abs(F.col("price") - mid)) > max_deviation_bps),
-        ("concentration", F.try_divide(F.col("held") + F.col("price") * F.col("quantity"), F.col("equity")) > max_weight),
+        ("market symbol differs from order", F.col("symbol") != F.col("order_symbol")),
+        ("market observation is stale or from the future", (F.col("age_ms") < 0) | (F.col("age_ms") > max_age_ms)),
+        ("invalid current symbol exposure", F.col("exposure") < 0),
+        ("market spread limit exceeded", bps(F.col("ask") - F.col("bid")) > max_spread_bps),
+        ("order price deviates from reference", bps(F.abs(F.col("price") - F.col("reference_price"))) > max_deviation_bps),
+        ("symbol position limit exceeded", F.col("exposure") + F.col("notional") > F.col("equity") * max_position_fraction),
     ])
 
 
-def snapshot_reason(mode: str, max_age_s: float) -> Column:
-    """Reason for rows (mode, snapshot_age_s): a wrong mode, or a snapshot from the future or too old."""
-    return first_reason([("mode", F.col("mode") != mode), ("snapshot_age", (F.col("snapshot_age_s") < 0) | (F.col("snapshot_age_s") > max_age_s))])
+def denial_kind(quote: Column, gate: Column) -> Column:
+    """What a denial counts as: of the market check by its reason, of the gate behind it as portfolio; null if authorized."""
+    kinds = (("stale", "stale_market"), ("spread", "spread"), ("deviates", "price_jump"), ("position", "position"))
+    out = F.when(quote.isNull(), F.when(gate.isNotNull(), F.lit("portfolio")))
+    for word, kind in kinds:
+        out = out.when(quote.contains(word), F.lit(kind))
+    return out.otherwise(F.lit("other"))
 
 
 def denial_counts(rows: DataFrame, reason: str = "reason") -> DataFrame:
-    return rows.groupBy(F.coalesce(reason, F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("orders"))
+    return rows.groupBy(F.coalesce(reason, F.lit("approved")).alias("outcome")).agg(F.count("*").alias("orders"))
+
+
+def _blank(*names: str) -> Column:
+    out = F.lit(False)
+    for name in names:
+        out = out | (F.col(name) == "")
+    return out
 
 
 # Row constraints of the domain records: true where a row breaks one.
 VIOLATIONS = {
-    "signal": lambda: (F.col("observed_through") > F.col("as_of")) | F.isnan("score"),
+    "bar": lambda: _blank("symbol") | (F.least("open", "high", "low", "close") <= 0) | (F.col("volume") < 0) | (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close", "low")),
+    "signal": lambda: (F.col("observed_through") > F.col("as_of")) | F.isnan("score") | (F.abs("score") == float("inf")),
     "position": lambda: (F.col("weight") < -1) | (F.col("weight") > 1) | F.isnan("weight"),
-    "order": lambda: (F.col("quantity") <= 0) | (F.col("price") <= 0) | ~F.col("side").isin("buy", "sell"),
-    "portfolio": lambda: (F.col("equity") < 0) | (F.col("gross") < 0),
-    "observation": lambda: (F.col("bid") <= 0) | (F.col("ask") <= F.col("bid")),
+    "order": lambda: _blank("client_order_id", "symbol", "quote_currency") | (F.col("quantity") <= 0) | (F.col("price") <= 0) | ~F.col("side").isin("buy", "sell"),
+    "portfolio": lambda: _blank("base_currency") | (F.col("equity") <= 0) | (F.col("gross") < 0) | (F.col("daily_loss") < 0) | (F.col("drawdown") < 0) | (F.col("drawdown") > 1),
+    "observation": lambda: _blank("symbol") | (F.least("bid", "ask", "reference_price") <= 0) | (F.col("bid") >= F.col("ask")),
 }
 
 
 def violations(rows: DataFrame, kind: str) -> DataFrame:
+    """rows and violations; a row with an unknown value breaks its constraint."""
     return rows.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(VIOLATIONS[kind](), F.lit(True))).alias("violations"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.schemas import market_window
+
 #: kind -> (parameters, factor columns)
 KINDS = {
     "momentum": (("window", "threshold"), ("momentum_{window}",)),
@@ -20,12 +22,14 @@ KINDS = {
     "rsi_revert": (("window", "entry", "exit"), ("cutler_rsi_{window}",)),
     "donchian_breakout": (("window", "exit_position"), ("breakout_distance_{window}", "donchian_position_{window}")),
     "channel_revert": (("window", "entry", "exit"), ("donchian_position_{window}",)),
-    "momentum_volume": (("window", "minimum"), ("momentum_{window}", "volume_ratio_{window}")),
-    "momentum_low_vol": (("window", "maximum"), ("momentum_{window}", "return_volatility_{window}")),
+    "momentum_volume": (("window", "volume_window", "min_volume_ratio"), ("momentum_{window}", "volume_ratio_{volume_window}")),
+    "momentum_low_vol": (("window", "vol_window", "max_volatility"), ("momentum_{window}", "return_volatility_{vol_window}")),
     "body_followthrough": (("minimum",), ("bar_body",)),
     "wide_range_breakout": (("range_minimum", "location_minimum"), ("bar_range", "close_location")),
 }
 
+WINDOWS = ("window", "fast", "slow", "volume_window", "vol_window")
+
 
 @dataclass(frozen=True)
 class Strategy:
@@ -42,7 +46,7 @@ class Strategy:
         for name, value in self.params.items():
             if isinstance(value, bool) or not isinstance(value, int | float) or value != value or abs(value) == float("inf"):
                 raise ValueError(f"{name} must be a finite number")
-            if name in ("window", "fast", "slow") and (not isinstance(value, int) or value < 3):
+            if name in WINDOWS and (not isinstance(value, int) or value < 3):
                 raise ValueError(f"{name} must be an integer of at least 3")
         if "fast" in self.params and self.params["fast"] >= self.params["slow"]:
             raise ValueError("fast must be under slow")
@@ -65,8 +69,8 @@ class Strategy:
             "rsi_revert": lambda: (a < p["entry"], a >= p["exit"]),
             "donchian_breakout": lambda: (a > 0, b < p["exit_position"]),
             "channel_revert": lambda: (a < p["entry"], a >= p["exit"]),
-            "momentum_volume": lambda: ((a > 0) & (b > p["minimum"]), a <= 0),
-            "momentum_low_vol": lambda: ((a > 0) & (b < p["maximum"]), a <= 0),
+            "momentum_volume": lambda: ((a > 0) & (b > p["min_volume_ratio"]), a <= 0),
+            "momentum_low_vol": lambda: ((a > 0) & (b < p["max_volatility"]), a <= 0),
             "body_followthrough": lambda: (a > p["minimum"], a <= 0),
             "wide_range_breakout": lambda: ((a > p["range_minimum"]) & (b > p["location_minimum"]), b <= 0),
         }
@@ -78,6 +82,14 @@ class Strategy:
         return features.withColumns({entry: go, exit_: stop})
 
 
+def execution_target(lookback: int) -> Column:
+    """Whether the return over so many bars up to the bar before is above 0: the target filled at this bar's close."""
+    if lookback < 2:
+        raise ValueError("lookback must be at least two bars")
+    w = market_window()
+    return F.coalesce(F.try_divide(F.lag("close", 1).over(w), F.lag("close", lookback + 1).over(w)) - 1 > 0, F.lit(False))
+
+
 def needed_factors(strategies: list[Strategy]) -> list[tuple[str, int | None]]:
     """(family, window) of all factor columns that the strategies read."""
     out: dict[tuple[str, int | None], None] = {}

@@ -29,7 +29,12 @@ def forward_return(horizon: int = 1) -> Column:
 
 
 def ic_series(frame: DataFrame, factor: str, horizon: int = 1, min_assets: int = 3) -> DataFrame:
-    """timestamp, ic, n of the cross-sections of a frame of one timeframe."""
+    """timestamp, ic, n of the cross-sections of a frame of one timeframe; more than one raises in the plan."""
+    if horizon < 1 or min_assets < 3:
+        raise ValueError("horizon must be 1 or more, min_assets 3 or more")
+    frames = F.count_distinct("timeframe")
+    one = frame.agg(F.when(frames > 1, F.raise_error(F.lit("more than one timeframe"))).otherwise(F.lit(1)).alias("_one"))
+    frame = frame.crossJoin(F.broadcast(one)).where("_one = 1").drop("_one")  # one row
     rows = frame.select(*GROUPS, "timestamp", "close", factor).withColumn("_label", forward_return(horizon))
     return spearman(rows, factor, "_label", ["timestamp"], min_assets)
 

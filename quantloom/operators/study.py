@@ -16,14 +16,15 @@ LEAST_FOLD = 30
 
 
 def bar_folds(bars: int, train: int, test: int, embargo: int, holdout: float) -> list[dict[str, int]]:
-    """Test folds over bar numbers and the sealed holdout: the development end is trimmed by the embargo, too."""
+    """Test folds over bar numbers and the sealed holdout: the development end is trimmed by the embargo, too. The first fold
+    must be whole; a last one of LEAST_FOLD bars counts."""
     sealed = int(bars * (1 - holdout))
     folds, at, end = [], train + embargo, sealed - embargo
+    if at + test > end:
+        raise ValueError("not enough bars for a whole fold")
     while at < end and min(at + test, end) - at >= LEAST_FOLD:
         folds.append({"fold": len(folds), "train_start": at - embargo - train, "train_end": at - embargo, "test_start": at, "test_end": min(at + test, end)})
         at += test
-    if not folds:
-        raise ValueError("no fold fits")
     return folds + [{"fold": -1, "train_start": 0, "train_end": sealed - embargo, "test_start": sealed, "test_end": bars}]
 
 
@@ -96,10 +97,10 @@ def factor_study(frame: DataFrame, factors: Sequence[str], train: int, test: int
     return table.join(sealed_ic.select("factor", F.lit(last).alias("fold"), F.col("mean_ic").alias("holdout_ic")), ["fold", "factor"], "left")
 
 
-def factor_ic_blocks(frame: DataFrame, factors: Sequence[str], folds: Sequence[dict[str, int]], block: int) -> DataFrame:
+def factor_ic_blocks(frame: DataFrame, factors: Sequence[str], folds: Sequence[dict[str, int]], block: int, least: int | None = None) -> DataFrame:
     """symbol, factor, fold, block_no, ic, n: time-series rank correlation with the next return in blocks inside test folds.
 
-    A block counts if the bar after its last one is still in the fold, and has max(10, block / 2) pairs.
+    A block counts if the bar after its last one is still in the fold, and has max(10, block / 2) pairs (or so many as told).
     """
     rows = numbered(frame).withColumn("label", F.try_divide(F.lead("close", 1).over(Window.partitionBy(*GROUPS).orderBy("timestamp")), F.col("close")) - 1)
     long = rows.select("symbol", "bar_no", "label", F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("value")) for f in factors))).alias("v")).select("symbol", "bar_no", "label", "v.*")
@@ -107,7 +108,7 @@ def factor_ic_blocks(frame: DataFrame, factors: Sequence[str], folds: Sequence[d
     inside = long.join(spans, (F.col("bar_no") >= F.col("test_start")) & (F.col("bar_no") < F.col("test_end")))
     inside = inside.withColumn("block_no", ((F.col("bar_no") - F.col("test_start")) / block).cast("int"))
     inside = inside.where(F.col("test_start") + (F.col("block_no") + 1) * block < F.col("test_end"))
-    return spearman(inside, "value", "label", ["symbol", "factor", "fold", "block_no"], max(10, block // 2))
+    return spearman(inside, "value", "label", ["symbol", "factor", "fold", "block_no"], least or max(10, block // 2))
 
 
 def strategy_trials(features: DataFrame, strategies: dict, folds: Sequence[dict[str, int]], block: int, resamples: int, seed: int = 7) -> DataFrame:
@@ -126,5 +127,37 @@ def strategy_trials(features: DataFrame, strategies: dict, folds: Sequence[dict[
     moved = (F.col("pos") != F.coalesce(F.lag("pos").over(Window.partitionBy(*keys).orderBy("timestamp")), F.lit(0))).cast("long")
     held = held.withColumn("_order", moved)
     total = held.groupBy("strategy").agg(F.avg("excess").alias("mean_excess"), F.count("*").alias("bars"), F.sum("_order").alias("orders"))
-    p = block_bootstrap(held.withColumn("_o", F.struct("symbol", "fold", "timestamp")), ["strategy"], "excess", "_o", block, resamples, seed, least=10, two_sided=False)
+    p = block_bootstrap(held.withColumn("_o", F.struct("symbol", "fold", "timestamp")), ["strategy"], "excess", "_o", block, resamples, seed, least=10)
     return total.join(p, "strategy")
+
+
+def select_strategy(trials: DataFrame, alpha: float) -> DataFrame:
+    """trials (strategy, mean_excess, adjusted) with selected: the largest mean among those above 0 whose adjusted p reaches
+    alpha; equal means go by name; none if no trial qualifies."""
+    good = (F.col("adjusted") <= alpha) & (F.col("mean_excess") > 0)
+    top = trials.where(good).orderBy(F.col("mean_excess").desc(), "strategy").limit(1).select(F.col("strategy").alias("_best"))
+    return trials.join(F.broadcast(top), F.col("strategy") == F.col("_best"), "left").withColumn("selected", F.col("_best").isNotNull()).drop("_best")  # one row
+
+
+def factor_trials(blocks: DataFrame, resamples: int, seed: int, method: str = "bonferroni") -> DataFrame:
+    """factor, blocks, mean_ic, ir, p, adjusted over all blocks (symbol, factor, fold, block_no, ic): p of a two-sided test by
+    blocks of three in the order of symbol, fold and block."""
+    order = blocks.withColumn("_o", F.struct("symbol", "fold", "block_no"))
+    p = block_bootstrap(order, ["factor"], "ic", "_o", 3, resamples, seed, least=10)
+    out = summarize_ic(blocks, ["factor"]).withColumnRenamed("periods", "blocks").join(p, "factor")
+    return adjust_pvalues(out.withColumn("_family", F.lit(1)), method, ["_family"]).drop("_family")
+
+
+def notable(trials: DataFrame, score, name: str, top: int) -> DataFrame:
+    """The top rows by score with their place from 1; ties by name. Trials are few rows: one for each factor or strategy."""
+    best = trials.withColumn("_s", score).orderBy(F.col("_s").desc_nulls_last(), name).limit(top)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.col("_s").desc_nulls_last(), name))).drop("_s")
+
+
+def holdout_series_ic(frame: DataFrame, factor: str, fraction: float) -> DataFrame:
+    """symbol, ic, n: rank correlation over the last bars of each market (the holdout) of the factor at a bar with the return
+    from the next close to the one after."""
+    w = Window.partitionBy(*GROUPS).orderBy("timestamp")
+    later = F.try_divide(F.lead("close", 2).over(w), F.lead("close", 1).over(w)) - 1
+    rows = numbered(frame).withColumns({"_later": later, "_bars": F.count("*").over(Window.partitionBy(*GROUPS))})
+    return spearman(rows.where(F.col("bar_no") >= F.floor(F.col("_bars") * (1 - fraction))), factor, "_later", ["symbol"], 3)

@@ -86,6 +86,19 @@ def align_leave_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.align_ohlcv(rows, *day_span(rows), "1h").select("symbol", t_ms(), *OHLCV)
 
 
+PARTIAL_SQL = f"""{bars_sql('1h')}, g4 AS (SELECT symbol, unnest(range((SELECT s FROM span), (SELECT e - 3600000 FROM span), 14400000)) AS t FROM (SELECT DISTINCT symbol FROM bars WHERE (t - (SELECT s FROM span)) % 14400000 = 0 AND t < (SELECT e - 3600000 FROM span)))"""
+
+
+@query(f"""WITH {PARTIAL_SQL} SELECT g4.symbol, g4.t AS t_ms, close FROM g4 LEFT JOIN bars ON bars.symbol = g4.symbol AND bars.t = g4.t""")
+def align_partial_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars on four-hour opens over a window that ends inside an interval: the interval begun belongs to it."""
+    rows = event_bars(spark, sf_dir, "1h")
+    start, end = day_span(rows)
+    ms = F.unix_millis("timestamp")
+    rows = rows.where((F.pmod(ms - start, F.lit(14_400_000)) == 0) & (ms < end - 3_600_000))
+    return prepare.align_ohlcv(rows, start, end - 3_600_000, "4h").select("symbol", t_ms(), "close")
+
+
 @query(f"""WITH {GRID_SQL}, j AS (SELECT grid.symbol, grid.t, open, high, low, close, volume FROM grid LEFT JOIN bars ON bars.symbol = grid.symbol AND bars.t = grid.t),
 p AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM j)
 SELECT symbol, t AS t_ms, coalesce(open, held) AS open, coalesce(high, held) AS high, coalesce(low, held) AS low, coalesce(close, held) AS close,
@@ -347,6 +360,16 @@ def book_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.count_if(quality.invalid_level()).alias("invalid_levels"))
 
 
+@query(f"""WITH {BOOK_SQL}, n AS (SELECT *, CASE WHEN size > 45 THEN NULL ELSE size END AS own, l_linenumber AS level FROM k),
+c AS (SELECT symbol, t, max(CASE WHEN side = 'bid' THEN price END) AS b, min(CASE WHEN side = 'ask' THEN price END) AS a FROM n GROUP BY 1, 2)
+SELECT CAST(count(*) AS BIGINT) AS "rows", CAST(count(*) FILTER (WHERE own IS NULL) AS BIGINT) AS null_values, CAST(count(*) - count(DISTINCT (symbol, t, side, level)) AS BIGINT) AS duplicate_rows,
+  CAST(count(*) FILTER (WHERE own IS NULL OR price <= 0 OR own <= 0) AS BIGINT) AS invalid_levels, CAST((SELECT count(*) FROM c WHERE b IS NULL OR a IS NULL OR b >= a) AS BIGINT) AS crossed_snapshots, CAST(0 AS INTEGER) AS ok FROM n""")
+def book_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of order books; sizes over 45 are unknown."""
+    rows = level_rows(spark, sf_dir).select("exchange", "symbol", "observed_at", "side", F.col("l_linenumber").cast("long").alias("level"), "price", F.when(F.col("size") <= 45, F.col("size")).alias("size"))
+    return quality.assess_orderbook(rows).drop("issues").withColumn("ok", F.col("ok").cast("int"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(count(*) FILTER (WHERE event_id % 10 = 0) AS BIGINT) AS null_values, CAST(count(*) - count(DISTINCT (event_type, ts)) AS BIGINT) AS duplicate_rows, CAST(count(*) FILTER (WHERE event_id % 10 = 0) AS BIGINT) AS invalid_rates FROM events")
 def funding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -374,35 +397,84 @@ def seq_gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.sequence_gaps(book.with_epoch(event_log(spark, sf_dir)), ["source", "epoch"], "line", "line").select("source", "epoch", "line", "previous")
 
 
-# Orders against customers' balances.
-RISK_SQL = """o AS (SELECT o_orderkey, o_totalprice AS notional, c_acctbal AS equity, o_totalprice / 2 AS gross, (o_orderkey % 97) * 10.0 AS daily_loss, (o_orderkey % 89) / 100.0 AS drawdown FROM orders JOIN customer ON c_custkey = o_custkey),
-g AS (SELECT o_orderkey, CASE WHEN equity <= 0 THEN 'equity' WHEN notional > 300000 THEN 'notional' WHEN (gross + notional) / equity > 60 THEN 'leverage' WHEN daily_loss >= 900 THEN 'daily_loss' WHEN drawdown >= 0.8 THEN 'drawdown' END AS reason FROM o)"""
+# Orders against customers' balances: some currencies differ, some balances and losses are unknown.
+GATE_SQL = """o AS (SELECT o_orderkey, o_totalprice AS notional, CASE WHEN c_custkey % 13 <> 0 THEN c_acctbal END AS equity, o_totalprice / 2 AS gross,
+  CASE WHEN o_orderkey % 31 <> 0 THEN (o_orderkey % 97) * 10.0::DOUBLE END AS daily_loss, (o_orderkey % 89) / 100.0::DOUBLE AS drawdown,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'EUR' WHEN o_orderkey % 29 <> 0 THEN 'USD' END AS quote_currency, o_orderkey % 61 - 1 AS age FROM orders JOIN customer ON c_custkey = o_custkey),
+l AS (SELECT *, CASE WHEN coalesce(quote_currency <> 'USD', true) THEN 'order and portfolio currencies differ'
+  WHEN coalesce(notional > 300000, true) THEN 'maximum order notional exceeded'
+  WHEN coalesce(daily_loss >= 900, true) THEN 'daily loss limit reached'
+  WHEN coalesce(drawdown >= 0.8, true) THEN 'drawdown limit reached'
+  WHEN coalesce(gross + notional > equity * 60, true) THEN 'leverage limit exceeded' END AS reason FROM o)"""
+LIMITS = (300_000, 900, 0.8, 60, 50)
 
 
-def gated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
-    rows = orders.join(customers, "o_custkey").select("o_orderkey", F.col("o_totalprice").alias("notional"), F.col("c_acctbal").alias("equity"), (F.col("o_totalprice") / 2).alias("gross"), (F.col("o_orderkey") % 97 * 10.0).alias("daily_loss"), (F.col("o_orderkey") % 89 / 100.0).alias("drawdown"))
-    return rows.withColumn("reason", risk.limit_reason(300_000, 60, 900, 0.8))
+    key = F.col("o_orderkey")
+    return orders.join(customers, "o_custkey").select(
+        "o_orderkey", F.col("o_totalprice").alias("notional"), F.when(F.col("o_custkey") % 13 != 0, F.col("c_acctbal")).alias("equity"), (F.col("o_totalprice") / 2).alias("gross"),
+        F.when(key % 31 != 0, key % 97 * 10.0).alias("daily_loss"), (key % 89 / 100.0).alias("drawdown"),
+        F.when(key % 11 == 0, "EUR").when(key % 29 != 0, "USD").alias("quote_currency"), F.lit("USD").alias("base_currency"), (key % 61 - 1).alias("snapshot_age_ms"),
+    )
 
 
-@query(f"WITH {RISK_SQL} SELECT o_orderkey, reason FROM g")
+@query(f"WITH {GATE_SQL} SELECT o_orderkey, reason FROM l")
 def risk_gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gated_orders(spark, sf_dir).select("o_orderkey", "reason")
+    return sized_orders(spark, sf_dir).select("o_orderkey", risk.limit_reason(*LIMITS).alias("reason"))
 
 
-@query(f"WITH {RISK_SQL} SELECT coalesce(reason, 'accepted') AS outcome, CAST(count(*) AS BIGINT) AS orders FROM g GROUP BY 1")
+@query(f"WITH {GATE_SQL} SELECT coalesce(reason, 'approved') AS outcome, CAST(count(*) AS BIGINT) AS orders FROM l GROUP BY 1")
 def denial_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.denial_counts(gated_orders(spark, sf_dir))
+    return risk.denial_counts(sized_orders(spark, sf_dir).withColumn("reason", risk.limit_reason(*LIMITS)))
+
+
+@query(f"""WITH {GATE_SQL} SELECT o_orderkey, CASE WHEN age < 0 THEN 'portfolio snapshot is from the future' WHEN age > 50 THEN 'portfolio snapshot is stale' ELSE reason END AS gated,
+  'execution is disabled; live trading is unavailable' AS disabled,
+  CASE WHEN age < 0 THEN 'portfolio snapshot is from the future' ELSE 'risk configuration incomplete: snapshot freshness limit is missing' END AS no_freshness, 'risk limits are incomplete' AS no_drawdown FROM l""")
+def authorization_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate with all limits, in another mode, without the age limit, and its limits without that of the drawdown."""
+    notional, loss, drawdown, leverage, age = LIMITS
+    gates = {"gated": risk.gate_reason("paper", *LIMITS), "disabled": risk.gate_reason("live", *LIMITS), "no_freshness": risk.gate_reason("paper", notional, loss, drawdown, leverage, None), "no_drawdown": risk.limit_reason(notional, loss, None, leverage, age)}
+    return sized_orders(spark, sf_dir).select("o_orderkey", *(c.alias(k) for k, c in gates.items()))
 
 
-@query("""WITH q AS (SELECT event_id, event_type AS symbol, event_id % 13 - 1 AS age_s, value AS bid, value * (1 + (event_id % 40) / 10000.0::DOUBLE) AS ask, value * (1 + (event_id % 23) / 5000.0::DOUBLE) AS price FROM events)
-SELECT event_id, CASE WHEN symbol NOT IN ('click', 'view', 'purchase') THEN 'symbol' WHEN age_s < 0 OR age_s > 10 THEN 'quote_age' WHEN bid <= 0 OR ask <= bid THEN 'quote'
-  WHEN (ask - bid) * 10000 / ((bid + ask) / 2) > 30.5 THEN 'spread' WHEN abs(price - (bid + ask) / 2) * 10000 / ((bid + ask) / 2) > 35.5 THEN 'deviation'
-  WHEN (100 + price * 10) / 10000 > 0.2 THEN 'concentration' END AS reason FROM q""")
+QUOTE_SQL = """q AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'other' ELSE event_type END AS order_symbol, event_type AS symbol, (event_id % 13 - 1) * 1000 AS age_ms,
+  value AS reference_price, value * (1 - (event_id % 20) / 10000.0::DOUBLE) AS bid, value * (1 + (event_id % 23) / 10000.0::DOUBLE) AS ask,
+  CASE WHEN event_id % 41 <> 0 THEN value * (1 + (event_id % 37 - 18) / 5000.0::DOUBLE) END AS price, (event_id % 50 - 1) * 40.0::DOUBLE AS exposure, event_id % 7 = 0 AS gated FROM events),
+r AS (SELECT *, CASE WHEN coalesce(symbol <> order_symbol, true) THEN 'market symbol differs from order'
+  WHEN coalesce(age_ms < 0 OR age_ms > 10000, true) THEN 'market observation is stale or from the future'
+  WHEN coalesce(exposure < 0, true) THEN 'invalid current symbol exposure'
+  WHEN coalesce((ask - bid) / reference_price * 10000 > 30.5, true) THEN 'market spread limit exceeded'
+  WHEN coalesce(abs(price - reference_price) / reference_price * 10000 > 25.5, true) THEN 'order price deviates from reference'
+  WHEN coalesce(exposure + price * 10 > 10000.0::DOUBLE * 0.2, true) THEN 'symbol position limit exceeded' END AS reason FROM q)"""
+
+
+def quoted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    price = F.when(k % 41 != 0, F.col("value") * (1 + (k % 37 - 18) / 5000.0))
+    rows = e.select("event_id", F.when(k % 17 == 0, "other").otherwise(F.col("event_type")).alias("order_symbol"), F.col("event_type").alias("symbol"), ((k % 13 - 1) * 1000).alias("age_ms"), F.col("value").alias("reference_price"), (F.col("value") * (1 - k % 20 / 10000.0)).alias("bid"), (F.col("value") * (1 + k % 23 / 10000.0)).alias("ask"), price.alias("price"), ((k % 50 - 1) * 40.0).alias("exposure"), (price * 10).alias("notional"), F.lit(10000.0).alias("equity"), (k % 7 == 0).alias("gated"))
+    return rows.withColumn("reason", risk.quote_reason(10_000, 30.5, 25.5, 0.2))
+
+
+@query(f"WITH {QUOTE_SQL} SELECT event_id, reason FROM r")
 def middleware_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = e.select("event_id", F.col("event_type").alias("symbol"), (F.col("event_id") % 13 - 1).alias("age_s"), F.col("value").alias("bid"), (F.col("value") * (1 + F.col("event_id") % 40 / 10000.0)).alias("ask"), (F.col("value") * (1 + F.col("event_id") % 23 / 5000.0)).alias("price"), F.lit(10.0).alias("quantity"), F.lit(10000.0).alias("equity"), F.lit(100.0).alias("held"))
-    return rows.select("event_id", risk.quote_reason(["click", "view", "purchase"], 10, 30.5, 35.5, 0.2).alias("reason"))
+    return quoted_orders(spark, sf_dir).select("event_id", "reason")
+
+
+@query(f"""WITH {QUOTE_SQL}, k AS (SELECT CASE WHEN reason IS NULL THEN CASE WHEN gated THEN 'portfolio' END WHEN reason LIKE '%stale%' THEN 'stale_market' WHEN reason LIKE '%spread%' THEN 'spread'
+  WHEN reason LIKE '%deviates%' THEN 'price_jump' WHEN reason LIKE '%position%' THEN 'position' ELSE 'other' END AS kind FROM r) SELECT kind, CAST(count(*) AS BIGINT) AS orders FROM k GROUP BY kind""")
+def denial_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate = F.when(F.col("gated"), F.lit("drawdown limit reached"))
+    return quoted_orders(spark, sf_dir).groupBy(risk.denial_kind(F.col("reason"), gate).alias("kind")).agg(F.count("*").alias("orders"))
+
+
+@query(f"WITH {QUOTE_SQL} SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(count(*) FILTER (WHERE symbol = '' OR least(bid, ask, reference_price) <= 0 OR bid >= ask) AS BIGINT) AS violations FROM q")
+def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.violations(quoted_orders(spark, sf_dir), "observation")
 
 
+@query(f"WITH {GATE_SQL} SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(count(*) FILTER (WHERE coalesce(equity <= 0 OR gross < 0 OR daily_loss < 0 OR drawdown < 0 OR drawdown > 1, true)) AS BIGINT) AS violations FROM l")
+def portfolio_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.violations(sized_orders(spark, sf_dir), "portfolio")

@@ -24,8 +24,8 @@ STRATEGIES = {
     "rsi_revert": (S("rsi_revert", {"window": 12, "entry": 45.0, "exit": 52.0}), "cutler_rsi_12 < 45", "cutler_rsi_12 >= 52"),
     "donchian_breakout": (S("donchian_breakout", {"window": 6, "exit_position": 0.4}), "breakout_distance_6 > -0.5", "donchian_position_6 < 0.4"),
     "channel_revert": (S("channel_revert", {"window": 12, "entry": 0.1, "exit": 0.4}), "donchian_position_12 < 0.1", "donchian_position_12 >= 0.4"),
-    "momentum_volume": (S("momentum_volume", {"window": 6, "minimum": 1.0}), "momentum_6 > 0 AND volume_ratio_6 > 1", "momentum_6 <= 0"),
-    "momentum_low_vol": (S("momentum_low_vol", {"window": 6, "maximum": 1.5}), "momentum_6 > 0 AND return_volatility_6 < 1.5", "momentum_6 <= 0"),
+    "momentum_volume": (S("momentum_volume", {"window": 6, "volume_window": 24, "min_volume_ratio": 1.0}), "momentum_6 > 0 AND volume_ratio_24 > 1", "momentum_6 <= 0"),
+    "momentum_low_vol": (S("momentum_low_vol", {"window": 6, "vol_window": 12, "max_volatility": 1.5}), "momentum_6 > 0 AND return_volatility_12 < 1.5", "momentum_6 <= 0"),
     "body_followthrough": (S("body_followthrough", {"minimum": 0.1}), "bar_body > 0.1", "bar_body <= 0"),
     "wide_range_breakout": (S("wide_range_breakout", {"range_minimum": 0.5, "location_minimum": 0.1}), "bar_range > 0.5 AND close_location > 0.1", "close_location <= 0"),
 }
@@ -59,13 +59,13 @@ v AS (SELECT *, CASE WHEN entry AND NOT last AND NOT (exit OR last) THEN 1 WHEN
 pos AS (SELECT symbol, t, close, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS pos FROM v)"""
 
 
-def equity_sql(pos: str, out: str) -> str:
-    """CTEs that turn a CTE of symbol, t, close, pos into its equity curve."""
-    return f"""{out}1 AS (SELECT *, coalesce(lag(pos) OVER m, 0) AS pp FROM {pos} WINDOW m AS (PARTITION BY symbol ORDER BY t)),
-{out}2 AS (SELECT *, last_value(CASE WHEN pos = 1 AND pp = 0 THEN 100.0::DOUBLE / close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS units FROM {out}1),
+def equity_sql(pos: str, out: str, keys: str = "symbol") -> str:
+    """CTEs that turn a CTE of keys, t, close, pos into its equity curve."""
+    return f"""{out}1 AS (SELECT *, coalesce(lag(pos) OVER m, 0) AS pp FROM {pos} WINDOW m AS (PARTITION BY {keys} ORDER BY t)),
+{out}2 AS (SELECT *, last_value(CASE WHEN pos = 1 AND pp = 0 THEN 100.0::DOUBLE / close END IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS units FROM {out}1),
 {out}3 AS (SELECT *, CASE WHEN pos = 1 AND pp = 0 THEN -100.0::DOUBLE * 1.001::DOUBLE * 1.001::DOUBLE WHEN pos = 0 AND pp = 1 THEN units * close * 0.999::DOUBLE * 0.999::DOUBLE ELSE 0 END AS flow FROM {out}2),
-{out}4 AS (SELECT *, 10000.0::DOUBLE + sum(flow) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + pos * coalesce(units, 0) * close AS equity FROM {out}3),
-{out} AS (SELECT *, equity / coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY t), 10000.0::DOUBLE) - 1 AS ret FROM {out}4)"""
+{out}4 AS (SELECT *, 10000.0::DOUBLE + sum(flow) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + pos * coalesce(units, 0) * close AS equity FROM {out}3),
+{out} AS (SELECT *, equity / coalesce(lag(equity) OVER (PARTITION BY {keys} ORDER BY t), 10000.0::DOUBLE) - 1 AS ret FROM {out}4)"""
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,13 +120,12 @@ def threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.scan_thresholds(rows, "momentum_6", [-0.5, 0.0, 0.5, 1.0]).select("symbol", "threshold", "entries", "exits", F.round("total_return", 6).alias("total_return"))
 
 
-@query(f"WITH {bars_sql('4h')}, c AS (SELECT symbol, t, close, lag(close) OVER m AS c1, lag(close, 4) OVER m AS c4 FROM bars WINDOW m AS (PARTITION BY symbol ORDER BY t)), k AS (SELECT symbol, t, coalesce(lag(c1 / c4 - 1 > 0) OVER (PARTITION BY symbol ORDER BY t), false) AS target FROM c) SELECT symbol, t AS t_ms, CAST(target AS INTEGER) AS target, CAST(target AND NOT coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY t), false) AS INTEGER) AS entry FROM k")
+@query(f"""WITH {bars_sql('4h')}, c AS (SELECT symbol, t, close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY t) - 1 AS factor FROM bars),
+k AS (SELECT symbol, t, coalesce(lag(factor) OVER (PARTITION BY symbol ORDER BY t) > 0, false) AS target FROM c)
+SELECT symbol, t AS t_ms, CAST(target AS INTEGER) AS target, CAST(target AND NOT coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY t), false) AS INTEGER) AS entry FROM k""")
 def execution_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy(*GROUPS).orderBy("timestamp")
-    from quantloom.operators.factors import lagged_return
-
-    rows = event_bars(spark, sf_dir, "4h").withColumn("_m", lagged_return(3))
-    rows = rows.withColumn("target", F.coalesce(F.lag(F.col("_m") > 0).over(w), F.lit(False)))
+    """The sign of the return over three bars that a bar completes, as the target at the next bar's close."""
+    rows = event_bars(spark, sf_dir, "4h").withColumn("target", signals.execution_target(3))
     return simulate.edges(rows).select("symbol", t_ms(), F.col("target").cast("int").alias("target"), F.col("entry").cast("int").alias("entry"))
 
 
@@ -210,13 +209,22 @@ def walk_forward_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("fold", "phase", "factor", F.round("mean_ic", 9).alias("mean_ic"), F.round("ir", 8).alias("ir"), "periods")
 
 
-@query(f"""{with_sql(FOLD_SQL)}, sm AS (SELECT fold, factor, avg(ic) AS mean_ic FROM fi WHERE phase = 'train' GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY abs(mean_ic) DESC, list_position([{', '.join(f"'{x}'" for x in IC_FACTORS)}], factor)) AS k FROM sm)
-SELECT CAST(fold AS INTEGER) AS fold, factor AS selected FROM rk WHERE k = 1""")
-def select_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Trials of the training folds: a p-value of each factor derived from its mean, corrected inside the fold.
+TRIAL_SQL = f"""{FOLD_SQL}, sm AS (SELECT fold, factor, avg(ic) AS mean_ic, count(*) AS n FROM fi WHERE phase = 'train' GROUP BY 1, 2),
+tr AS (SELECT *, round(exp(-4 * abs(mean_ic) * sqrt(n)), 12) AS p, count(*) OVER (PARTITION BY fold) AS m FROM sm)"""
+
+
+def training_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = factor_frame(spark, sf_dir, IC_SPECS)
-    ics = study.fold_ics(rows, IC_FACTORS, folds_of(rows)).where("phase = 'train'")
-    return study.select_factors(stats.summarize_ic(ics, ["fold", "factor"]).withColumn("adjusted", F.lit(0.0)), IC_FACTORS, 0.05)
+    ics = stats.summarize_ic(study.fold_ics(rows, IC_FACTORS, folds_of(rows)).where("phase = 'train'"), ["fold", "factor"])
+    return stats.adjust_pvalues(ics.withColumn("p", F.round(F.exp(-4 * F.abs("mean_ic") * F.sqrt("periods")), 12)), "bonferroni", ["fold"])
+
+
+@query(f"""{with_sql(TRIAL_SQL)}, rk AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY (least(1, p * m) <= 0.5) DESC, abs(mean_ic) DESC, list_position([{', '.join(f"'{x}'" for x in IC_FACTORS)}], factor)) AS k FROM tr)
+SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN least(1, p * m) <= 0.5 THEN factor END AS selected FROM rk WHERE k = 1""")
+def select_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factor of largest mean among those whose corrected p reaches the level; none where all miss it."""
+    return study.select_factors(training_trials(spark, sf_dir), IC_FACTORS, 0.5)
 
 
 @query(f"{with_sql(LABEL_SQL)}, ho AS (SELECT lb.* FROM lb, (SELECT count(DISTINCT t) AS n FROM f) WHERE bar_no >= n - greatest(30, CAST(ceil(n * 0.2::DOUBLE) AS BIGINT)) AND bar_no + 1 < n), {rank_sql('ho', 'bollinger_z_6', 'label', 't', 3, 'hi')} SELECT round(avg(ic), 9) AS mean_ic, CAST(count(*) AS BIGINT) AS periods FROM hi")
@@ -266,18 +274,83 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
 
 
+def two_sided_sql(series: str, keys: str, value: str, order: str, block: int, resamples: int, seed: int, out: str) -> str:
+    """CTE out: keys, p of circular block resamples of a CTE series; 1 where it is shorter than max(10, two blocks)."""
+    return f"""{out}s AS (SELECT {keys}, {value} AS x, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n, avg({value}) OVER (PARTITION BY {keys}) AS observed FROM {series}),
+{out}h AS (SELECT {keys}, any_value(n) AS n, any_value(observed) AS observed FROM {out}s GROUP BY {keys} HAVING any_value(n) >= {max(10, 2 * block)}),
+{out}d AS (SELECT *, ('0x' || substr(md5('{seed}|' || r || '|' || k), 1, 8))::BIGINT % n AS start, least({block}, n - k * {block}) AS len FROM (SELECT *, unnest(range(0, (n + {block} - 1) // {block})) AS k FROM (SELECT *, unnest(range(0, {resamples})) AS r FROM {out}h))),
+{out}m AS (SELECT {', '.join(f'g.{c}' for c in keys.split(', '))}, g.r, sum(s.x - g.observed) / any_value(g.n) AS mean, any_value(g.observed) AS observed FROM (SELECT *, (start + j) % n AS i FROM (SELECT *, unnest(range(0, len)) AS j FROM {out}d)) g JOIN {out}s s ON {' AND '.join(f's.{c} = g.{c}' for c in keys.split(', '))} AND s.i = g.i GROUP BY ALL),
+{out} AS (SELECT {keys}, (count(*) FILTER (WHERE abs(mean) >= abs(observed) - 1e-15) + 1) / {resamples + 1}.0::DOUBLE AS p FROM {out}m GROUP BY {keys})"""
+
+
+FACTOR_TRIAL_SQL = f"""{FOLD_SQL}, lo AS (SELECT symbol, fold, factor, value, label, CAST(floor((bar_no - test_start) / 6.0) AS BIGINT) AS block_no FROM (SELECT symbol, bar_no, label, unnest([{', '.join(f"'{x}'" for x in IC_FACTORS)}]) AS factor, unnest([{', '.join(IC_FACTORS)}]) AS value FROM lb) JOIN fo ON bar_no >= test_start AND bar_no < test_end WHERE test_start + (CAST(floor((bar_no - test_start) / 6.0) AS BIGINT) + 1) * 6 < test_end),
+{rank_sql('lo', 'value', 'label', 'symbol, factor, fold, block_no', 6, 'bi')}, {two_sided_sql('bi', 'factor', 'ic', 'symbol, fold, block_no', 3, 199, 7, 'bp')},
+ft AS (SELECT bi.factor, count(*) AS blocks, avg(ic) AS mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, coalesce(any_value(bp.p), 1) AS p FROM bi LEFT JOIN bp ON bp.factor = bi.factor GROUP BY bi.factor)"""
+
+
+def factor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = factor_frame(spark, sf_dir, IC_SPECS)
+    return study.factor_trials(study.factor_ic_blocks(rows, IC_FACTORS, folds_of(rows), 6, least=6), resamples=199, seed=7)
+
+
+@query(f"{with_sql(FACTOR_TRIAL_SQL)} SELECT factor, CAST(blocks AS BIGINT) AS blocks, round(mean_ic, 9) AS mean_ic, round(ir, 8) AS ir, round(p, 9) AS p, round(least(1, p * count(*) OVER ()), 9) AS adjusted FROM ft")
+def factor_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every factor over the rank-correlation blocks of all test folds: mean, ratio, two-sided block p, correction."""
+    out = factor_rollup(spark, sf_dir)
+    return out.select("factor", "blocks", F.round("mean_ic", 9).alias("mean_ic"), F.round("ir", 8).alias("ir"), F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"))
+
+
+@query(f"{with_sql(FACTOR_TRIAL_SQL)}, rk AS (SELECT factor, mean_ic, row_number() OVER (ORDER BY abs(mean_ic) DESC, factor) AS place FROM ft) SELECT factor, round(mean_ic, 9) AS mean_ic, CAST(place AS INTEGER) AS place FROM rk WHERE place <= 15")
+def notable_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 factors of largest absolute mean."""
+    return study.notable(factor_rollup(spark, sf_dir), F.abs("mean_ic"), "factor", 15).select("factor", F.round("mean_ic", 9).alias("mean_ic"), "place")
+
+
+@query(f"""{with_sql(LABEL_SQL)}, hn AS (SELECT symbol, t, momentum_6 AS value, bar_no, count(*) OVER (PARTITION BY symbol) AS bars, lead(close, 2) OVER (PARTITION BY symbol ORDER BY t) / lead(close) OVER (PARTITION BY symbol ORDER BY t) - 1 AS later FROM lb),
+ht AS (SELECT * FROM hn WHERE bar_no >= CAST(floor(bars * 0.8::DOUBLE) AS BIGINT)), {rank_sql('ht', 'value', 'later', 'symbol', 3, 'hs')} SELECT symbol, round(ic, 9) AS ic, CAST(n AS BIGINT) AS n FROM hs""")
+def holdout_series_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation over the holdout's times of a factor known at a close and the return from the next close to the one after."""
+    out = study.holdout_series_ic(factor_frame(spark, sf_dir, IC_SPECS), "momentum_6", 0.2)
+    return out.select("symbol", F.round("ic", 9).alias("ic"), "n")
+
+
 @query()
 def walk_forward_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole factor study: bootstrap, correction, selection, test and holdout."""
     return study.factor_study(factor_frame(spark, sf_dir, IC_SPECS), IC_FACTORS, 60, 30, alpha=0.5)
 
 
-@query()
+STUDIED = {k: v[0] for k, v in STRATEGIES.items()}
+
+
+def _strategy_sql() -> str:
+    """CTEs up to xs: strategy, symbol, fold, t, excess, moved of the strategies over the test folds."""
+    specs = signals.needed_factors(list(STUDIED.values()))
+    flags = ", ".join(f"coalesce({go}, false) AS go_{k}, coalesce({stop}, false) AS stop_{k}" for k, (_, go, stop) in STRATEGIES.items())
+    names = ", ".join(f"'{k}'" for k in STRATEGIES)
+    gos, stops = (", ".join(f"{x}_{k}" for k in STRATEGIES) for x in ("go", "stop"))
+    key = "strategy, symbol, fold"
+    return f"""{factors_cte(specs)}, nt AS (SELECT count(DISTINCT t) AS bars FROM f), fo AS (SELECT k AS fold, 61 + 30 * k AS a, least(91 + 30 * k, dev) AS b FROM (SELECT unnest(range(0, 1000)) AS k, (SELECT CAST(floor(bars * 0.8::DOUBLE) AS BIGINT) - 1 FROM nt) AS dev) WHERE least(91 + 30 * k, dev) - (61 + 30 * k) >= 30),
+sg AS (SELECT symbol, t, close, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS bar_no, {flags} FROM f),
+lg AS (SELECT symbol, t, close, bar_no, unnest([{names}]) AS strategy, unnest([{gos}]) AS entry, unnest([{stops}]) AS exit FROM sg),
+z AS (SELECT lg.*, fold, lead(t) OVER (PARTITION BY {key} ORDER BY t) IS NULL AS last FROM lg JOIN fo ON bar_no >= a AND bar_no < b),
+v AS (SELECT *, CASE WHEN entry AND NOT last AND NOT (exit OR last) THEN 1 WHEN (exit OR last) AND NOT (entry AND NOT last) THEN 0 END AS ev FROM z),
+pos AS (SELECT strategy, symbol, fold, t, close, last, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS pos FROM v),
+base AS (SELECT strategy, symbol, fold, t, close, CASE WHEN last THEN 0 ELSE 1 END AS pos FROM pos), {equity_sql('pos', 'q', key)}, {equity_sql('base', 'h', key)},
+xs AS (SELECT q.strategy, q.symbol, q.fold, q.t, q.ret - h.ret AS excess, CAST(q.pos <> q.pp AS INTEGER) AS moved FROM q JOIN h ON q.strategy = h.strategy AND q.symbol = h.symbol AND q.fold = h.fold AND q.t = h.t),
+{two_sided_sql('xs', 'strategy', 'excess', 'symbol, fold, t', 6, 199, 7, 'sp')},
+st AS (SELECT xs.strategy, avg(excess) AS mean_excess, count(*) AS bars, sum(moved) AS orders, coalesce(any_value(sp.p), 1) AS p FROM xs LEFT JOIN sp ON sp.strategy = xs.strategy GROUP BY xs.strategy),
+sa AS (SELECT *, least(1, p * count(*) OVER ()) AS adjusted FROM st),
+se AS (SELECT *, adjusted <= 0.5 AND mean_excess > 0 AS eligible FROM sa),
+sr AS (SELECT *, eligible AND row_number() OVER (ORDER BY eligible DESC, mean_excess DESC, strategy) = 1 AS selected FROM se)"""
+
+
+@query(f"{with_sql(_strategy_sql())} SELECT strategy, round(mean_excess, 9) AS mean_excess, CAST(bars AS BIGINT) AS bars, CAST(orders AS BIGINT) AS orders, round(p, 9) AS p, round(adjusted, 9) AS adjusted, CAST(selected AS INTEGER) AS selected FROM sr")
 def strategy_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All strategies over bar folds with costs, bootstrap p-values and their correction."""
-    chosen = {k: v[0] for k, v in STRATEGIES.items()}
-    rows = factor_frame(spark, sf_dir, signals.needed_factors(list(chosen.values())))
+    """All strategies over bar folds with costs, two-sided bootstrap p-values, their correction, and the one selected."""
+    rows = factor_frame(spark, sf_dir, signals.needed_factors(list(STUDIED.values())))
     bars = rows.select("timestamp").distinct().count()
     folds = study.bar_folds(bars, 60, 30, 1, 0.2)
-    out = study.strategy_trials(rows, chosen, folds, 6, 199)
-    return stats.adjust_pvalues(out.withColumn("family", F.lit("strategies")), "bonferroni", ["family"]).drop("family")
+    out = study.strategy_trials(rows, STUDIED, folds, 6, 199)
+    out = study.select_strategy(stats.adjust_pvalues(out.withColumn("family", F.lit("strategies")), "bonferroni", ["family"]), 0.5)
+    return out.select("strategy", F.round("mean_excess", 9).alias("mean_excess"), "bars", "orders", F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"), F.col("selected").cast("int").alias("selected"))
