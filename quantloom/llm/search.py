@@ -28,7 +28,7 @@ from quantloom.llm.shingles import word_hashes
 
 K1, B, SCALE, TOP, BLOCK = 1.2, 0.75, 1_000_000, 10, 64
 #: A shard ends with so many documents or postings; a document is in one shard.
-SHARD, POSTINGS = 8192, 3_000_000
+SHARD, POSTINGS = 8192, 2_000_000
 #: Lists of fewer documents of a shard are short. A run takes in up to GAP blocks under the threshold, and ends after RUN blocks.
 LONG, GAP, RUN = 32, 2, 48
 ASKED = 64
@@ -56,7 +56,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def packed(values: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(values, kind).tobytes()
+    """An array as compressed bytes: its size in 8 bytes, then zstd."""
+    raw = np.ascontiguousarray(values, kind).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(data: pa.Buffer | bytes, kind: str) -> np.ndarray:
+    raw = pa.py_buffer(data)
+    return np.frombuffer(pa.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little"), "zstd"), kind)
 
 
 def shard_row(ids: list[int], sizes: list[int], terms: list[np.ndarray], counts: list[np.ndarray]) -> tuple:
@@ -95,7 +102,7 @@ def index_shards(docs: DataFrame, name: str = "bm25-index") -> DataFrame:
             ids = np.asarray(batch.column(0))
             for i, words in row_words(batch.column(1)):
                 own, n = np.unique(words, return_counts=True)
-                for part, v in zip(held, (int(ids[i]), len(words), own, n), strict=True):
+                for part, v in zip(held, (int(ids[i]), len(words), own, n.astype(np.int32)), strict=True):
                     part.append(v)
                 postings += len(own)
                 if len(held[0]) >= shard_docs or postings >= most:
@@ -114,7 +121,7 @@ def document_counts(index: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                terms, df = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((0, "<i8"), (1, "<i4")))
+                terms, df = (unpacked(batch.column(c)[k].as_buffer(), t) for c, t in ((0, "<i8"), (1, "<i4")))
                 for lo in range(0, len(terms), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(terms[lo : lo + (1 << 16)]), pa.array(df[lo : lo + (1 << 16)].astype(np.int64))], ["term", "n"])
 
@@ -133,23 +140,25 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Shard:
     """The inverted index of some documents; weights are computed for the terms that queries have, once each."""
 
-    def __init__(self, row: dict[str, memoryview], mean: float):
-        read = lambda name, kind: np.frombuffer(row[name], kind)
+    def __init__(self, row: dict[str, pa.Buffer | bytes], mean: float):
+        read = lambda name, kind: unpacked(row[name], kind)
         self.ids, self.terms, self.n = read("ids", "<i8"), read("terms", "<u8"), read("df", "<i4").astype(np.int64)
-        self.doc, tf, sizes = read("docs", "<u2").astype(np.int32), read("counts", "<i4").astype(float), read("sizes", "<i8")
-        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes[self.doc] / mean)))
+        self.doc, tf, sizes = read("docs", "<u2"), read("counts", "<i4").astype(float), read("sizes", "<i8")
+        scale = K1 * (1 - B + B * (sizes / mean))
+        self.part = tf * (K1 + 1) / (tf + scale[self.doc])
+        del tf
         self.at = np.cumsum(self.n) - self.n
         self.blocks = -(-len(self.ids) // BLOCK)
         self.long = np.full(len(self.terms), -1, np.int32)  # a long list's row in the two tables
         lists = np.flatnonzero(self.n >= LONG)
-        self.long[lists] = np.arange(len(lists))
+        self.long[lists] = np.arange(len(lists), dtype=np.int32)
         where = spread(self.at[lists], self.n[lists])
-        row_of, block = np.repeat(np.arange(len(lists)), self.n[lists]), self.doc[where] // BLOCK
-        cell = row_of * self.blocks + block
+        cell = np.repeat(np.arange(len(lists), dtype=np.int32) * np.int32(self.blocks), self.n[lists])
+        cell += self.doc[where] // BLOCK
         held = np.bincount(cell, minlength=len(lists) * self.blocks).reshape(-1, self.blocks)
-        self.offset = np.zeros((len(lists), self.blocks + 1), np.int64)  # where each block's postings begin
+        self.offset = np.zeros((len(lists), self.blocks + 1), np.int32)  # where each block's postings begin
         np.cumsum(held, axis=1, out=self.offset[:, 1:])
-        self.offset += self.at[lists][:, None]
+        self.offset += self.at[lists][:, None].astype(np.int32)
         self.block_most = np.zeros((len(lists), self.blocks))  # largest part, then largest weight
         new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, int)
         if len(new):
@@ -199,7 +208,7 @@ class Shard:
             total = score[lo:hi]
             if a:
                 doc = np.concatenate([self.doc[x:y] for x, y in zip(a, b, strict=True)])
-                doc -= lo
+                doc -= np.uint16(lo)
                 total = total + np.bincount(doc, np.concatenate([self.weight[x:y] for x, y in zip(a, b, strict=True)]), hi - lo)
             good = np.flatnonzero((total >= threshold) & ~own[lo:hi])
             if len(good):
