@@ -112,18 +112,18 @@ def test_folds():
 def test_signal_delay_and_cash(spark):
     closes = (100.0, 100.0, 100.0, 100.0, 120.0, 120.0)
     rows = [("x", "a", "4h", START + timedelta(hours=4 * i), c, c, c, c, 1.0, START) for i, c in enumerate(closes)]
-    frame = spark.createDataFrame(rows, SCHEMAS["ohlcv"]).withColumn("m", factors.lagged_return(2))
-    from pyspark.sql import Window
-
-    got = [r.t for r in frame.withColumn("t", F.coalesce(F.lag(F.col("m") > 0).over(Window.partitionBy("symbol").orderBy("timestamp")), F.lit(False))).orderBy("timestamp").collect()]
-    assert got == [False] * 6 or got == [False] * 5 + [True]
+    frame = spark.createDataFrame(rows, SCHEMAS["ohlcv"])
+    got = [r.t for r in frame.withColumn("t", signals.execution_target(2)).orderBy("timestamp").collect()]
+    assert got == [False] * 5 + [True]
+    with pytest.raises(ValueError):
+        signals.execution_target(1)
     flat = spark.createDataFrame([("x", "a", "4h", START + timedelta(hours=4 * i), 100.0, 0) for i in range(3)], "exchange string, symbol string, timeframe string, timestamp timestamp, close double, pos int")
     out = simulate.excess_returns(flat).orderBy("timestamp").collect()
     assert out[0].excess > 0 and all(r.bar_return == 0 for r in out)
 
 
 def test_strategies():
-    for kind, params in (("momentum", {"window": 2, "threshold": 0.0}), ("ma_cross", {"fast": 12, "slow": 6}), ("momentum", {"window": 6}), ("nothing", {}), ("momentum", {"window": 6, "threshold": float("nan")})):
+    for kind, params in (("momentum", {"window": 2, "threshold": 0.0}), ("ma_cross", {"fast": 12, "slow": 6}), ("momentum", {"window": 6}), ("nothing", {}), ("momentum_volume", {"window": 6, "volume_window": 2, "min_volume_ratio": 1.0}), ("momentum", {"window": 6, "threshold": float("nan")})):
         with pytest.raises(ValueError):
             signals.Strategy(kind, params)
     assert signals.needed_factors([signals.Strategy("ma_cross", {"fast": 6, "slow": 24}), signals.Strategy("body_followthrough", {"minimum": 0.0})]) == [("ma_gap", 6), ("ma_gap", 24), ("bar_body", None)]
@@ -185,9 +185,59 @@ def test_book_rules():
 
 
 def test_risk_reasons(spark):
-    rows = spark.createDataFrame([(1, 50.0, 100.0, 0.0, 0.0, 0.0), (2, 500.0, 100.0, 0.0, 0.0, 0.0), (3, 50.0, 0.0, 0.0, 0.0, 0.0), (4, 50.0, 100.0, 0.0, 10.0, 0.0)], "i int, notional double, equity double, gross double, daily_loss double, drawdown double")
-    got = [r.reason for r in rows.select("i", risk.limit_reason(100, 2, 10, 0.5).alias("reason")).orderBy("i").collect()]
-    assert got == [None, "notional", "equity", "daily_loss"]
+    limits = {"max_notional": 100, "max_daily_loss": 10, "max_drawdown": 0.5, "max_leverage": 2, "max_snapshot_age_ms": 1000}
+    good = {"quote_currency": "USD", "base_currency": "USD", "notional": 50.0, "daily_loss": 0.0, "drawdown": 0.0, "gross": 0.0, "equity": 100.0, "snapshot_age_ms": 1000.0}
+    cases = [
+        ({}, None), ({"quote_currency": "EUR", "notional": 500.0}, "order and portfolio currencies differ"), ({"notional": 100.0}, None), ({"notional": 100.1, "daily_loss": 10.0}, "maximum order notional exceeded"),
+        ({"daily_loss": 10.0, "drawdown": 0.5}, "daily loss limit reached"), ({"drawdown": 0.5, "gross": 1000.0}, "drawdown limit reached"), ({"gross": 150.0}, None), ({"gross": 150.1}, "leverage limit exceeded"),
+        ({"equity": None}, "leverage limit exceeded"), ({"notional": None}, "maximum order notional exceeded"), ({"quote_currency": None}, "order and portfolio currencies differ"), ({"drawdown": None}, "drawdown limit reached"),
+        ({"snapshot_age_ms": -1.0, "notional": 500.0}, "portfolio snapshot is from the future"), ({"snapshot_age_ms": 1000.1}, "portfolio snapshot is stale"),
+    ]
+    rows = spark.createDataFrame([(k, *{**good, **x}.values()) for k, (x, _) in enumerate(cases)], "i int, quote_currency string, base_currency string, notional double, daily_loss double, drawdown double, gross double, equity double, snapshot_age_ms double")
+    read = lambda column: [r.r for r in rows.select("i", column.alias("r")).orderBy("i").collect()]
+    assert read(risk.gate_reason("paper", **limits)) == [r for _, r in cases]
+    assert set(read(risk.gate_reason("live", **limits))) == {risk.DISABLED}
+    for name in limits:
+        assert set(read(risk.limit_reason(**{**limits, name: None}))) == {risk.INCOMPLETE}
+    assert read(risk.gate_reason("paper", **{**limits, "max_snapshot_age_ms": None}))[0] == risk.NO_FRESHNESS
+
+
+def test_quote_reasons(spark):
+    good = {"order_symbol": "A", "symbol": "A", "age_ms": 0.0, "bid": 99.0, "ask": 101.0, "reference_price": 100.0, "exposure": 0.0, "price": 100.0, "notional": 10.0, "equity": 100.0}
+    cases = [
+        ({}, None, None), ({"symbol": "B", "age_ms": -1.0}, "market symbol differs from order", "other"), ({"age_ms": -1.0}, "market observation is stale or from the future", "stale_market"), ({"age_ms": 11.0}, "market observation is stale or from the future", "stale_market"),
+        ({"exposure": -0.1}, "invalid current symbol exposure", "other"), ({"ask": 101.1}, "market spread limit exceeded", "spread"), ({"price": 101.1}, "order price deviates from reference", "price_jump"), ({"reference_price": 102.0, "ask": 102.0}, "market spread limit exceeded", "spread"),
+        ({"exposure": 40.1}, "symbol position limit exceeded", "position"), ({"price": None}, "order price deviates from reference", "price_jump"), ({"reference_price": 0.0}, "market spread limit exceeded", "spread"),
+    ]
+    rows = spark.createDataFrame([(k, *{**good, **x}.values()) for k, (x, *_) in enumerate(cases)], "i int, order_symbol string, symbol string, age_ms double, bid double, ask double, reference_price double, exposure double, price double, notional double, equity double")
+    reason = risk.quote_reason(10, 200.0, 100.0, 0.5)
+    got = rows.select("i", reason.alias("r"), risk.denial_kind(reason, F.lit(None).cast("string")).alias("k"), risk.denial_kind(F.lit(None).cast("string"), F.lit("x")).alias("g")).orderBy("i").collect()
+    assert [(r.r, r.k) for r in got] == [x[1:] for x in cases] and {r.g for r in got} == {"portfolio"}
+
+
+def test_grids_take_the_interval_begun(spark):
+    hour = 3_600_000
+    rows = [("x", "a", "2h", START + timedelta(hours=2 * k), 1.0, 1.0, 1.0, 1.0, 1.0, START) for k in range(2)]
+    frame = spark.createDataFrame(rows, SCHEMAS["ohlcv"])
+    assert prepare.align_ohlcv(frame, START_MS, START_MS + 5 * hour, "2h").count() == 3
+    assert prepare.align_ohlcv(frame, START_MS, START_MS + 4 * hour, "2h").count() == 2
+    eligible = spark.createDataFrame([("a", START, START + timedelta(days=1))], "symbol string, eligible_from timestamp, eligible_until timestamp")
+    assert [r.status for r in prepare.calendar(frame, eligible, START_MS, START_MS + 5 * hour, "2h").orderBy("timestamp").collect()] == ["observed", "observed", "missing"]
+    for start, end, wrong in ((START_MS, START_MS, frame), (START_MS + 1, START_MS + 5 * hour, frame), (START_MS, START_MS + 2 * hour, frame), (START_MS, START_MS + 5 * hour, frame.union(frame)), (START_MS, START_MS + 5 * hour, frame.withColumn("low", F.lit(2.0))), (START_MS, START_MS + 5 * hour, frame.withColumn("volume", F.lit(None).cast("double")))):
+        with pytest.raises(ValueError):
+            prepare.align_ohlcv(wrong, start, end, "2h")
+    assert prepare.clean_ohlcv(frame.union(frame), "last_observed").count() == 2
+
+
+def test_selection(spark):
+    rows = spark.createDataFrame([("a", 0.2, 0.04), ("b", 0.3, 0.06), ("c", -0.5, 0.01), ("d", 0.2, 0.05)], "strategy string, mean_excess double, adjusted double")
+    assert [r.strategy for r in study.select_strategy(rows, 0.05).where("selected").collect()] == ["a"]
+    assert study.select_strategy(rows, 0.001).where("selected").count() == 0
+    assert [(r.strategy, r.place) for r in study.notable(rows, F.abs("mean_excess"), "strategy", 3).orderBy("place").collect()] == [("c", 1), ("b", 2), ("a", 3)]
+    with pytest.raises(ValueError):
+        study.bar_folds(110, 60, 60, 1, 0.2)
+    with pytest.raises(ValueError):
+        stats.ic_series(rows, "x", 0)
 
 
 def test_store_and_archive(spark, tmp_path):
