@@ -3,14 +3,17 @@
 Rolling-hash triggers cut every text into phrases: a window of MIN bytes belongs to the trigger that is the leftmost minimum
 of the hashes of its GRAM-byte grams, so equal windows have equal triggers at equal places, whatever surrounds them. The
 dictionary is the set of distinct phrases (all windows of one trigger, with their bytes), the parse is where they occur.
-The suffix arrays of dictionary and parse that the method goes on with are left out: only equality of strings of MIN bytes
-counts here, so ever shorter runs are grouped by hash, each level refining the last:
+Phrases overlap by MIN - 1 bytes, so no window spans two of them: the parse adds occurrences and counts to the dictionary's
+order, and corpus order to a depth of MIN bytes is
 
-1. phrases: of triggers that occur once nothing repeats; equal phrases repeat as a whole;
-2. runs of RUN windows of the phrases that share a trigger but differ: what all windows of the run share must repeat;
-3. single windows of the runs that still differ.
+1. of phrases whose trigger occurs once: nothing repeats there, their order is not needed;
+2. of phrases that occur twice: each of their windows repeats;
+3. of the others, distinct phrases that share a trigger: the suffix array of the dictionary. It is sorted at the triggers,
+   once by what follows and once by what precedes, read backwards. A window that starts j bytes before its trigger stands at
+   the pair of its classes at depth j before and MIN - j after; windows that are equal have equal pairs.
 
-Every comparison joins rows by hash; no group is gathered in one place. Equality takes two independent 64-bit hashes.
+Pairs are first compared for runs of RUN windows (what all windows of the run share must be equal for any to be), then for
+the single windows of runs that still differ. Every comparison is a join; no group is gathered in one place.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import HASH_A, HASH_B, U64, byte_blocks, discard, materialize, mixed
+from quantloom.llm.common import HASH_A, HASH_B, U64, binary_column, byte_blocks, discard, materialize, mixed
 from quantloom.llm.shingles import word_bounds
 from quantloom.llm.spans import cut_texts, removal_report, text_key
+from quantloom.llm.suffix_order import at_depth, suffix_order
 
 MIN, GRAM, RUN, BLOCK = 400, 128, 16, 1 << 18
 STAGE_MIN, STAGE_GRAM, STAGE_WORDS = 256, 96, 51
@@ -70,50 +75,92 @@ def phrases(docs: DataFrame, least: int, gram: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(scan, "key binary, i0 int, i1 int, at int, g long, f long")
 
 
-def runs(texts: DataFrame, least: int) -> DataFrame:
-    """Rows (key, lo, hi, w, e, f) for the runs of RUN window starts, counted from the trigger, of texts (key, text, parts).
-
-    e: hash of the trigger and of the bytes that all windows of the run share; f: of all its bytes, null where the phrase
-    holds a part of the run only. w: 2 for a phrase that occurs twice or more, else 1.
-    """
+def strings(texts: DataFrame, least: int) -> DataFrame:
+    """(key, i0, i1, at, w, before, after) of the phrases in texts (key, text, parts): the bytes before the trigger read
+    backwards, and those from it on."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(1)[row].as_buffer(), np.uint8)
+                key, raw = batch.column(0)[row].as_py(), memoryview(batch.column(1)[row].as_buffer())
                 parts = batch.column(2)[row].values
-                i0, i1, at, w, g = (np.asarray(parts.field(k)) for k in ("i0", "i1", "at", "w", "g"))
-                prefix = HASH_A.prefix(raw)
-                m0, m1 = (i0 - at) // RUN, (i1 - at) // RUN
-                n = m1 - m0 + 1
-                of = np.repeat(np.arange(len(n)), n)
-                m = np.repeat(m0 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                start = at[of].astype(np.int64) + RUN * m
-                lo, hi = np.maximum(start, i0[of]), np.minimum(start + RUN - 1, i1[of])
-                e = mixed(HASH_A.ranges(prefix, start + RUN - 1, start + least) + g[of].view(U64) * _A + m.astype(np.int64).view(U64) * _B)
-                whole = (start >= i0[of]) & (start + RUN - 1 <= i1[of])
-                f = HASH_A.ranges(prefix, np.where(whole, start, 0), np.where(whole, start + RUN - 1 + least, 0))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(of), pa.binary()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(w[of]), pa.array(e.view(np.int64)), pa.array(f.view(np.int64), mask=~whole)], ["key", "lo", "hi", "w", "e", "f"])
+                i0, i1, at = (np.asarray(parts.field(k)).tolist() for k in ("i0", "i1", "at"))
+                before = [bytes(raw[a:t])[::-1] for a, t in zip(i0, at, strict=True)]
+                after = [bytes(raw[t : b + least]) for b, t in zip(i1, at, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(i0), pa.binary()), *(parts.field(k) for k in ("i0", "i1", "at", "w")), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["key", "i0", "i1", "at", "w", "before", "after"])
+
+    return texts.select("key", F.col("text").cast("binary"), "parts").mapInArrow(scan, "key binary, i0 int, i1 int, at int, w int, before binary, after binary")
+
+
+PLACES = ("key", "i0", "i1", "at", "w", "before_depths", "before_ranks", "after_depths", "after_ranks")
+
+
+def placed(phrase: DataFrame) -> DataFrame:
+    """The phrases with pid and their paths in both suffix orders in place of their bytes."""
+    orders = {side: suffix_order(phrase.select(F.col(side).alias("s")), f"suffixes-{side}") for side in ("before", "after")}
+    rows = phrase.select("key", "i0", "i1", "at", "w", *(F.unhex(F.md5(side)).alias(side) for side in orders))
+    for side, order in orders.items():
+        named = order.toDF(f"{side}_digest", f"{side}_depths", f"{side}_ranks")
+        rows = rows.join(named, F.col(side) == F.col(f"{side}_digest"), "left")
+    empty = {f"{side}_{x}": F.coalesce(f"{side}_{x}", F.array().cast(f"array<{kind}>")) for side in orders for x, kind in (("depths", "int"), ("ranks", "long"))}
+    out = materialize(rows.withColumns(empty).select(F.monotonically_increasing_id().alias("pid"), *PLACES), "dictionary-order")
+    discard(*orders.values())
+    return out
 
-    return texts.select("key", F.col("text").cast("binary"), "parts").mapInArrow(scan, "key binary, lo int, hi int, w int, e long, f long")
 
+def classes(batch: pa.RecordBatch, row: int):
+    """Functions of a depth array: the classes of a phrase before and after its trigger."""
+    read = lambda name: np.asarray(batch.column(name)[row].values)
+    paths = [(read(f"{side}_depths"), read(f"{side}_ranks")) for side in ("before", "after")]
+    return [lambda depth, p=p: at_depth(*p, depth) for p in paths]
 
-def windows(texts: DataFrame, least: int) -> DataFrame:
-    """Rows (key, lo, w, e, h) for the single windows of the runs in texts (key, text, parts)."""
+
+def runs(phrase: DataFrame, least: int) -> DataFrame:
+    """Rows (key, pid, lo, hi, w, e, f) for the runs of RUN window starts, counted from the trigger, of placed phrases.
+
+    e: the classes of what all windows of the run share; f: of all its bytes, null where the phrase holds a part of the run
+    only. w: 2 for a phrase that occurs twice or more, else 1.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[list[np.ndarray]] = []
             for row in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(1)[row].as_buffer(), np.uint8)
-                parts = batch.column(2)[row].values
-                lo, hi, w, e = (np.asarray(parts.field(k)) for k in ("lo", "hi", "w", "e"))
-                n = hi - lo + 1
-                of = np.repeat(np.arange(len(n)), n)
-                i = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                h = HASH_A.ranges(HASH_A.prefix(raw), i, i + least)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(of), pa.binary()), pa.array(i.astype(np.int32)), pa.array(w[of]), pa.array(e[of]), pa.array(h.view(np.int64))], ["key", "lo", "w", "e", "h"])
+                i0, i1, at = (batch.column(k)[row].as_py() for k in ("i0", "i1", "at"))
+                before, after = classes(batch, row)
+                m = np.arange((i0 - at) // RUN, (i1 - at) // RUN + 1)
+                start = at + RUN * m
+                whole = (start >= i0) & (start + RUN - 1 <= i1)
+                e = np.column_stack([m, before(np.maximum(at - start - RUN + 1, 0)), after(start + least - at)])
+                first, last = np.where(whole, start, i0), np.where(whole, start + RUN - 1, i0)
+                f = np.column_stack([before(at - first), after(last + least - at)])
+                out.append([np.full(len(m), row), np.maximum(start, i0), np.minimum(start + RUN - 1, i1), whole, e, f])
+            if out:
+                row, lo, hi, whole, e, f = (np.concatenate(x) for x in zip(*out, strict=True))
+                own = batch.take(pa.array(row))
+                f = pc.if_else(pa.array(whole), binary_column(f), pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("pid"), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), own.column("w"), binary_column(e), f], ["key", "pid", "lo", "hi", "w", "e", "f"])
+
+    return phrase.mapInArrow(scan, "key binary, pid long, lo int, hi int, w int, e binary, f binary")
+
+
+def windows(parts: DataFrame, least: int) -> DataFrame:
+    """Rows (key, lo, w, e, h) for the single windows of runs (lo, hi, of_w, e) joined with their placed phrases."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = []
+            for row in range(batch.num_rows):
+                lo, hi, at = (batch.column(k)[row].as_py() for k in ("lo", "hi", "at"))
+                before, after = classes(batch, row)
+                i = np.arange(lo, hi + 1)
+                out.append([np.full(len(i), row), i, np.column_stack([at - i, before(at - i), after(i + least - at)])])
+            if out:
+                row, i, h = (np.concatenate(x) for x in zip(*out, strict=True))
+                own = batch.select(["key", "of_w", "e"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(i.astype(np.int32)), own.column(1), own.column(2), binary_column(h)], ["key", "lo", "w", "e", "h"])
 
-    return texts.select("key", F.col("text").cast("binary"), "parts").mapInArrow(scan, "key binary, lo int, w int, e long, h long")
+    return parts.mapInArrow(scan, "key binary, lo int, w int, e binary, h binary")
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN, gram: int = GRAM) -> DataFrame:
@@ -125,25 +172,27 @@ def repeated_spans(docs: DataFrame, least: int = MIN, gram: int = GRAM) -> DataF
     # Written first, so that the join with them can split a frequent trigger.
     twice = materialize(parse.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "repeated-triggers")
     parse2 = materialize(parse.join(twice, "g", "left_semi"), "parse-repeated")
-    discard(parse)
+    discard(parse, twice)
     where = F.struct("key", "i0", "i1", "at")
     words = materialize(parse2.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(where).alias("one")), "dictionary")
     mixed_g = words.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
     whole = parse2.join(words.where("n > 1").select("g", "f"), ["g", "f"], "left_semi").select("key", F.col("i0").alias("a"), (F.col("i1") + least).alias("b"))
-    unsure = words.join(mixed_g, "g", "left_semi").select("one.*", "g", F.least("n", F.lit(2)).cast("int").alias("w"))
-    parts = materialize(unsure.groupBy("key").agg(F.collect_list(F.struct("i0", "i1", "at", "w", "g")).alias("parts")), "unsure")
-    texts = materialize(docs.join(parts.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "unsure-texts")
-    row = materialize(runs(texts.join(parts, "key"), least), "runs")
-    kinds = row.groupBy("e", "f").agg(F.sum("w").alias("w"), F.min(F.struct("key", "lo", "hi")).alias("one"))
+    unsure = words.join(mixed_g, "g", "left_semi").select("one.*", F.least("n", F.lit(2)).cast("int").alias("w"))
+    parts = materialize(unsure.groupBy("key").agg(F.collect_list(F.struct("i0", "i1", "at", "w")).alias("parts")), "unsure")
+    texts = docs.join(parts.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    phrase = materialize(strings(texts.join(parts, "key"), least), "unsure-phrases")
+    order = placed(phrase)
+    discard(phrase, parts)
+    row = materialize(runs(order, least), "runs")
+    kinds = row.groupBy("e", "f").agg(F.sum("w").alias("w"), F.min(F.struct("key", "pid", "lo", "hi")).alias("one"))
     kinds = materialize(kinds.join(row.groupBy("e").agg(F.sum("w").alias("all")).where("all > 1"), "e"), "run-kinds")
     sure = (F.col("f").isNotNull()) & (F.col("w") > 1)
     runs_whole = row.join(kinds.where(sure).select("e", "f"), ["e", "f"], "left_semi").select("key", F.col("lo").alias("a"), (F.col("hi") + least).alias("b"))
     # A run goes on if another kind shares its e; kinds that are settled send one witness. Partial runs stay rows of their own.
     split = kinds.withColumn("other", F.col("all") - F.col("w")).where((F.col("other") > 0) | F.col("f").isNull())
-    witness = split.where(F.col("f").isNotNull()).select("one.*", F.least("w", F.lit(2)).cast("int").alias("w"), "e")
-    partial = row.where("f is null").join(split.where("f is null").select("e"), "e", "left_semi").select("key", "lo", "hi", "w", "e")
-    last = witness.union(partial).groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "w", "e")).alias("parts"))
-    single = materialize(windows(texts.join(last, "key"), least), "windows")
+    witness = split.where(F.col("f").isNotNull()).select("one.pid", "one.lo", "one.hi", F.least("w", F.lit(2)).cast("int").alias("of_w"), "e")
+    partial = row.where("f is null").join(split.where("f is null").select("e"), "e", "left_semi").select("pid", "lo", "hi", F.col("w").alias("of_w"), "e")
+    single = materialize(windows(witness.union(partial).join(order, "pid"), least), "windows")
     again = single.groupBy("e", "h").agg(F.sum("w").alias("w")).where("w > 1").select("e", "h")
     singles = single.join(again, ["e", "h"], "left_semi").select("key", F.col("lo").alias("a"), (F.col("lo") + least).alias("b"))
     return whole.union(runs_whole).union(singles).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))

@@ -219,3 +219,55 @@ def test_search_over_many_shards(spark, monkeypatch):
     assert rows() == whole and len(whole) > 150
     again = docs.where("doc_id = 7").union(docs.where("doc_id = 7"))
     assert [tuple(r) for r in module.top_documents(docs, again, 5).orderBy("rank").collect()] == [r for r in whole if r[0] == 7]
+
+
+def test_paths_tell_equal_prefixes_across_parts():
+    import random
+
+    import numpy as np
+    from quantloom.llm.suffix_order import at_depth, carried, common, paths
+
+    rng = random.Random(5)
+    for _ in range(150):
+        strings = sorted({"".join(rng.choices("ab", k=rng.randrange(1, 9))).encode() for _ in range(rng.randrange(1, 40))})
+        cuts = sorted(rng.sample(range(len(strings) + 1), rng.randrange(0, min(6, len(strings)))))
+        rows = [(sum(c <= k for c in cuts), s) for k, s in enumerate(strings)]
+        placed = [(p, sum(1 for q, t in rows if q == p and t < s), s) for p, s in rows]
+        ends = {}
+        for part, s, path in paths(iter(placed), {}):
+            ends.setdefault(part, [part, s, s, path])[2:] = [s, list(path)]
+        begin = carried([tuple(x) for x in ends.values()])
+        got = {s: list(path) for _, s, path in paths(iter(placed), begin)}
+        assert len(got) == len(strings)
+        rank = lambda s, d: int(at_depth(np.array([x for x, _ in got[s]]), np.array([x for _, x in got[s]]), np.array([d]))[0])  # noqa: E731, B023
+        for a in strings:
+            assert rank(a, 0) == -1 and got[a][-1][0] == len(a)
+            for b in strings:
+                for d in range(1, min(len(a), len(b)) + 1):
+                    assert (rank(a, d) == rank(b, d)) == (common(a, b) >= d)
+
+
+def test_suffix_order_in_spark(spark):
+    from quantloom.llm.suffix_order import suffix_order
+
+    texts = [f"{'x' * (k % 7)}{k % 5}{k}" for k in range(400)] + [""]
+    rows = spark.createDataFrame([(t.encode(),) for t in texts * 2], "s binary").repartition(5)
+    got = suffix_order(rows, "test").collect()
+    assert len(got) == 400 and all(list(r.depths) == sorted(set(r.depths)) and len(r.depths) == len(r.ranks) for r in got)
+    first = {}
+    for r in got:
+        first.setdefault(r.ranks[0], set()).add(bytes(r.digest))
+    assert len(first) == 1 + len({t[0] for t in texts if t and t[0] != "x"})
+    assert suffix_order(rows.where("false"), "test").count() == 0
+
+
+def test_repeats_in_thues_order(spark):
+    from quantloom.llm.suffix_dedup import suffix_dedup
+    from tests.llm.test_dedup import brute_removed
+
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word[:1024], "", "", 0), (2, other[:1024], "", "", 0), (3, "c" + word[100:900], "", "", 0), (4, "ab" * 300 + "c" + "ab" * 210, "", "", 0), (5, "a" * 900, "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for least, gram in ((400, 128), (24, 8)):
+        assert sorted(map(tuple, suffix_dedup(docs, least, gram).collect())) == brute_removed(rows, least)
