@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from datetime import datetime, timedelta
 from decimal import Decimal, InvalidOperation
 
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = "line long, event string, received_at_utc string, connection_id string, reason string, raw_text string"
-ROWS_SCHEMA = "epoch long, line long, product string, side string, level int, price decimal(38,18), size decimal(38,18), updates long"
-STATE_SCHEMA = "epoch long, product string, ready boolean, updates long, errors long, last_error string, digest string"
+ROWS_SCHEMA = "source string, epoch long, line long, product string, side string, level int, price decimal(38,18), size decimal(38,18), updates long"
+STATE_SCHEMA = "source string, epoch long, product string, ready boolean, updates long, errors long, last_error string, digest string"
 
 
 class BookError(ValueError):
@@ -29,6 +30,32 @@ def decimal(text: object, zero: bool = False) -> Decimal:
     return value
 
 
+def event_time(text: object) -> datetime:
+    """A UTC time of the feed, to the microsecond."""
+    if not isinstance(text, str):
+        raise BookError("no time")
+    try:
+        found = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    except ValueError:
+        raise BookError(f"not a time: {text!r}") from None
+    if found.utcoffset() != timedelta(0):
+        raise BookError(f"not a time in UTC: {text!r}")
+    return found
+
+
+def whole(value: object, what: str) -> int:
+    if isinstance(value, bool) or not isinstance(value, int) or value < 0:
+        raise BookError(f"no {what}: {value!r}")
+    return value
+
+
+def rows_of(value: object, width: int, what: str, empty: bool = False) -> list:
+    """A list of lists of so many values."""
+    if not isinstance(value, list) or not (value or empty) or any(not isinstance(x, list) or len(x) != width for x in value):
+        raise BookError(f"malformed {what}")
+    return value
+
+
 def canonical(value: Decimal) -> str:
     """A price or size without trailing zeros: equal values have equal texts."""
     text = format(value.normalize(), "f")
@@ -40,9 +67,15 @@ class Book:
 
     def __init__(self) -> None:
         self.sides: dict[str, dict[Decimal, Decimal]] = {"bid": {}, "ask": {}}
-        self.ready, self.updates, self.time = False, 0, ""
+        self.ready, self.updates, self.time, self.beat = False, 0, None, None
+
+    def copy(self) -> Book:
+        """The book as it is: messages replace the sides and never change them."""
+        other = Book()
+        other.__dict__.update(self.__dict__)
+        return other
 
-    def snapshot(self, levels: list[tuple[str, str, str]], time: str) -> None:
+    def snapshot(self, levels: list[tuple[str, object, object]], time: datetime | None = None) -> None:
         sides: dict[str, dict[Decimal, Decimal]] = {"bid": {}, "ask": {}}
         for side, price, size in levels:
             at = decimal(price)
@@ -52,10 +85,10 @@ class Book:
         self.checked(sides)
         self.sides, self.ready, self.updates, self.time = sides, True, 0, time
 
-    def update(self, levels: list[tuple[str, str, str]], time: str) -> None:
+    def update(self, levels: list[tuple[str, object, object]], time: datetime) -> None:
         if not self.ready:
             raise BookError("update before snapshot")
-        if time < self.time:
+        if self.time is not None and time < self.time:
             raise BookError("time goes back")
         sides = {k: dict(v) for k, v in self.sides.items()}
         for side, price, size in levels:
@@ -90,65 +123,107 @@ class Book:
 
 class Session:
     """One connection: its products' books, the connection-wide sequence and the heartbeat counter. A gap stays: the last
-    good number does not move, so that every later message fails until a new connection."""
+    good number does not move, so that every later message fails until a new connection. A message of several events
+    applies to all of its books or to none; its sequence number counts either way."""
 
     def __init__(self, products: list[str] | None = None) -> None:
         self.books: dict[str, Book] = {}
         self.products, self.sequence, self.beat = products, None, None
 
-    def apply(self, text: str) -> list[tuple[str, str]]:
-        """Apply one feed text; returns (product, snapshot or update) of what changed."""
+    def apply(self, text: object) -> list[tuple[str, str]]:
+        """Apply one feed text; returns (product, snapshot, update or heartbeat) of what it held. What is malformed raises."""
+        if not isinstance(text, str):
+            raise BookError("no text")
         try:
             message = json.loads(text)
         except ValueError:
             raise BookError("not JSON") from None
-        if "channel" in message:
-            return self.envelope(message)
-        return self.plain(message)
+        if not isinstance(message, dict):
+            raise BookError("not an object")
+        return self.envelope(message) if "channel" in message else self.plain(message)
 
-    def book(self, product: str) -> Book | None:
-        if self.products is not None and product not in self.products:
-            return None
-        return self.books.setdefault(product, Book())
+    def known(self, product: object) -> bool:
+        return isinstance(product, str) and (self.products is None or product in self.products)
 
     def envelope(self, message: dict) -> list[tuple[str, str]]:
-        number = message.get("sequence_num")
-        if not isinstance(number, int):
+        channel, number = message["channel"], message.get("sequence_num")
+        if number is not None:
+            number = whole(number, "sequence number")
+            if self.sequence is not None and number != self.sequence + 1:
+                raise BookError(f"sequence gap: {self.sequence} to {number}")
+            self.sequence = number
+        if channel not in ("l2_data", "heartbeats"):
+            return []
+        if number is None:
             raise BookError("no sequence number")
-        if self.sequence is not None and number != self.sequence + 1:
-            raise BookError(f"sequence gap: {self.sequence} to {number}")
-        self.sequence, done = number, []
-        for event in message.get("events", ()):
-            if message["channel"] == "heartbeats":
-                beat = int(event["heartbeat_counter"])
+        events = message.get("events")
+        if not isinstance(events, list) or not events or any(not isinstance(x, dict) for x in events):
+            raise BookError("malformed events")
+        if channel == "heartbeats":
+            for event in events:
+                beat = whole(event.get("heartbeat_counter"), "heartbeat counter")
                 if self.beat is not None and beat != self.beat + 1:
                     raise BookError("heartbeat gap")
                 self.beat = beat
-            elif message["channel"] == "l2_data" and (book := self.book(event.get("product_id"))) is not None:
-                kind = event.get("type")
-                if kind not in ("snapshot", "update"):
-                    raise BookError(f"unknown event: {kind}")
-                levels = [({"bid": "bid", "offer": "ask", "ask": "ask"}[u["side"]], u["price_level"], u["new_quantity"]) for u in event.get("updates", ())]
-                (book.snapshot if kind == "snapshot" else book.update)(levels, message.get("timestamp", ""))
-                done.append((event["product_id"], kind))
+            return [("", "heartbeat")] * len(events)
+        time, staged, done = event_time(message.get("timestamp")), {}, []
+        for event in events:
+            product, kind, levels = event.get("product_id"), event.get("type"), event.get("updates")
+            if not self.known(product):
+                continue
+            if kind not in ("snapshot", "update") or not isinstance(levels, list) or not levels:
+                raise BookError("malformed event")
+            if any(not isinstance(x, dict) or x.get("side") not in ("bid", "offer") for x in levels):
+                raise BookError("malformed level")
+            book = staged.setdefault(product, self.books.get(product, Book()).copy())
+            changes = [("bid" if x["side"] == "bid" else "ask", x.get("price_level"), x.get("new_quantity")) for x in levels]
+            (book.snapshot if kind == "snapshot" else book.update)(changes, time)
+            done.append((product, kind))
+        self.books.update(staged)
         return done
 
     def plain(self, message: dict) -> list[tuple[str, str]]:
-        book, kind = self.book(message.get("product_id")), message.get("type")
-        if book is None:
+        product, kind = message.get("product_id"), message.get("type")
+        if not self.known(product):
             return []
+        book = self.books.setdefault(product, Book())
         if kind == "snapshot":
-            book.snapshot([("bid", *x[:2]) for x in message["bids"]] + [("ask", *x[:2]) for x in message["asks"]], message.get("time", ""))
-            return [(message["product_id"], "snapshot")]
+            book.snapshot([(side, *x) for side, key in (("bid", "bids"), ("ask", "asks")) for x in rows_of(message.get(key), 2, "snapshot", True)])
+            return [(product, "snapshot")]
         if kind == "l2update":
-            book.update([({"buy": "bid", "sell": "ask"}[s], p, q) for s, p, q in message["changes"]], message["time"])
-            return [(message["product_id"], "update")]
+            changes = rows_of(message.get("changes"), 3, "changes")
+            if not book.ready:
+                raise BookError("update before snapshot")
+            time = event_time(message.get("time"))
+            if any(x[0] not in ("buy", "sell") for x in changes):
+                raise BookError("malformed changes")
+            book.update([("bid" if x[0] == "buy" else "ask", *x[1:]) for x in changes], time)
+            return [(product, "update")]
         if kind == "heartbeat":
-            if self.sequence is not None and message["sequence"] < self.sequence:
+            beat = whole(message.get("sequence"), "heartbeat sequence")
+            if book.beat is not None and beat < book.beat:
                 raise BookError("heartbeat goes back")
-            self.sequence = message["sequence"]
+            book.beat = beat
+            return [(product, "heartbeat")]
         return []
 
+    def written(self) -> str:
+        """The session as JSON of plain values, for a stream's state."""
+        books = {p: {"sides": {s: [[str(x), str(q)] for x, q in v.items()] for s, v in b.sides.items()}, "ready": b.ready, "updates": b.updates, "time": b.time and b.time.isoformat(), "beat": b.beat} for p, b in self.books.items()}
+        return json.dumps({"products": self.products, "sequence": self.sequence, "beat": self.beat, "books": books})
+
+    @staticmethod
+    def read(text: str) -> Session:
+        told = json.loads(text)
+        out = Session(told["products"])
+        out.sequence, out.beat = told["sequence"], told["beat"]
+        for product, x in told["books"].items():
+            book = out.books[product] = Book()
+            book.sides = {s: {Decimal(p): Decimal(q) for p, q in v} for s, v in x["sides"].items()}
+            book.ready, book.updates, book.beat = x["ready"], x["updates"], x["beat"]
+            book.time = x["time"] and datetime.fromisoformat(x["time"])
+        return out
+
 
 def with_epoch(log: DataFrame) -> DataFrame:
     """log (source, line, event) with epoch: how many connections its source has begun up to the line."""
@@ -170,16 +245,19 @@ def replay(log: DataFrame, products: list[str] | None = None, depth: int = 5, ev
             except BookError:
                 continue
             for product, kind in done:
+                if kind == "heartbeat":
+                    continue
                 book = session.books[product]
                 if kind == "snapshot" or book.updates % every == 0:
-                    out += [(key[1], row.line, product, *level, book.updates) for level in book.top(depth)]
-        return pd.DataFrame(out, columns=["epoch", "line", "product", "side", "level", "price", "size", "updates"])
+                    out += [(key[0], key[1], row.line, product, *level, book.updates) for level in book.top(depth)]
+        return pd.DataFrame(out, columns=["source", "epoch", "line", "product", "side", "level", "price", "size", "updates"])
 
-    return with_epoch(log).groupBy("source", "epoch").applyInPandas(run, ROWS_SCHEMA)
+    return with_epoch(log.withColumn("source", F.col("source").cast("string"))).groupBy("source", "epoch").applyInPandas(run, ROWS_SCHEMA)
 
 
 def final_states(log: DataFrame, products: list[str] | None = None) -> DataFrame:
-    """epoch, product, ready, updates, errors (of the connection), last_error, digest at the end of each connection."""
+    """source, epoch, product, ready, updates, errors (of the connection), last_error, digest at the end of each connection of
+    each source. Messages that break a rule count as errors and change nothing."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         session, errors, last = Session(products), 0, None
@@ -189,10 +267,10 @@ def final_states(log: DataFrame, products: list[str] | None = None) -> DataFrame
                     session.apply(row.raw_text)
                 except BookError as wrong:
                     errors, last = errors + 1, f"{row.line}: {wrong}"
-        out = [(key[1], p, b.ready, b.updates, errors, last, b.digest() if b.ready else None) for p, b in sorted(session.books.items())]
-        return pd.DataFrame(out, columns=["epoch", "product", "ready", "updates", "errors", "last_error", "digest"])
+        out = [(key[0], key[1], p, b.ready, b.updates, errors, last, b.digest() if b.ready else None) for p, b in sorted(session.books.items())]
+        return pd.DataFrame(out, columns=["source", "epoch", "product", "ready", "updates", "errors", "last_error", "digest"])
 
-    return with_epoch(log).groupBy("source", "epoch").applyInPandas(run, STATE_SCHEMA)
+    return with_epoch(log.withColumn("source", F.col("source").cast("string"))).groupBy("source", "epoch").applyInPandas(run, STATE_SCHEMA)
 
 
 def sequence_gaps(rows: DataFrame, keys: list[str], order: str, number: str) -> DataFrame:

@@ -15,6 +15,7 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
+# The columns and keys of each kind of panel.
 SCHEMAS = {
     "ohlcv": _schema(("exchange", _S), ("symbol", _S), ("timeframe", _S), ("timestamp", _TS), *((c, _D) for c in ("open", "high", "low", "close", "volume")), ("observed_at", _TS)),
     "orderbook": _schema(("exchange", _S), ("symbol", _S), ("observed_at", _TS), ("exchange_timestamp", _TS), ("side", _S), ("level", _L), ("price", _D), ("size", _D)),

@@ -9,6 +9,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quantloom.operators.prepare import keyed_merge, same_rows
 from quantloom.schemas import SCHEMAS, empty_frame, require_columns
@@ -16,6 +17,10 @@ from quantloom.schemas import SCHEMAS, empty_frame, require_columns
 PARTS = {"ohlcv": ["exchange", "symbol", "timeframe"], "orderbook": ["exchange", "symbol"], "funding": ["exchange", "symbol"]}
 
 
+def versioned(kind: str) -> StructType:
+    return StructType([*SCHEMAS[kind].fields, StructField("_v", StringType())])
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
@@ -34,29 +39,56 @@ def _text(spark: SparkSession, path: str, value: str | None = None) -> str | Non
 
 
 class PanelStore:
-    """A root with one folder for each kind; CURRENT names the version that readers see. A write merges by key into a new
-    version and then moves CURRENT, so that readers never see half a merge and nothing is overwritten while it is read."""
+    """A root with one folder for each kind, partitioned by market and version; CURRENT names the list of the versions that
+    readers see, one of each market. A write merges by key into new versions of the markets it has rows of, and then moves
+    CURRENT: other markets are not touched, readers never see half a merge, nothing is overwritten while it is read."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def current(self, kind: str) -> str | None:
-        return _text(self.spark, f"{self.root}/{kind}/CURRENT")
+    def current(self, kind: str) -> DataFrame | None:
+        """The market columns and _v of each market, or None."""
+        path = _text(self.spark, f"{self.root}/{kind}/CURRENT")
+        return self.spark.read.schema(", ".join(f"{c} string" for c in (*PARTS[kind], "_v"))).parquet(path) if path else None
+
+    def _rows(self, kind: str, versions: DataFrame) -> DataFrame:
+        """All rows of some markets' versions; the join prunes the other partitions."""
+        rows = self.spark.read.schema(versioned(kind)).parquet(f"{self.root}/{kind}/markets")
+        return rows.join(F.broadcast(versions), [*PARTS[kind], "_v"]).select(*SCHEMAS[kind].fieldNames())  # a row for each market
 
     def write(self, kind: str, frame: DataFrame) -> str:
         require_columns(frame, SCHEMAS[kind].fieldNames())
-        old = self.current(kind)
-        merged = keyed_merge(self.spark.read.parquet(old) if old else empty_frame(self.spark, kind), frame, kind)
-        version = f"{self.root}/{kind}/v-{uuid.uuid4().hex[:12]}"
-        merged.write.partitionBy(*PARTS[kind]).option("compression", "zstd").parquet(version)
-        return _text(self.spark, f"{self.root}/{kind}/CURRENT", version)
+        name, home = uuid.uuid4().hex[:12], f"{self.root}/{kind}"
+        touched, old = frame.select(*PARTS[kind]).distinct(), self.current(kind)
+        before = self._rows(kind, old.join(touched, PARTS[kind], "left_semi")) if old is not None else empty_frame(self.spark, kind)
+        merged = keyed_merge(before, frame, kind)
+        merged.withColumn("_v", F.lit(name)).write.mode("append").partitionBy(*PARTS[kind], "_v").option("compression", "zstd").parquet(f"{home}/markets")
+        versions = touched.withColumn("_v", F.lit(name))
+        if old is not None:
+            versions = versions.unionByName(old.join(touched, PARTS[kind], "left_anti"))
+        versions.write.parquet(f"{home}/versions/{name}")
+        return _text(self.spark, f"{home}/CURRENT", f"{home}/versions/{name}")
+
+    def vacuum(self, kind: str) -> int:
+        """Delete the versions that CURRENT does not name; returns how many. No reader of an older list may be left."""
+        home, spark = f"{self.root}/{kind}", self.spark
+        if self.current(kind) is None:
+            return 0
+        every = spark.read.schema(versioned(kind)).parquet(f"{home}/markets").select(*PARTS[kind], "_v", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+        gone = every.join(self.current(kind), [*PARTS[kind], "_v"], "left_anti").select("folder").collect()  # a row for each old version
+        for row in gone:
+            where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row.folder))
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        return len(gone)
 
     def read(self, kind: str, start: int | None = None, end: int | None = None, **market: str) -> DataFrame:
         """Rows of [start, end) in epoch ms of a market; partitions and row groups are pruned. No data: a typed empty frame."""
-        path = self.current(kind)
-        if path is None:
+        versions = self.current(kind)
+        if versions is None:
             return empty_frame(self.spark, kind)
-        rows = self.spark.read.schema(SCHEMAS[kind]).parquet(path)
+        for name, value in market.items():
+            versions = versions.where(F.col(name) == value)
+        rows = self._rows(kind, versions)
         for name, value in market.items():
             rows = rows.where(F.col(name) == value)
         time = "observed_at" if kind == "orderbook" else "timestamp"
@@ -64,7 +96,7 @@ class PanelStore:
             rows = rows.where(F.col(time) >= F.timestamp_millis(F.lit(start)))
         if end is not None:
             rows = rows.where(F.col(time) < F.timestamp_millis(F.lit(end)))
-        return rows.select(*SCHEMAS[kind].fieldNames())
+        return rows
 
 
 def write_once(frame: DataFrame, path: str, request: dict) -> None:

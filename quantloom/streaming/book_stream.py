@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +20,7 @@ def book_states(log: DataFrame, products: list[str] | None = None) -> DataFrame:
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, errors = pickle.loads(state.get[0]) if state.exists else (Session(products), 0)
+        session, errors = (Session.read(state.get[0]), state.get[1]) if state.exists else (Session(products), 0)
         rows = pd.concat(list(batches)).sort_values("line")
         for row in rows.itertuples():
             if row.event == "connection_start":
@@ -31,9 +30,9 @@ def book_states(log: DataFrame, products: list[str] | None = None) -> DataFrame:
                     session.apply(row.raw_text)
                 except BookError:
                     errors += 1
-        state.update((pickle.dumps((session, errors)),))
+        state.update((session.written(), errors))
         out = [(key[0], p, b.updates, errors, b.digest()) for p, b in sorted(session.books.items()) if b.ready]
         yield pd.DataFrame(out, columns=["connection_id", "product", "updates", "errors", "digest"])
 
     keyed = log.where("connection_id is not null").groupBy("connection_id")
-    return keyed.applyInPandasWithState(run, OUT, "state binary", "update", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(run, OUT, "session string, errors long", "update", GroupStateTimeout.NoTimeout)

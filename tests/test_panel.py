@@ -161,6 +161,8 @@ def test_book_batch_equals_stream(spark, tmp_path):
     folder = feed(tmp_path)
     log = read_log(spark, folder).withColumn("source", F.lit("one"))
     assert log.where("event = 'malformed'").count() == 1
+    two = book.final_states(log.union(log.withColumn("source", F.lit("two")))).collect()
+    assert sorted((r.source, r.epoch) for r in two) == [(s, k) for s in ("one", "two") for k in (1, 2)]
     states = {r.epoch: r for r in book.final_states(log).collect()}
     assert states[1].updates == 1 and states[1].errors == 4 and states[2].updates == 1 and states[2].errors == 0
     top = {(r.side, r.level): str(r.price) for r in book.replay(log, depth=2).where("epoch = 1 and updates = 1").collect()}
@@ -172,16 +174,56 @@ def test_book_batch_equals_stream(spark, tmp_path):
 
 
 def test_book_rules():
-    b = book.Book()
+    b, at = book.Book(), book.event_time("2025-01-01T00:00:01Z")
     with pytest.raises(book.BookError):
-        b.update([], "")
-    b.snapshot([("bid", "1", "1"), ("ask", "2", "1")], "1")
+        b.update([], at)
+    b.snapshot([("bid", "1", "1"), ("ask", "2", "1")], at)
     for wrong in ([("bid", "2", "1")], [("bid", "1", "0")], [("bid", "nan", "1")], [("bid", "-1", "1")]):
         with pytest.raises(book.BookError):
-            b.update(wrong, "2")
+            b.update(wrong, at)
     assert b.updates == 0 and book.canonical(book.decimal("100.00")) == "100"
     with pytest.raises(book.BookError):
-        b.update([("bid", "1", "2")], "0")
+        b.update([("bid", "1", "2")], book.event_time("2025-01-01T00:00:00.999999999Z"))
+
+
+def test_malformed_messages_are_rejected():
+    level = lambda side, p, q: {"side": side, "price_level": p, "new_quantity": q}
+    both = [level("bid", "100", "1"), level("offer", "101", "1")]
+    event = lambda kind, ups, product="A": {"type": kind, "product_id": product, "updates": ups}
+    text = lambda n, *events, **more: json.dumps({"channel": "l2_data", "sequence_num": n, "timestamp": "2025-01-01T00:00:00Z", "events": list(events), **more})
+    s = book.Session(["A", "B"])
+    assert s.apply(text(0, event("snapshot", both), event("snapshot", both, "B"), event("snapshot", both, "C"))) == [("A", "snapshot"), ("B", "snapshot")]
+    digest, n = s.books["A"].digest(), 0
+    for wrong in (event("update", []), event("other", both), event("update", [{"side": "bid", "price_level": "1"}]), event("update", [level("left", "1", "1")]), event("update", [5]), event("snapshot", 5), 7, event("update", [level("bid", "102", "1")])):
+        n += 1
+        with pytest.raises(book.BookError):
+            s.apply(text(n, event("update", [level("bid", "99", "1")]), wrong))
+        assert s.books["A"].digest() == digest, wrong  # the first event of the message did not stay
+    for wrong in (None, "5", "null", "[]", "{", text(True, event("update", both)), text(n + 5, event("update", both)), json.dumps({"channel": "l2_data", "events": []}), 5):
+        with pytest.raises(book.BookError):
+            s.apply(wrong)
+    for more in ({"events": []}, {"events": 5}, {"timestamp": "soon"}, {"timestamp": None}, {"timestamp": "2025-01-01T00:00:00+01:00"}):
+        n += 1
+        with pytest.raises(book.BookError):
+            s.apply(text(n, event("update", [level("bid", "99", "1")]), **more))
+    assert s.apply(json.dumps({"channel": "status"})) == [] and s.apply(json.dumps({"channel": "status", "sequence_num": n + 1})) == []
+    beat = lambda k, c: json.dumps({"channel": "heartbeats", "sequence_num": k, "events": [{"heartbeat_counter": c}]})
+    assert s.apply(beat(n + 2, 4)) == [("", "heartbeat")]
+    for k, c in ((n + 3, 6), (n + 4, True), (n + 5, None)):
+        with pytest.raises(book.BookError):
+            s.apply(beat(k, c))
+    again = book.Session.read(s.written())
+    assert again.books["B"].digest() == digest and again.sequence == s.sequence and again.beat == s.beat
+    plain = book.Session()
+    for wrong in ({"type": "snapshot", "product_id": "A", "asks": [["2", "1"]]}, {"type": "snapshot", "product_id": "A", "bids": [["1"]], "asks": [["2", "1"]]}, {"type": "l2update", "product_id": "A", "changes": [["buy", "1", "1"]]}, {"type": "heartbeat", "product_id": "A", "sequence": "1"}):
+        with pytest.raises(book.BookError):
+            plain.apply(json.dumps(wrong))
+    assert plain.apply(json.dumps({"type": "snapshot", "product_id": "A", "bids": [["1", "1"]], "asks": [["2", "1"]]})) == [("A", "snapshot")]
+    for wrong in ({"changes": [["left", "1", "1"]], "time": "2025-01-01T00:00:00Z"}, {"changes": [], "time": "2025-01-01T00:00:00Z"}, {"changes": [["buy", "1", "2"]]}):
+        with pytest.raises(book.BookError):
+            plain.apply(json.dumps({"type": "l2update", "product_id": "A", **wrong}))
+    assert plain.apply(json.dumps({"type": "l2update", "product_id": "A", "changes": [["buy", "1", "2"]], "time": "2025-01-01T00:00:00Z"})) == [("A", "update")]
+    assert plain.apply(json.dumps({"type": "heartbeat", "product_id": "A", "sequence": 3})) == [("A", "heartbeat")]
 
 
 def test_risk_reasons(spark):
@@ -251,6 +293,9 @@ def test_store_and_archive(spark, tmp_path):
     store.write("ohlcv", bars.withColumn("volume", F.lit(7.0)).withColumn("observed_at", F.expr("observed_at + INTERVAL 1 DAY")).where("symbol = 'm0'"))
     assert store.read("ohlcv").count() == 12 and store.read("ohlcv", symbol="m0").agg(F.min("volume")).first()[0] == 7.0
     assert store.read("ohlcv", START_MS, START_MS + 14_400_000 * 2, symbol="m1").count() == 2
+    assert sorted(p.parts[-3] for p in (tmp_path / "store/ohlcv/markets").rglob("_v=*")) == ["symbol=m0", "symbol=m0", "symbol=m1"]  # the other market stayed
+    assert store.vacuum("ohlcv") == 1 and len(list((tmp_path / "store/ohlcv/markets").rglob("_v=*"))) == 2
+    assert store.read("ohlcv").count() == 12 and store.vacuum("ohlcv") == 0 and store.vacuum("funding") == 0
     write_once(bars, f"file://{tmp_path}/once", {"a": 1})
     write_once(bars, f"file://{tmp_path}/once", {"a": 1})
     with pytest.raises(ValueError):
