@@ -2,8 +2,8 @@
 
 One scan of the texts writes the index: shards of at most SHARD documents, each a row with its terms, their postings and
 counts. In a shard the documents stand by their most frequent term and length, so that alike ones share blocks. A search has
-two rounds over the shards. The first searches each query in one shard only; its k-th best score there is a threshold that
-holds everywhere. The second searches all shards with it.
+two rounds over the shards. The first searches each query in its home shards, as many as the root of their number; its k-th
+best score there is a threshold that holds everywhere. The second searches the other shards with it.
 
 In a shard a query goes in document order, as in WAND, with blocks of BLOCK documents in place of single ones. Its short
 lists are added up first. A block's bound is its best sum so far and the block maxima of the query's long lists. The cursor
@@ -15,6 +15,7 @@ Scores are sums of integers, so bounds are exact, shards merge exactly and ties
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -233,7 +234,8 @@ def asked_in(path: str) -> Iterator[pa.RecordBatch]:
 
 
 def search_shards(index: DataFrame, queries: str, mean: float, top: int, shards: int, home: bool) -> DataFrame:
-    """(query_id, doc_id, points) of the index's shards for the queries' table at a path; home: of one shard for each query.
+    """(query_id, doc_id, points) of the index's shards for the queries' table at a path: of each query's home shards, or of
+    the others.
 
     Each shard reads the queries in batches, so that they are neither copied by a shuffle nor held whole.
     """
@@ -246,8 +248,8 @@ def search_shards(index: DataFrame, queries: str, mean: float, top: int, shards:
                 for asked in asked_in(queries):
                     query, chosen, threshold = (np.asarray(asked.column(c)) for c in ("doc_id", "home", "threshold"))
                     out: list[tuple[int, np.ndarray, np.ndarray]] = []
-                    for r in np.flatnonzero(chosen % shards == number) if home else range(asked.num_rows):
-                        terms, idf = (np.asarray(asked.column(c)[int(r)].values) for c in ("terms", "idf"))
+                    for r in np.flatnonzero(((number - chosen) % shards < isqrt(shards)) == home).tolist():
+                        terms, idf = (np.asarray(asked.column(c)[r].values) for c in ("terms", "idf"))
                         found, points = shard.search(query[r], terms.view(U64), idf, threshold[r], top)
                         if len(found):
                             out.append((query[r], found, points))
@@ -287,11 +289,11 @@ def top_documents(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
     # A shard's number is its place in the order of its names.
     numbers = index.select("shard").withColumn("number", F.row_number().over(Window.orderBy("shard")) - 1)
     index = index.join(F.broadcast(numbers), "shard")  # a row for each SHARD documents
-    seen = search_shards(index, first, mean, top, max(1, shards), True)
-    least = seen.groupBy("query_id").agg(F.count("*").alias("n"), F.min("points").alias("least")).where(F.col("n") >= top)
+    seen = materialize(search_shards(index, first, mean, top, max(1, shards), True), "home-results")
+    order = Window.partitionBy("query_id").orderBy(F.col("points").desc(), "doc_id")
+    least = seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == top).select("query_id", F.col("points").alias("least"))
     asked = spark.read.parquet(first).drop("threshold")
     second = written(asked.join(least, F.col("doc_id") == F.col("query_id"), "left").select(*asked.columns, F.coalesce("least", F.lit(0)).cast("double").alias("threshold")), "queries")
-    found = search_shards(index, second, mean, top, max(1, shards), False)
-    order = Window.partitionBy("query_id").orderBy(F.col("points").desc(), "doc_id")
+    found = seen.union(search_shards(index, second, mean, top, max(1, shards), False))
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.select("query_id", "rank", "doc_id", (F.col("points") / F.lit(float(SCALE))).alias("score"))
