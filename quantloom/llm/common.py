@@ -23,10 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (all in one
+    JVM) gets one of its own; on a cluster it raises, as executors would write where nobody reads."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -185,14 +189,50 @@ def binary_column(matrix: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) as stars (node, its smallest node), inside each partition: same components, fewer edges, no shuffle."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.get(top, top)) != top:
+                top = up
+            while x != top:  # the path now ends at its top
+                parent[x], x = top, parent.get(x, x)
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        nodes = [x for x in parent if root(x) != x]
+        for lo in range(0, len(nodes), 1 << 16):
+            part = nodes[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(list(map(root, part)), pa.int64())], ["a", "b"])
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(scan, "a long, b long")
+
+
+#: A task contracts about so many edges by itself.
+LOCAL_EDGES = 1 << 20
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of an edge table (a, b): the smallest node reachable. Alternates large and small stars.
+    """(node, component) of an edge table (a, b): the smallest node reachable.
 
-    Each round joins no more than one row per edge and writes its table to the shared folder; a hub's edges are spread
-    by the skew join. Empty edges give an empty table. Self-loops and repeated edges are harmless.
+    Partitions of about LOCAL_EDGES edges first become stars by themselves; what one partition held is then done. The rest
+    alternates large and small stars: each round joins no more than one row per edge and writes its table to the shared
+    folder; a hub's edges are spread by the skew join. Empty edges give an empty table. Self-loops and repeated edges are
+    harmless.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while True:
+    given = materialize(edges.where("a <> b"), name)
+    parts = max(1, -(-given.count() // LOCAL_EDGES))
+    now = materialize(forest(given.coalesce(parts)), name)
+    discard(given)
+    while parts > 1:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))

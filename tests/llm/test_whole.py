@@ -271,3 +271,29 @@ def test_repeats_in_thues_order(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for least, gram in ((400, 128), (24, 8)):
         assert sorted(map(tuple, suffix_dedup(docs, least, gram).collect())) == brute_removed(rows, least)
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    import random
+
+    import quantloom.llm.common as module
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 40)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {x: root(x) for x in parent if root(x) != x}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    for most in (1 << 20, 60):
+        monkeypatch.setattr(module, "LOCAL_EDGES", most)
+        got = module.components(table).collect()
+        assert {r.node: r.component for r in got if r.node != r.component} == want and len({r.node for r in got}) == len(got)
+    assert module.components(table.where("false")).count() == 0
