@@ -20,6 +20,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,16 +99,16 @@ def forest_rows(reps: DataFrame, further: bool = False) -> DataFrame:
                 key = np.full(len(rep), t, U64)
                 for k in range(MIN_DEPTH):
                     key = mixed(key * U64(0x9E3779B97F4A7C15) + own[:, k])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), *(own[:, k].copy().view(np.int32) for k in range(MIN_DEPTH, MAX_DEPTH)), rep, n, *bits.T)], ["region", *more, "rep", "n", *BITS])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), *(own[:, k].copy().view(np.int32) for k in range(MIN_DEPTH, MAX_DEPTH)), np.full(len(rep), t, np.int32), rep, n, *bits.T)], ["region", *more, "tree", "rep", "n", *BITS])
 
-    return reps.select("rep", "n", "signature").mapInArrow(scan, f"region long, {', '.join(f'{d} int' for d in more)}, rep long, n long, {', '.join(f'{b} long' for b in BITS)}")
+    return reps.select("rep", "n", "signature").mapInArrow(scan, f"region long, {', '.join(f'{d} int' for d in more)}, tree int, rep long, n long, {', '.join(f'{b} long' for b in BITS)}")
 
 
 def adaptive_regions(rows: DataFrame) -> DataFrame:
     """Regions of more than REGION rows take longer prefixes; those of full depth are dealt into blocks. Only the rows of
     such regions are counted again."""
     done, plain = [], {"parts": F.lit(1), "block": F.lit(0)}
-    columns = ("region", "block", "parts", "rep", "n", *BITS)
+    columns = ("region", "block", "parts", "tree", "rep", "n", *BITS)
     for k in range(MIN_DEPTH, MAX_DEPTH + 1):
         large = materialize(rows.groupBy("region").agg(F.count("*").alias("rows_in")).where(F.col("rows_in") > REGION), "large-regions")
         if large.isEmpty():
@@ -237,7 +238,7 @@ def propose(rows: DataFrame, similarity: float) -> DataFrame:
             part = t.take(pa.array(own)).append_column("best", pa.array(best)).append_column("score", pa.array(score.astype(np.int32))).append_column("hub", pa.array(hub))
             yield from part.combine_chunks().to_batches()
 
-    return dealt(rows, "parts", "rep", "n", *BITS).mapInArrow(scan, f"region long, block int, parts int, {ROW}, best long, score int, hub long")
+    return dealt(rows, "parts", "tree", "rep", "n", *BITS).mapInArrow(scan, f"region long, block int, parts int, tree int, {ROW}, best long, score int, hub long")
 
 
 def propose_again(rows: DataFrame, similarity: float) -> DataFrame:
@@ -269,7 +270,7 @@ def needy(rows: DataFrame, similarity: float) -> DataFrame:
             if len(i):
                 yield from t.take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
 
-    return dealt(rows, "rep", "n", *BITS, "comp", "side").mapInArrow(scan, f"region long, block int, {ROW}, comp long, side int")
+    return dealt(rows, "tree", "rep", "n", *BITS, "comp", "side").mapInArrow(scan, f"region long, block int, tree int, {ROW}, comp long, side int")
 
 
 def with_guests(rows: DataFrame) -> DataFrame:
@@ -289,12 +290,30 @@ def with_guests(rows: DataFrame) -> DataFrame:
     return alone.unionByName(hosts.select(*alone.columns)).unionByName(guests.select(*alone.columns))
 
 
+def first_met(t: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which row pairs of the same region share no region of an earlier tree; homes has the (tree, region) of each row."""
+    homes = t.column("homes").combine_chunks()
+    row = np.repeat(np.arange(t.num_rows), np.asarray(pc.list_value_length(homes)))
+    number, region = (np.asarray(homes.flatten().field(k)) for k in ("tree", "region"))
+    own = np.zeros((t.num_rows, int(number.max()) + 1), np.int64)
+    own[row, number] = region
+    tree, columns = np.asarray(t.column("tree")), np.arange(own.shape[1])
+    keep = np.ones(len(i), bool)
+    for lo in range(0, len(i), 1 << 14):
+        a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+        keep[lo : lo + (1 << 14)] = ~((own[a] == own[b]) & (own[a] != 0) & (columns < tree[a, None])).any(axis=1)
+    return keep
+
+
 def compare_apart(rows: DataFrame, docs: DataFrame, words: int, similarity: float, percent: int) -> DataFrame:
     """(rep, other): pairs of different components whose 32-bit sets reach the threshold.
 
-    Such sets share at least what the full sets share. Pairs far enough above the threshold that collisions cannot have
-    made them join their components there, and further pairs between the two are left out.
+    Such sets share at least what the full sets share. A pair that shares regions of several trees is compared in the first
+    of them only. Pairs far enough above the threshold that collisions cannot have made them join their components there,
+    and further pairs between the two are left out.
     """
+    homes = rows.groupBy("rep").agg(F.collect_set(F.struct("tree", "region")).alias("homes"))  # one for each tree
+    rows = rows.join(materialize(homes, "homes"), "rep")
     sets = shingle_table(chosen(docs, rows.select(F.col("rep").alias("doc_id"))), words)
     sets = sets.select(F.col("doc_id").alias("rep"), F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
 
@@ -303,6 +322,7 @@ def compare_apart(rows: DataFrame, docs: DataFrame, words: int, similarity: floa
             i, j, agree = passing(t, similarity, apart=True)
             if not len(i):
                 continue
+            i, j, agree = (x[first_met(t, i, j)] for x in (i, j, agree))
             rep, comp, n = (np.asarray(t.column(c)) for c in ("rep", "comp", "n"))
             own = [np.unique(np.asarray(x.values)) for c in t.column("low").chunks for x in c]
             parent: dict[int, int] = {}
@@ -327,7 +347,7 @@ def compare_apart(rows: DataFrame, docs: DataFrame, words: int, similarity: floa
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["rep", "other"])
 
-    full = dealt(rows.join(sets, "rep"), "rep", "n", *BITS, "comp", "side", "low")
+    full = dealt(rows.join(sets, "rep"), "tree", "rep", "n", *BITS, "comp", "side", "homes", "low")
     return full.mapInArrow(scan, "rep long, other long").distinct()
 
 
