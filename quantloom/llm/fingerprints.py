@@ -2,9 +2,11 @@
 
 A text's units are its paragraphs, long ones cut every UNIT code points from their beginning. The distinct unit digests are
 dealt by their high bits into blocks of about KEYS; a block has three tables of WIDTH cells (count, key sum, check sum by
-exclusive or). Sketches of two versions subtract cell by cell; peeling cells that hold one digest recovers the digests that
-differ. A block that does not peel is halved and both halves are sketched with another hash, up to RETRIES times; blocks that
-still fail are compared by their digests themselves.
+exclusive or). Two blocks that share a longer prefix add up to the block of the shorter one, so a sketch folds to any smaller
+power of two. Sketches of two versions fold to the smaller one's size and subtract cell by cell; peeling cells that hold one
+digest recovers the digests that differ, on either side. What does not peel is retried larger: its blocks first at the size of
+the larger sketch, then halved with another hash, up to RETRIES times; blocks that still fail are compared by their digests
+themselves.
 """
 
 from __future__ import annotations
@@ -72,29 +74,39 @@ def sketch_sql(keys: str, blocks: str) -> str:
 
 
 def peel_sql(cells: str, seed: int = 0) -> str:
-    """(ok, p, q) of one block's difference: whether it peeled, and how many digests only the first and second have."""
+    """(ok, p, q) of one block's difference: whether it peeled, and the digests that only the first and second have."""
     pure = f"array_distinct(transform(filter(s.d, c -> abs(c.n) = 1 and c.h = xxhash64(c.k)), c -> named_struct('k', c.k, 'h', c.h, 'n', c.n, 'm', {mask_sql('c.k', 'c.h', seed)})))"
     add = lambda x: f"aggregate(hit, c.{x}, (a, x) -> a ^ x.{x})"
     take = f"if(size(hit) = 0, c, named_struct('n', aggregate(hit, c.n, (a, x) -> a - x.n), 'k', {add('k')}, 'h', {add('h')}))"
     after = f"zip_with(s.d, {BITS}, (c, bit) -> {let('filter(pure, x -> (x.m & bit) <> 0)', 'hit', take)})"
-    step = let(pure, "pure", f"if(size(pure) = 0, named_struct('d', s.d, 'p', s.p, 'q', s.q, 'go', false), named_struct('d', {after}, 'p', s.p + size(filter(pure, x -> x.n = 1)), 'q', s.q + size(filter(pure, x -> x.n = -1)), 'go', true))")
+    found = lambda n: f"transform(filter(pure, x -> x.n = {n}), x -> x.k)"
+    step = let(pure, "pure", f"if(size(pure) = 0, named_struct('d', s.d, 'p', s.p, 'q', s.q, 'go', false), named_struct('d', {after}, 'p', concat(s.p, {found(1)}), 'q', concat(s.q, {found(-1)}), 'go', true))")
     done = "s -> named_struct('ok', forall(s.d, c -> c.n = 0 and c.k = 0 and c.h = 0), 'p', s.p, 'q', s.q)"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('d', {cells}, 'p', 0, 'q', 0, 'go', true), (s, r) -> if(s.go, {step}, s), {done})"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('d', {cells}, 'p', {NONE}, 'q', {NONE}, 'go', true), (s, r) -> if(s.go, {step}, s), {done})"
 
 
+NONE = "cast(array() as array<bigint>)"
 LESS = "(x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h)"
 
 
 def tally_sql(blocks: str, begin: str, peeled: str) -> str:
     """(p, q, failed) over blocks b: the digests found to differ on top of those of begin, and the blocks that did not peel."""
-    step = let(peeled, "z", "if(z.ok, named_struct('p', t.p + z.p, 'q', t.q + z.q, 'failed', t.failed), named_struct('p', t.p, 'q', t.q, 'failed', concat(t.failed, array(b))))")
-    return f"aggregate({blocks}, named_struct('p', {begin}.p, 'q', {begin}.q, 'failed', cast(array() as array<bigint>)), (t, b) -> {step})"
+    step = let(peeled, "z", "if(z.ok, named_struct('p', if(size(z.p) = 0, t.p, concat(t.p, z.p)), 'q', if(size(z.q) = 0, t.q, concat(t.q, z.q)), 'failed', t.failed), named_struct('p', t.p, 'q', t.q, 'failed', concat(t.failed, array(b))))")
+    return f"aggregate({blocks}, named_struct('p', {begin}.p, 'q', {begin}.q, 'failed', {NONE}), (t, b) -> {step})"
+
+
+def folded_sql(cells: str, blocks: str, fewer: str) -> str:
+    """A sketch at the size of fewer blocks: cells of the blocks that become one add up."""
+    ratio = f"({blocks} div {fewer})"
+    at = f"{cells}[cast((i * {ratio} + s) * {CELLS} + c as int)]"
+    total = f"aggregate(sequence(0L, {ratio} - 1), named_struct('n', 0, 'k', 0L, 'h', 0L), (a, s) -> named_struct('n', a.n + {at}.n, 'k', a.k ^ {at}.k, 'h', a.h ^ {at}.h))"
+    return f"if({blocks} = {fewer}, {cells}, flatten(transform(sequence(0L, {fewer} - 1), i -> transform(sequence(0, {CELLS - 1}), c -> {total}))))"
 
 
 def difference_sql(one: str, other: str, blocks: str) -> str:
     """(p, q, failed) of two sketches of so many blocks."""
     cut = lambda x: f"slice({x}, cast(b as int) * {CELLS} + 1, {CELLS})"
-    return tally_sql(f"sequence(0L, {blocks} - 1)", "named_struct('p', 0, 'q', 0)", peel_sql(f"zip_with({cut(one)}, {cut(other)}, {LESS})"))
+    return tally_sql(f"sequence(0L, {blocks} - 1)", f"named_struct('p', {NONE}, 'q', {NONE})", peel_sql(f"zip_with({cut(one)}, {cut(other)}, {LESS})"))
 
 
 def retried_sql(first: str, second: str, blocks: str, seed: int) -> str:
@@ -114,20 +126,25 @@ def once(rows: DataFrame, **values: str) -> DataFrame:
 def with_likeness(rows: DataFrame, one: str, other: str, name: str) -> DataFrame:
     """rows with the Jaccard similarity of two texts' unit sets; a text has the columns <text>_keys, _blocks and _cells.
 
-    The sketches are compared at the size of the larger one. <name>_direct counts the blocks compared by their digests.
+    <name>_lost and <name>_gained have the digests that only the first and second text has, <name>_direct counts the blocks
+    that were compared by their digests.
     """
     first, second = f"{one}_keys", f"{other}_keys"
-    rows = rows.withColumn("_b", F.greatest(f"{one}_blocks", f"{other}_blocks"))
-    rows = once(rows, **{c: f"if({x}_blocks = _b, {x}_cells, {sketch_sql(f'{x}_keys', '_b')})" for x, c in ((one, "_x"), (other, "_y"))})
+    rows = rows.withColumns({"_b": F.least(f"{one}_blocks", f"{other}_blocks"), "_m": F.greatest(f"{one}_blocks", f"{other}_blocks")})
+    rows = once(rows, **{c: folded_sql(f"{x}_cells", f"{x}_blocks", "_b") for x, c in ((one, "_x"), (other, "_y"))})
     rows = once(rows, _z=difference_sql("_x", "_y", "_b")).drop("_x", "_y")
+    own = [f"if({x}_blocks = _m, slice({x}_cells, cast(b as int) * {CELLS} + 1, {CELLS}), {cells_sql(block_sql(f'{x}_keys', 'b', '_m'))})" for x in (one, other)]
+    larger = "flatten(transform(_z.failed, f -> sequence(f * (_m div _b), (f + 1) * (_m div _b) - 1)))"
+    rows = once(rows, _z=f"if(size(_z.failed) = 0 or _m = _b, _z, {tally_sql(larger, '_z', peel_sql(f'zip_with({own[0]}, {own[1]}, {LESS})'))})")
     for seed in range(1, RETRIES + 1):
-        rows = once(rows, _z=retried_sql(first, second, f"(_b * {1 << seed}L)", seed))
-    x, y = (block_sql(k, "b", f"(_b * {1 << RETRIES}L)") for k in (first, second))
-    missed = let(f"named_struct('x', {x}, 'y', {y})", "s", "named_struct('ok', true, 'p', size(array_except(s.x, s.y)), 'q', size(array_except(s.y, s.x)))")
+        rows = once(rows, _z=retried_sql(first, second, f"(_m * {1 << seed}L)", seed))
+    x, y = (block_sql(k, "b", f"(_m * {1 << RETRIES}L)") for k in (first, second))
+    missed = let(f"named_struct('x', {x}, 'y', {y})", "s", "named_struct('ok', true, 'p', array_except(s.x, s.y), 'q', array_except(s.y, s.x))")
     rows = rows.withColumn(f"{name}_direct", F.expr("size(_z.failed)"))
     rows = once(rows, _z=f"if(size(_z.failed) = 0, _z, {tally_sql('_z.failed', '_z', missed)})")
-    total, differ = f"(size({first}) + size({second}))", "(_z.p + _z.q)"
-    return rows.withColumn(name, F.expr(f"if({total} = 0, 1.0D, cast({total} - {differ} as double) / ({total} + {differ}))")).drop("_b", "_z")
+    total, differ = f"(size({first}) + size({second}))", "(size(_z.p) + size(_z.q))"
+    likeness = F.expr(f"if({total} = 0, 1.0D, cast({total} - {differ} as double) / ({total} + {differ}))")
+    return rows.withColumns({name: likeness, f"{name}_lost": F.expr("_z.p"), f"{name}_gained": F.expr("_z.q")}).drop("_b", "_m", "_z")
 
 
 def written(cells: str) -> Column:
@@ -159,7 +176,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, unit: int = UNIT) -> DataFrame:
-    """fingerprints() with near_edited_direct and near_next_direct, the blocks of a row that sketches could not decide."""
+    """fingerprints() with what the sketches' differences hold: near_edited_lost and near_edited_gained, the digests of units
+    that only the text and only the edited text has, and near_next_lost and near_next_gained likewise; near_edited_direct and
+    near_next_direct count the blocks of a row that sketches could not decide."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_next(rows).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 2)), substring(next, 1, int(n_chars div 2)))"))
@@ -168,7 +187,7 @@ def compared(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     rows = rows.select("*", *(F.expr(blocks_sql(f"size({x}_keys)")).alias(f"{x}_blocks") for x in ("text", "edited", "next")))
     rows = once(rows, **{f"{x}_cells": sketch_sql(f"{x}_keys", f"{x}_blocks") for x in ("text", "edited", "next")})
     rows = with_likeness(with_likeness(rows, "text", "edited", "near_edited"), "text", "next", "near_next")
-    return rows.select("doc_id", "n_chars", "edited_sha256", written("text_cells").alias("fingerprint"), written("edited_cells").alias("edited_fingerprint"), "near_edited", "near_next", "near_edited_direct", "near_next_direct")
+    return rows.select("doc_id", "n_chars", "edited_sha256", written("text_cells").alias("fingerprint"), written("edited_cells").alias("edited_fingerprint"), "near_edited", "near_next", *(f"near_{x}_{y}" for x in ("edited", "next") for y in ("lost", "gained", "direct")))
 
 
 def fingerprints(docs: DataFrame, unit: int = UNIT) -> DataFrame:
@@ -178,4 +197,4 @@ def fingerprints(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     descending doc_id. Null texts are empty; texts without units have equal fingerprints, and likeness 1 to each other.
     Repeated units of a text count once. near_edited and near_next are the likeness to the edited and to the next text.
     """
-    return compared(docs, unit).drop("near_edited_direct", "near_next_direct")
+    return compared(docs, unit).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

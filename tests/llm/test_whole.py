@@ -297,3 +297,29 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
         got = module.components(table).collect()
         assert {r.node: r.component for r in got if r.node != r.component} == want and len({r.node for r in got}) == len(got)
     assert module.components(table.where("false")).count() == 0
+
+
+def test_peeling_recovers_the_digests_that_differ(spark):
+    from quantloom.llm.fingerprints import KEY_SPACE, compared
+
+    many = [f"paragraph {k} of many" for k in range(900)]
+    texts = {5: "\n".join(many), 4: "\n".join(many[:300] + ["new one", *many[400:]]), 3: "a\nb\nc", 2: "", 1: None, 6: "\n".join(many * 2)}
+    rows = compared(spark.createDataFrame([(i, t, 7, "x") for i, t in texts.items()], "doc_id long, text string, next int, part string")).collect()
+    units = {t or "": {u for u in (t or "").split("\n") if u} for t in texts.values()}
+    every = sorted(set().union(*units.values()))
+    digest = {r.u: r.k for r in spark.createDataFrame([(u,) for u in every], "u string").selectExpr("u", f"xxhash64(u) & {KEY_SPACE - 1}L as k").collect()}
+    keys = {t: {digest[u] for u in us} for t, us in units.items()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        t, after = texts[r.doc_id] or "", texts[r.doc_id - 1 or 6] or ""
+        assert set(r.near_next_lost) == keys[t] - keys[after] and set(r.near_next_gained) == keys[after] - keys[t] and r.near_next_direct == 0
+        assert len(r.near_next_lost) == len(set(r.near_next_lost)) and len(r.near_next_gained) == len(set(r.near_next_gained))
+
+
+def test_fingerprints_of_repeated_and_unnamed_rows(spark):
+    from quantloom.llm.fingerprints import fingerprints
+
+    rows = [(3, "c"), (3, "c"), (3, "b"), (1, "a"), (None, "n"), (None, "m")]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "3", "3", "None", "None"]
+    assert len({r.fingerprint for r in got}) == 5 and all(0 <= r.near_next <= 1 and r.n_chars == 1 for r in got)
