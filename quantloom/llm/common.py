@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this driver has written to the shared folder, in order.
+_WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _WRITTEN[-1]
+
+
+def tidied(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """materialize() of what make returns; all that making it wrote to the shared folder is deleted then."""
+    start = len(_WRITTEN)
+    out = materialize(make(), name)
+    for path in _WRITTEN[start:-1]:
+        remove(spark, path)
+    del _WRITTEN[start:]
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,10 +70,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by materialize() that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(df.sparkSession, path)
 
 
 FILTER_BITS = 1 << 23

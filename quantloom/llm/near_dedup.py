@@ -119,7 +119,7 @@ def adaptive_regions(rows: DataFrame) -> DataFrame:
             rows = rows.withColumn("region", F.xxhash64("region", f"d{k}")).drop("rows_in")
         else:
             parts = F.ceil(F.col("rows_in") / REGION).cast("int")
-            plain = {"parts": parts, "block": F.pmod(F.xxhash64("rep"), parts).cast("int")}
+            plain = {"parts": parts, "block": F.pmod(F.xxhash64("rep", "tree"), parts).cast("int")}
     out = rows.withColumns(plain).select(*columns)
     for part in done:
         out = out.union(part)
