@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import discard, materialize
 
 Path = list[tuple[int, int]]
+#: Strings of a range. Spark samples the ranges' bounds by some hundred strings for each.
+PART = 1 << 15
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -84,8 +86,9 @@ def carried(edges: list[tuple[int, bytes, bytes, Path]]) -> dict[int, Path]:
 def suffix_order(strings: DataFrame, name: str) -> DataFrame:
     """digest (md5), depths, ranks of every distinct string of strings (s binary); empty strings have no path."""
     plain = strings.where(F.octet_length("s") > 0).select("s").distinct()
-    placed = materialize(plain.repartitionByRange("s").sortWithinPartitions("s").select(F.spark_partition_id().cast("long").alias("part"), "s"), name)
-    dealt = placed.repartition("part").sortWithinPartitions("part", "s")
+    parts = max(1, -(-strings.count() // PART))
+    placed = materialize(plain.repartitionByRange(parts, "s").sortWithinPartitions("s").select(F.spark_partition_id().cast("long").alias("part"), "s"), name)
+    dealt = placed.repartition(parts, "part").sortWithinPartitions("part", "s")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
