@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # The reasons of a denial.
 INCOMPLETE = "risk limits are incomplete"
 NO_FRESHNESS = "risk configuration incomplete: snapshot freshness limit is missing"
-DISABLED = "execution is disabled; live trading is unavailable"
+DISABLED = "execution mode is not paper"
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:

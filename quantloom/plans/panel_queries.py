@@ -431,7 +431,7 @@ def denial_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GATE_SQL} SELECT o_orderkey, CASE WHEN age < 0 THEN 'portfolio snapshot is from the future' WHEN age > 50 THEN 'portfolio snapshot is stale' ELSE reason END AS gated,
-  'execution is disabled; live trading is unavailable' AS disabled,
+  'execution mode is not paper' AS disabled,
   CASE WHEN age < 0 THEN 'portfolio snapshot is from the future' ELSE 'risk configuration incomplete: snapshot freshness limit is missing' END AS no_freshness, 'risk limits are incomplete' AS no_drawdown FROM l""")
 def authorization_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate with all limits, in another mode, without the age limit, and its limits without that of the drawdown."""
