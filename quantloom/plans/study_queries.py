@@ -274,10 +274,10 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
 
 
-def two_sided_sql(series: str, keys: str, value: str, order: str, block: int, resamples: int, seed: int, out: str) -> str:
-    """CTE out: keys, p of circular block resamples of a CTE series; 1 where it is shorter than max(10, two blocks)."""
+def two_sided_sql(series: str, keys: str, value: str, order: str, block: int, resamples: int, seed: int, out: str, least: int = 10) -> str:
+    """CTE out: keys, p of circular block resamples of a CTE series, without those shorter than max(least, two blocks)."""
     return f"""{out}s AS (SELECT {keys}, {value} AS x, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n, avg({value}) OVER (PARTITION BY {keys}) AS observed FROM {series}),
-{out}h AS (SELECT {keys}, any_value(n) AS n, any_value(observed) AS observed FROM {out}s GROUP BY {keys} HAVING any_value(n) >= {max(10, 2 * block)}),
+{out}h AS (SELECT {keys}, any_value(n) AS n, any_value(observed) AS observed FROM {out}s GROUP BY {keys} HAVING any_value(n) >= {max(least, 2 * block)}),
 {out}d AS (SELECT *, ('0x' || substr(md5('{seed}|' || r || '|' || k), 1, 8))::BIGINT % n AS start, least({block}, n - k * {block}) AS len FROM (SELECT *, unnest(range(0, (n + {block} - 1) // {block})) AS k FROM (SELECT *, unnest(range(0, {resamples})) AS r FROM {out}h))),
 {out}m AS (SELECT {', '.join(f'g.{c}' for c in keys.split(', '))}, g.r, sum(s.x - g.observed) / any_value(g.n) AS mean, any_value(g.observed) AS observed FROM (SELECT *, (start + j) % n AS i FROM (SELECT *, unnest(range(0, len)) AS j FROM {out}d)) g JOIN {out}s s ON {' AND '.join(f's.{c} = g.{c}' for c in keys.split(', '))} AND s.i = g.i GROUP BY ALL),
 {out} AS (SELECT {keys}, (count(*) FILTER (WHERE abs(mean) >= abs(observed) - 1e-15) + 1) / {resamples + 1}.0::DOUBLE AS p FROM {out}m GROUP BY {keys})"""
@@ -314,10 +314,28 @@ def holdout_series_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", F.round("ic", 9).alias("ic"), "n")
 
 
-@query()
+_PLACES = f"[{', '.join(f"'{x}'" for x in IC_FACTORS)}]"
+#: Development times, folds inside them, IC of each phase, p and correction of the training phase, the choice, its holdout.
+STUDY_SQL = f"""{LABEL_SQL}, nt AS (SELECT n, n - greatest(30, CAST(ceil(n * 0.2::DOUBLE) AS BIGINT)) AS sealed FROM (SELECT count(DISTINCT t) AS n FROM f)),
+fo AS (SELECT k AS fold, k * 30 AS train_start, k * 30 + 60 AS train_end, k * 30 + 61 AS test_start, k * 30 + 91 AS test_end FROM (SELECT unnest(range(0, (SELECT (sealed - 91) // 30 + 1 FROM nt))) AS k)),
+ph AS (SELECT fold, 'train' AS phase, train_start AS lo, train_end AS hi FROM fo UNION ALL SELECT fold, 'test', test_start, test_end FROM fo UNION ALL SELECT -1, 'holdout', sealed, n FROM nt),
+lg AS (SELECT t, bar_no, label, unnest({_PLACES}) AS factor, unnest([{', '.join(IC_FACTORS)}]) AS value FROM lb),
+jj AS (SELECT lg.*, fold, phase FROM lg JOIN ph ON bar_no >= lo AND bar_no + 1 < hi), {rank_sql('jj', 'value', 'label', 'fold, phase, factor, t', 3, 'fi')},
+tn AS (SELECT * FROM fi WHERE phase = 'train'), {two_sided_sql('tn', 'fold, factor', 'ic', 't', 3, 199, 7, 'wp', 5)},
+sm AS (SELECT tn.fold, tn.factor, avg(ic) AS mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, count(*) AS periods, coalesce(any_value(wp.p), 1) AS p FROM tn LEFT JOIN wp ON wp.fold = tn.fold AND wp.factor = tn.factor GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY p) AS k, count(*) OVER (PARTITION BY fold) AS m FROM sm),
+aj AS (SELECT *, least(1, min(p * m / k) OVER (PARTITION BY fold ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adjusted FROM rk),
+ch AS (SELECT *, adjusted <= 0.5 AND row_number() OVER (PARTITION BY fold ORDER BY (adjusted <= 0.5) DESC, abs(mean_ic) DESC, list_position({_PLACES}, factor)) = 1 AS selected FROM aj),
+te AS (SELECT fold, factor, avg(ic) AS ic FROM fi WHERE phase = 'test' GROUP BY 1, 2), ho AS (SELECT factor, avg(ic) AS ic FROM fi WHERE phase = 'holdout' GROUP BY 1)"""
+
+
+@query(f"""{with_sql(STUDY_SQL)} SELECT CAST(ch.fold AS INTEGER) AS fold, ch.factor, round(mean_ic, 9) AS mean_ic, round(ir, 8) AS ir, CAST(periods AS BIGINT) AS periods, round(p, 9) AS p, round(adjusted, 9) AS adjusted, CAST(selected AS INTEGER) AS selected, round(te.ic, 9) AS test_ic,
+  CASE WHEN selected AND ch.fold = (SELECT max(fold) FROM fo) THEN round(ho.ic, 9) END AS holdout_ic FROM ch LEFT JOIN te ON te.fold = ch.fold AND te.factor = ch.factor LEFT JOIN ho ON ho.factor = ch.factor""")
 def walk_forward_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole factor study: bootstrap, correction, selection, test and holdout."""
-    return study.factor_study(factor_frame(spark, sf_dir, IC_SPECS), IC_FACTORS, 60, 30, alpha=0.5)
+    out = study.factor_study(factor_frame(spark, sf_dir, IC_SPECS), IC_FACTORS, 60, 30, alpha=0.5)
+    rounded = {c: F.round(c, 8 if c == "ir" else 9) for c in ("mean_ic", "ir", "p", "adjusted", "test_ic", "holdout_ic")}
+    return out.withColumns({**rounded, "selected": F.col("selected").cast("int")}).select("fold", "factor", "mean_ic", "ir", "periods", "p", "adjusted", "selected", "test_ic", "holdout_ic")
 
 
 STUDIED = {k: v[0] for k, v in STRATEGIES.items()}
