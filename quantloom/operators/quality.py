@@ -45,6 +45,34 @@ def assess_ohlcv(frame: DataFrame, start: int, end: int, interval: str) -> DataF
     return verdict(one.crossJoin(gaps))  # one row each
 
 
+ASSET_METRICS = ("null_values", "duplicate_rows", "invalid_bars", "off_grid_rows", "missing_bars", "imputed_bars")
+
+
+def assess_assets(frame: DataFrame, spans: DataFrame, interval: str) -> DataFrame:
+    """symbol, rows, ASSET_METRICS, ok: assess_ohlcv of every asset of spans (symbol, start_ms, end_ms) over its own window.
+
+    One aggregation for all assets. An asset without bars misses its whole grid. Bars of other symbols are left out.
+    """
+    step, ms = interval_ms(interval), F.unix_millis("timestamp")
+    outside = (ms < F.col("start_ms")) | (ms >= F.col("end_ms")) | (F.pmod(ms - F.col("start_ms"), F.lit(step)) != 0) | (F.col("timeframe") != interval)
+    nulls = reduce(lambda a, b: a + b, (F.count_if(F.col(c).isNull()) for c in frame.columns if c != "symbol"))
+    imputed = F.count_if(F.col("is_imputed")) if "is_imputed" in frame.columns else F.lit(0).cast("long")
+    per = frame.join(spans, "symbol").groupBy("symbol").agg(
+        F.count("*").alias("rows"), nulls.alias("null_values"), (F.count("*") - F.count_distinct(F.struct(*KEYS["ohlcv"]))).alias("duplicate_rows"),
+        F.count_if(invalid_quality_bar()).alias("invalid_bars"), F.count_if(outside).alias("off_grid_rows"), F.count_distinct(F.when(~outside, F.col("timestamp"))).alias("_present"), imputed.alias("imputed_bars"),
+    )
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("rows", "_present", *ASSET_METRICS) if c != "missing_bars"}
+    cells = F.ceil((F.col("end_ms") - F.col("start_ms")) / step)
+    out = spans.join(per, "symbol", "left").withColumns(zero).withColumn("missing_bars", (cells - F.col("_present")).cast("long"))
+    clean = reduce(lambda a, b: a & b, (F.col(c) == 0 for c in ASSET_METRICS))
+    return out.select("symbol", "rows", *ASSET_METRICS, ((F.col("rows") > 0) & clean).alias("ok"))
+
+
+def assets_verdict(assets: DataFrame) -> DataFrame:
+    """assets, rows and each metric in sum, and ok if every asset is."""
+    return assets.agg(F.count("*").alias("assets"), F.sum("rows").alias("rows"), *(F.sum(c).alias(c) for c in ASSET_METRICS), F.bool_and("ok").alias("ok"))
+
+
 def verdict(metrics: DataFrame) -> DataFrame:
     names = [c for c in metrics.columns if c not in ("rows", "imputed_bars")]
     issues = F.array_compact(F.array(F.when(F.col("rows") == 0, F.lit("empty_response")), *(F.when((F.col("rows") > 0) & (F.col(c) > 0), F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in names)))

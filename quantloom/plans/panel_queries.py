@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import book, factors, inventory, prepare, quality, risk
@@ -71,6 +71,31 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess_ohlcv(rows, *day_span(rows), "2h").drop("imputed_bars", "issues", "ok")
 
 
+ASSETS_SQL = f"""{bars_sql('1h')}, b AS (SELECT *, (t // 3600000) % 5 AS k FROM bars),
+f AS (SELECT symbol, t, open, high, CASE WHEN k = 0 THEN high + 1 ELSE low END AS low, close, CASE WHEN k = 1 THEN -volume ELSE volume END AS volume FROM b),
+el AS (SELECT event_type AS symbol, epoch_ms(min(ts)) - epoch_ms(min(ts)) % 86400000 + 86400000 AS a, epoch_ms(max(ts)) - epoch_ms(max(ts)) % 86400000 - 1800000 AS z FROM events GROUP BY 1),
+q AS (SELECT f.symbol, count(*) AS "rows", count(*) FILTER (WHERE low > least(open, close, high) OR high < greatest(open, close, low) OR volume < 0 OR open <= 0) AS invalid_bars,
+  count(*) FILTER (WHERE t < a OR t >= z) AS off_grid_rows, CAST(ceil((any_value(z) - any_value(a)) / 3600000.0::DOUBLE) AS BIGINT) - count(*) FILTER (WHERE t >= a AND t < z) AS missing_bars FROM f JOIN el ON el.symbol = f.symbol GROUP BY f.symbol)"""
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken bars held against each event type's own window, which ends half an hour before a day does."""
+    spans = eligibility(spark, sf_dir).select("symbol", F.unix_millis("eligible_from").alias("start_ms"), (F.unix_millis("eligible_until") - 1_800_000).alias("end_ms"))
+    return quality.assess_assets(broken_bars(spark, sf_dir), spans, "1h")
+
+
+@query(f"""WITH {ASSETS_SQL} SELECT symbol, "rows", CAST(0 AS BIGINT) AS null_values, CAST(0 AS BIGINT) AS duplicate_rows, invalid_bars, off_grid_rows, missing_bars, CAST(0 AS BIGINT) AS imputed_bars,
+  CAST(invalid_bars + off_grid_rows + missing_bars = 0 AS INTEGER) AS ok FROM q""")
+def asset_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets(spark, sf_dir).withColumn("ok", F.col("ok").cast("int"))
+
+
+@query(f"""WITH {ASSETS_SQL} SELECT CAST(count(*) AS BIGINT) AS assets, CAST(sum("rows") AS BIGINT) AS "rows", CAST(0 AS BIGINT) AS null_values, CAST(0 AS BIGINT) AS duplicate_rows, CAST(sum(invalid_bars) AS BIGINT) AS invalid_bars,
+  CAST(sum(off_grid_rows) AS BIGINT) AS off_grid_rows, CAST(sum(missing_bars) AS BIGINT) AS missing_bars, CAST(0 AS BIGINT) AS imputed_bars, CAST(bool_and(invalid_bars + off_grid_rows + missing_bars = 0) AS INTEGER) AS ok FROM q""")
+def asset_quality_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assets_verdict(assets(spark, sf_dir)).withColumn("ok", F.col("ok").cast("int"))
+
+
 @query(f"WITH {bars_sql('1h')} SELECT symbol, t AS t_ms FROM bars, span WHERE (t - s) % 14400000 <> 0")
 def off_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_bars(spark, sf_dir, "1h").withColumn("timeframe", F.lit("4h"))
@@ -478,3 +503,41 @@ def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GATE_SQL} SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(count(*) FILTER (WHERE coalesce(equity <= 0 OR gross < 0 OR daily_loss < 0 OR drawdown < 0 OR drawdown > 1, true)) AS BIGINT) AS violations FROM l")
 def portfolio_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.violations(sized_orders(spark, sf_dir), "portfolio")
+
+
+# Feed logs written from the events: a connection for each run of a user's events up to a login, a snapshot first, then an
+# update for each event. Every 17th event's text is broken, every 23rd update crosses the book.
+FEED_SQL = f"""{EPOCH_SQL}, ms AS (SELECT *, row_number() OVER (PARTITION BY source, epoch ORDER BY line) AS k FROM ep WHERE event = 'message' AND epoch > 0),
+fe AS (SELECT *, k > 1 AND line % 17 = 0 AS broken, k > 1 AND line % 17 <> 0 AND line % 23 = 0 AS crossed FROM ms)"""
+
+
+def feed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, line, event, raw_text of the product A; sequence numbers leave out the broken texts."""
+    rows = book.with_epoch(event_log(spark, sf_dir))
+    order = Window.partitionBy("source", "epoch").orderBy("line")
+    message = F.col("event") == "message"
+    rows = rows.withColumn("k", F.sum(message.cast("int")).over(order))
+    rows = rows.withColumn("broken", message & (F.col("k") > 1) & (F.col("line") % 17 == 0))
+    rows = rows.withColumn("n", F.sum((message & ~F.col("broken")).cast("long")).over(order) - 1)
+    level = lambda side, price, size: F.struct(F.lit(side).alias("side"), price.cast("string").alias("price_level"), size.cast("string").alias("new_quantity"))
+    both = F.array(level("bid", F.lit(100), F.lit(1)), level("offer", F.lit(200), F.lit(1)))
+    change = F.array(level("bid", F.when(F.col("line") % 23 == 0, F.lit(250)).otherwise(F.col("line") % 40 + 101), F.col("line") % 5 + 1))
+    first = F.col("k") == 1
+    event = F.struct(F.when(first, "snapshot").otherwise("update").alias("type"), F.lit("A").alias("product_id"), F.when(first, both).otherwise(change).alias("updates"))
+    text = F.to_json(F.struct(F.lit("l2_data").alias("channel"), F.col("n").alias("sequence_num"), F.lit("2025-01-01T00:00:00Z").alias("timestamp"), F.array(event).alias("events")))
+    return rows.select("source", "line", "event", F.when(message, F.when(F.col("broken"), "{").otherwise(text)).alias("raw_text"))
+
+
+@query(f"""WITH {FEED_SQL} SELECT CAST(source AS VARCHAR) AS source, CAST(epoch AS BIGINT) AS epoch, CAST(count(*) FILTER (WHERE k > 1 AND NOT broken AND NOT crossed) AS BIGINT) AS updates, CAST(count(*) FILTER (WHERE broken OR crossed) AS BIGINT) AS errors FROM fe GROUP BY source, epoch""")
+def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates and rejected messages of every connection of the feed logs."""
+    return book.final_states(feed_log(spark, sf_dir).where("source is not null")).where("epoch > 0").select("source", "epoch", "updates", "errors")
+
+
+@query(f"""WITH {FEED_SQL}, lv AS (SELECT source, epoch, line % 40 + 101 AS price, arg_max(line % 5 + 1, line) AS size FROM fe WHERE k > 1 AND NOT broken AND NOT crossed GROUP BY 1, 2, 3 UNION ALL SELECT source, epoch, 100, 1 FROM fe WHERE k = 1),
+lk AS (SELECT *, row_number() OVER (PARTITION BY source, epoch ORDER BY price DESC) AS level FROM lv) SELECT CAST(source AS VARCHAR) AS source, CAST(epoch AS BIGINT) AS epoch, CAST(level AS INTEGER) AS level, CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size FROM lk WHERE level <= 3""")
+def feed_top_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best bids after the last message that each connection accepted."""
+    rows = book.replay(feed_log(spark, sf_dir), depth=3).where("side = 'bid' and epoch > 0")
+    last = rows.groupBy("source", "epoch").agg(F.max("line").alias("line"))
+    return rows.join(last, ["source", "epoch", "line"]).select("source", "epoch", "level", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
