@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import book, factors, inventory, prepare, quality, risk
 from quantloom.plans.registry import query
-from quantloom.schemas import interval_ms
+from quantloom.schemas import SCHEMAS, interval_ms
 from quantloom.sources.bars import day_span, event_bars
+from quantloom.sources.store import PanelStore, scratch_root
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -156,6 +157,19 @@ def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.keyed_merge(old, new).select("symbol", t_ms(), "close")
 
 
+@query("""WITH r AS (SELECT event_type AS symbol, epoch_ms(ts) - epoch_ms(ts) % 3600000 AS t_ms, value AS close, event_id % 3 > 0 AS batch, ts FROM events WHERE event_id % 3 = 0 OR event_type <> 'click'),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol, t_ms ORDER BY ts DESC, batch DESC) AS k FROM r)
+SELECT symbol, t_ms, close FROM k WHERE k = 1 AND t_ms >= (SELECT epoch_ms(min(ts)) - epoch_ms(min(ts)) % 86400000 + 86400000 FROM events)""")
+def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches written to a panel store, the second without one market, read back from the second day on."""
+    columns = SCHEMAS["ohlcv"].fieldNames()
+    rows = observations(spark, sf_dir)
+    panels = PanelStore(spark, scratch_root(spark, "panels"))
+    panels.write("ohlcv", rows.where("event_id % 3 = 0").select(*columns))
+    panels.write("ohlcv", rows.where("event_id % 3 > 0 and symbol <> 'click'").select(*columns))
+    return panels.read("ohlcv", day_span(rows)[0] + 86_400_000).select("symbol", t_ms(), "close")
+
+
 @query("""SELECT event_type AS symbol, epoch_ms(ts) - epoch_ms(ts) % 3600000 AS t_ms, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1""")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.duplicate_keys(observations(spark, sf_dir)).select("symbol", t_ms(), F.col("count").alias("n"))

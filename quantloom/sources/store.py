@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -17,6 +18,17 @@ from quantloom.schemas import SCHEMAS, empty_frame, require_columns
 PARTS = {"ohlcv": ["exchange", "symbol", "timeframe"], "orderbook": ["exchange", "symbol"], "funding": ["exchange", "symbol"]}
 
 
+def scratch_root(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; without that setting a local session gets one of its own, a cluster raises."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-store-", dir="/tmp")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def versioned(kind: str) -> StructType:
     return StructType([*SCHEMAS[kind].fields, StructField("_v", StringType())])
 
