@@ -7,6 +7,7 @@ import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,23 @@ def read_archives(spark: SparkSession, path: str, symbol: str, interval: str, st
     checked = F.when(wrong, F.raise_error(F.concat(F.lit("bar off its grid in "), "path"))).otherwise(F.timestamp_millis("open_ms"))
     stamp = checked.cast("timestamp")
     return raw.select(F.lit("archive").alias("exchange"), F.lit(symbol).alias("symbol"), F.lit(interval).alias("timeframe"), stamp.alias("timestamp"), "open", "high", "low", "close", "volume", F.current_timestamp().alias("observed_at"))
+
+
+def months_between(start: int, end: int) -> list[str]:
+    """yyyy-MM of the whole UTC months of [start, end) in epoch ms; a bound inside a month raises."""
+    first, last = (datetime.fromtimestamp(t / 1000, UTC) for t in (start, end))
+    if end <= start or any((t.day, t.hour, t.minute, t.second, t.microsecond) != (1, 0, 0, 0, 0) for t in (first, last)):
+        raise ValueError("the range must be whole UTC months")
+    count = (last.year - first.year) * 12 + last.month - first.month
+    return [f"{first.year + (first.month - 1 + k) // 12}-{(first.month - 1 + k) % 12 + 1:02}" for k in range(count)]
+
+
+def read_months(spark: SparkSession, path: str, symbol: str, interval: str, start: int, end: int, digests: dict[str, str] | None = None) -> DataFrame:
+    """read_archives() of a range of whole months in order of time; a month without any bar raises."""
+    wanted = months_between(start, end)
+    bars = read_archives(spark, path, symbol, interval, start, end, digests)
+    month = F.date_format(F.to_utc_timestamp("timestamp", spark.conf.get("spark.sql.session.timeZone")), "yyyy-MM")
+    missing = sorted(set(wanted) - {r[0] for r in bars.select(month).distinct().collect()})  # a row for each month
+    if missing:
+        raise ValueError(f"no bars in {', '.join(missing)}")
+    return bars.orderBy("timestamp")

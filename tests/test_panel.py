@@ -283,7 +283,7 @@ def test_selection(spark):
 
 
 def test_store_and_archive(spark, tmp_path):
-    from quantloom.sources.archive import epoch_ms, read_archives
+    from quantloom.sources.archive import epoch_ms, months_between, read_archives, read_months
     from quantloom.sources.store import PanelStore, file_digests, write_once
 
     store = PanelStore(spark, f"file://{tmp_path}/store")
@@ -314,6 +314,13 @@ def test_store_and_archive(spark, tmp_path):
             read_archives(spark, f"file://{tmp_path}/zips", "A", "4h", START_MS, START_MS + end * 14_400_000, digests).collect()
     with pytest.raises(ValueError):
         epoch_ms(5)
+    month = int(datetime(2025, 2, 1, tzinfo=UTC).timestamp() * 1000)
+    got = read_months(spark, f"file://{tmp_path}/zips", "A", "4h", START_MS, month)
+    assert [r.timestamp for r in got.select("timestamp").collect()] == sorted(r.timestamp for r in got.select("timestamp").collect()) and got.count() == 3
+    for a, b in ((START_MS, int(datetime(2025, 3, 1, tzinfo=UTC).timestamp() * 1000)), (START_MS, month - 1), (month, START_MS)):
+        with pytest.raises(ValueError):
+            read_months(spark, f"file://{tmp_path}/zips", "A", "4h", a, b)
+    assert months_between(int(datetime(2024, 11, 1, tzinfo=UTC).timestamp() * 1000), month) == ["2024-11", "2024-12", "2025-01"]
 
 
 def test_one_shuffle_by_market(spark):
