@@ -5,23 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.schemas import GROUPS, market_window
 
 
-def window_of(w: int) -> Window:
-    return market_window().rowsBetween(-(w - 1), 0)
+def over(w: int | None = None) -> str:
+    """SQL of a market's window in time order, of the last w rows if told. Whole expressions as SQL take one call to the JVM
+    each, where columns put together piece by piece take dozens: a catalog has hundreds of them."""
+    rows = "" if w is None else f" ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW"
+    return f"(PARTITION BY {', '.join(GROUPS)} ORDER BY timestamp{rows})"
 
 
-def full(agg: Callable[[Column], Column], x: str | Column, w: int) -> Column:
-    x = F.col(x) if isinstance(x, str) else x
-    return F.when(F.count(x).over(window_of(w)) == w, agg(x).over(window_of(w)))
+def full(agg: Callable[[str], Column], x: str, w: int) -> Column:
+    """An aggregate function of functions, over the last w values of the column x."""
+    return F.expr(f"CASE WHEN count({x}) OVER {over(w)} = {w} THEN {agg.__name__}({x}) OVER {over(w)} END")
 
 
 def lag(x: str | Column, k: int = 1) -> Column:
-    return F.lag(x, k).over(market_window())
+    return F.expr(f"lag({x}, {k}) OVER {over()}") if isinstance(x, str) else F.lag(x, k).over(market_window())
 
 
 def divided(a: Column, b: Column) -> Column:
@@ -31,10 +34,9 @@ def divided(a: Column, b: Column) -> Column:
 
 def correlation(x: str, y: str, w: int) -> Column:
     """Pearson correlation of w joint values; null where a side is constant."""
-    a, b = (F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c)) for c in (x, y))
-    over = window_of(w)
-    spread = F.stddev_samp(a).over(over) * F.stddev_samp(b).over(over)
-    return F.when(F.count(a).over(over) == w, divided(F.covar_samp(a, b).over(over), F.when(spread > 1e-12, spread)))
+    a, b = (f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {c} END" for c in (x, y))
+    spread = f"stddev_samp({a}) OVER {over(w)} * stddev_samp({b}) OVER {over(w)}"
+    return F.expr(f"CASE WHEN count({a}) OVER {over(w)} = {w} THEN try_divide(covar_samp({a}, {b}) OVER {over(w)}, CASE WHEN {spread} > 1e-12 THEN {spread} END) END")
 
 
 def with_ewm(frame: DataFrame, column: str, windows: tuple[int, ...]) -> DataFrame:

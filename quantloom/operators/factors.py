@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.rolling import correlation, divided, full, lag, with_ewm
 from quantloom.operators.prepare import clean_ohlcv, require_complete_grid
-from quantloom.schemas import finite
+from quantloom.schemas import GROUPS
 
 # Family names and default windows.
 WINDOW_FAMILIES = (
@@ -118,16 +118,19 @@ def compute_factors(frame: DataFrame, specs: Sequence[tuple[str, int | None]], c
         raise ValueError("factor names must be unique and new")
     if checked:
         frame = require_complete_grid(clean_ohlcv(frame))
-    columns = frame.columns
+    columns, keys = frame.columns, [*GROUPS, "timestamp"]
     spans = tuple(sorted({w for f, w in specs if f == "ema_gap"}))
     rows = per_bar(with_ewm(frame, "close", spans) if spans else frame)
+    # The bar before stands in for the bar from here on, so that one lag serves all formulas.
+    before = lag(F.struct(*(c for c in rows.columns if c not in keys))).alias("_before")
+    rows = rows.select(*keys, F.struct(*(c for c in columns if c not in keys)).alias("_own"), before).select(*keys, "_own", "_before.*")
     prior = {f"_top_{w}": full(F.max, "high", w) for f, w in specs if f == "breakout_distance"} | {f"_bottom_{w}": full(F.min, "low", w) for f, w in specs if f == "pullback_distance"}
     if prior:
         rows = rows.withColumns(prior)
         rows = rows.withColumns({k: lag(k) for k in prior})
-    raw = rows.select(*columns, *((windowed(f, w) if w is not None else bar_shape(f)).alias(f"_{n}") for (f, w), n in zip(specs, names, strict=True)))
-    lagged = raw.select(*columns, *(lag(f"_{n}").alias(n) for n in names))
-    return lagged.select(*columns, *(F.when(finite(_c(n)), _c(n)).alias(n) for n in names))
+    raw = rows.select(*keys, "_own", *((windowed(f, w) if w is not None else bar_shape(f)).alias(f"_{n}") for (f, w), n in zip(specs, names, strict=True)))
+    own = [_c(c) if c in keys else _c(f"_own.{c}").alias(c) for c in columns]
+    return raw.select(*own, *(F.expr(f"CASE WHEN abs(_{n}) < double('Infinity') THEN _{n} END").alias(n) for n in names))  # NaN is over all numbers
 
 
 def lagged_return(lookback: int) -> Column:
