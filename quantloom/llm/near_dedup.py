@@ -262,15 +262,18 @@ def propose_again(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def needy(rows: DataFrame, similarity: float) -> DataFrame:
-    """Rows with a passing neighbour in another component."""
+    """Rows with a passing neighbour in another component that no region of an earlier tree has brought together with them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in region_runs(batches):
             i, j, _ = passing(t, similarity, apart=True)
+            if len(i):
+                met = first_met(t, i, j)
+                i, j = i[met], j[met]
             if len(i):
                 yield from t.take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
 
-    return dealt(rows, "tree", "rep", "n", *BITS, "comp", "side").mapInArrow(scan, f"region long, block int, tree int, {ROW}, comp long, side int")
+    return dealt(rows, "tree", "rep", "n", *BITS, "comp", "side", "homes").mapInArrow(scan, f"region long, block int, tree int, {ROW}, comp long, side int, homes array<struct<tree: int, region: long>>")
 
 
 def with_guests(rows: DataFrame) -> DataFrame:
@@ -312,8 +315,6 @@ def compare_apart(rows: DataFrame, docs: DataFrame, words: int, similarity: floa
     of them only. Pairs far enough above the threshold that collisions cannot have made them join their components there,
     and further pairs between the two are left out.
     """
-    homes = rows.groupBy("rep").agg(F.collect_set(F.struct("tree", "region")).alias("homes"))  # one for each tree
-    rows = rows.join(materialize(homes, "homes"), "rep")
     sets = shingle_table(chosen(docs, rows.select(F.col("rep").alias("doc_id"))), words)
     sets = sets.select(F.col("doc_id").alias("rep"), F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
 
@@ -322,7 +323,8 @@ def compare_apart(rows: DataFrame, docs: DataFrame, words: int, similarity: floa
             i, j, agree = passing(t, similarity, apart=True)
             if not len(i):
                 continue
-            i, j, agree = (x[first_met(t, i, j)] for x in (i, j, agree))
+            met = first_met(t, i, j)
+            i, j, agree = i[met], j[met], agree[met]
             rep, comp, n = (np.asarray(t.column(c)) for c in ("rep", "comp", "n"))
             own = [np.unique(np.asarray(x.values)) for c in t.column("low").chunks for x in c]
             parent: dict[int, int] = {}
@@ -390,8 +392,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = confirm(tried, docs, words, percent)
     own = rows.drop("best", "score", "hub")
 
-    def labelled(links: DataFrame) -> DataFrame:
+    def labelled(links: DataFrame, homes: DataFrame | None = None) -> DataFrame:
         found = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "comp")
+        if homes is not None:
+            found = homes.join(found, "rep", "left")
         return own.join(found, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
     for number in range(1, ROUNDS + 1):
@@ -403,7 +407,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             break
         links = links.union(confirm(again, docs, words, percent))
         tried = tried.union(again)
-    rest = materialize(needy(with_guests(labelled(links)), similarity), "apart")
+    homes = materialize(own.groupBy("rep").agg(F.collect_set(F.struct("tree", "region")).alias("homes")), "homes")  # one for each tree
+    rest = materialize(needy(with_guests(labelled(links, homes)), similarity), "apart")
     if not rest.isEmpty():
         close = materialize(compare_apart(rest, docs, words, similarity, percent), "close")
         links = links.union(confirm(close.join(tried.select("rep", "other"), ["rep", "other"], "left_anti"), docs, words, percent))
