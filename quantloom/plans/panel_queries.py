@@ -26,6 +26,16 @@ def bars_sql(interval: str) -> str:
       span AS (SELECT min(t) - min(t) % 86400000 AS s, max(t) - max(t) % 86400000 + 86400000 AS e FROM bars)"""
 
 
+def sound_bars_sql(interval: str) -> str:
+    """bars_sql() without the bars that cleaning rejects; of bars of events only a price can be wrong."""
+    raw, span = bars_sql(interval).split("span AS", 1)
+    return raw.replace("bars AS", "every AS", 1) + "bars AS (SELECT * FROM every WHERE low > 0 AND isfinite(low) AND isfinite(high)), span AS" + span
+
+
+def sound_bars(spark: SparkSession, sf_dir: str, interval: str) -> DataFrame:
+    return event_bars(spark, sf_dir, interval).where(~prepare.invalid_bar())
+
+
 for _interval, _name in (("4h", "bars_4h"), ("1h", "bars_1h"), ("1d", "bars_1d")):
 
     def _bars(spark: SparkSession, sf_dir: str, interval: str = _interval) -> DataFrame:
@@ -103,34 +113,35 @@ def off_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(quality.off_grid(*day_span(rows), "4h")).select("symbol", t_ms())
 
 
-GRID_SQL = f"""{bars_sql('1h')}, grid AS (SELECT symbol, unnest(range((SELECT s FROM span), (SELECT e FROM span), 3600000)) AS t FROM (SELECT DISTINCT symbol FROM bars))"""
+GRID = """grid AS (SELECT symbol, unnest(range((SELECT s FROM span), (SELECT e FROM span), 3600000)) AS t FROM (SELECT DISTINCT symbol FROM bars))"""
+GRID_SQL, SOUND_GRID_SQL = f"{bars_sql('1h')}, {GRID}", f"{sound_bars_sql('1h')}, {GRID}"
 
 
-@query(f"""WITH {GRID_SQL} SELECT grid.symbol, grid.t AS t_ms, open, high, low, close, volume FROM grid LEFT JOIN bars ON bars.symbol = grid.symbol AND bars.t = grid.t""")
+@query(f"""WITH {SOUND_GRID_SQL} SELECT grid.symbol, grid.t AS t_ms, open, high, low, close, volume FROM grid LEFT JOIN bars ON bars.symbol = grid.symbol AND bars.t = grid.t""")
 def align_leave_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_bars(spark, sf_dir, "1h")
+    rows = sound_bars(spark, sf_dir, "1h")
     return prepare.align_ohlcv(rows, *day_span(rows), "1h").select("symbol", t_ms(), *OHLCV)
 
 
-PARTIAL_SQL = f"""{bars_sql('1h')}, g4 AS (SELECT symbol, unnest(range((SELECT s FROM span), (SELECT e - 3600000 FROM span), 14400000)) AS t FROM (SELECT DISTINCT symbol FROM bars WHERE (t - (SELECT s FROM span)) % 14400000 = 0 AND t < (SELECT e - 3600000 FROM span)))"""
+PARTIAL_SQL = f"""{sound_bars_sql('1h')}, g4 AS (SELECT symbol, unnest(range((SELECT s FROM span), (SELECT e - 3600000 FROM span), 14400000)) AS t FROM (SELECT DISTINCT symbol FROM bars WHERE (t - (SELECT s FROM span)) % 14400000 = 0 AND t < (SELECT e - 3600000 FROM span)))"""
 
 
 @query(f"""WITH {PARTIAL_SQL} SELECT g4.symbol, g4.t AS t_ms, close FROM g4 LEFT JOIN bars ON bars.symbol = g4.symbol AND bars.t = g4.t""")
 def align_partial_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars on four-hour opens over a window that ends inside an interval: the interval begun belongs to it."""
-    rows = event_bars(spark, sf_dir, "1h")
+    rows = sound_bars(spark, sf_dir, "1h")
     start, end = day_span(rows)
     ms = F.unix_millis("timestamp")
     rows = rows.where((F.pmod(ms - start, F.lit(14_400_000)) == 0) & (ms < end - 3_600_000))
     return prepare.align_ohlcv(rows, start, end - 3_600_000, "4h").select("symbol", t_ms(), "close")
 
 
-@query(f"""WITH {GRID_SQL}, j AS (SELECT grid.symbol, grid.t, open, high, low, close, volume FROM grid LEFT JOIN bars ON bars.symbol = grid.symbol AND bars.t = grid.t),
+@query(f"""WITH {SOUND_GRID_SQL}, j AS (SELECT grid.symbol, grid.t, open, high, low, close, volume FROM grid LEFT JOIN bars ON bars.symbol = grid.symbol AND bars.t = grid.t),
 p AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM j)
 SELECT symbol, t AS t_ms, coalesce(open, held) AS open, coalesce(high, held) AS high, coalesce(low, held) AS low, coalesce(close, held) AS close,
   CASE WHEN close IS NULL AND held IS NOT NULL THEN 0 ELSE volume END AS volume, CAST(close IS NULL AND held IS NOT NULL AS INTEGER) AS imputed FROM p""")
 def align_forward_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_bars(spark, sf_dir, "1h")
+    rows = sound_bars(spark, sf_dir, "1h")
     return prepare.align_ohlcv(rows, *day_span(rows), "1h", "forward_close").select("symbol", t_ms(), *OHLCV, F.col("is_imputed").cast("int").alias("imputed"))
 
 

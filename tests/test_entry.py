@@ -48,3 +48,20 @@ def test_imports_without_training_data(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q; e.oracle_sql(); print('fine')"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip().endswith("fine"), out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("name", ("align_leave_null", "align_partial_window", "align_forward_close"))
+def test_alignment_of_bars_with_a_price_of_nought(spark, tmp_path, name):
+    """Cleaning rejects such bars; the queries hand alignment what is left, as their SQL does."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql("CREATE VIEW events AS SELECT * FROM read_parquet('/root/testdata/sf0.001/events.parquet')")
+    con.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 10 = 0 THEN 0 ELSE value END AS value) FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    got = engine.queries()[name](spark, str(tmp_path)).toPandas()
+    want = con.sql(engine.oracle_sql()[name]).df()
+    columns = sorted(want.columns)
+    got, want = (x[columns].sort_values(["symbol", "t_ms"]).reset_index(drop=True) for x in (got, want))
+    assert len(got) == len(want) and got.close.isna().any()
+    for c in columns:
+        assert (got[c].isna() == want[c].isna()).all() and (got[c].fillna("") == want[c].fillna("")).all(), c
