@@ -141,6 +141,25 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, points / 1000000.0::DOUB
 """
 
 
+@query
+def op11_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.bloom_lines import line_dedup_bloom
+
+    out = line_dedup_bloom(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op11_bloom_line_dedup"] = """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+     n AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM l),
+     u AS (SELECT doc_id, i, parts[i] AS line, trim(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM n),
+     f AS (SELECT k, min(doc_id) AS first FROM u WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE doc_id > first) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE first IS NULL OR doc_id = first), '')) AS kept_sha256
+FROM u LEFT JOIN f ON u.k = f.k GROUP BY doc_id
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
