@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -160,6 +161,29 @@ FROM u LEFT JOIN f ON u.k = f.k GROUP BY doc_id
 """
 
 
+def planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Contract: a tenth of the documents repeat a stretch of words to their end. Null ids: none."""
+    h, n = 1 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.runs import periodic_runs, runs_digest
+
+    out = periodic_runs(table(spark, sf_dir, "documents"), planted_run)
+    top = ("start", "length", "period")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"top.{x}").alias(x) for x in top),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"), runs_digest().alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
