@@ -161,6 +161,24 @@ FROM u LEFT JOIN f ON u.k = f.k GROUP BY doc_id
 """
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Contract: the conversations with a tenth or so of their rows damaged, and copies, how often a row stands."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(" "))
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    way = F.crc32(name.cast("binary")) % 20
+    changed = F.when(way == 1, "").when(way == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(way == 4, "user").otherwise(F.coalesce(F.col("role").cast("string"), F.lit(" ")))
+    return rows.where(way != 0).select("conv_id", "turn", role.alias("role"), changed.alias("text"), F.when(way == 3, 2).otherwise(1).alias("copies"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.repair import repaired
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repaired(damaged(rows), rows).drop("rows")
+
+
 def planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Contract: a tenth of the documents repeat a stretch of words to their end. Null ids: none."""
     h, n = 1 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)
