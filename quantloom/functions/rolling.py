@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.scans import with_recursive_means
 from quantloom.schemas import GROUPS, market_window
 
 
@@ -39,12 +39,10 @@ def correlation(x: str, y: str, w: int) -> Column:
     return F.expr(f"CASE WHEN count({a}) OVER {over(w)} = {w} THEN try_divide(covar_samp({a}, {b}) OVER {over(w)}, CASE WHEN {spread} > 1e-12 THEN {spread} END) END")
 
 
-def with_ewm(frame: DataFrame, column: str, windows: tuple[int, ...]) -> DataFrame:
-    """frame with ewm_<w>: the recursive mean with span w from the market's first bar, null for the first w - 1 bars."""
-    kinds = ", ".join(f"{n} {t}" for n, t in frame.dtypes) + "".join(f", ewm_{w} double" for w in windows)
+#: A market's recursive means run in spans of so many microseconds (ten days), in as many tasks.
+EWM_SPAN = 864_000_000_000
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("timestamp")
-        return rows.assign(**{f"ewm_{w}": rows[column].ewm(span=w, adjust=False, min_periods=w).mean() for w in windows})
 
-    return frame.groupBy(*GROUPS).applyInPandas(run, kinds)
+def with_ewm(frame: DataFrame, column: str, windows: tuple[int, ...], width: int = EWM_SPAN) -> DataFrame:
+    """frame with ewm_<w>: the recursive mean with span w from the market's first bar, null for the first w - 1 bars."""
+    return with_recursive_means(frame, column, windows, GROUPS, "timestamp", width)

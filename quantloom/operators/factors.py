@@ -110,7 +110,7 @@ def factor_name(family: str, window: int | None) -> str:
 def compute_factors(frame: DataFrame, specs: Sequence[tuple[str, int | None]], checked: bool = True) -> DataFrame:
     """frame with one column for each (family, window): the value of the last completed bar, null where not finite.
 
-    One shuffle by market serves all windows; only ema_gap adds a grouped function. checked: clean bars on a complete grid
+    One shuffle by market serves all windows; ema_gap adds one by market and span of time, and carries means between spans. checked: clean bars on a complete grid
     are required.
     """
     names = [factor_name(*s) for s in specs]
