@@ -53,11 +53,13 @@ def running_sums(frame: DataFrame, keys: Sequence[str], segments: dict[str, Colu
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, width: int, ties: Sequence[str] = (), name: str = "found") -> DataFrame:
-    """left with name, a struct of the last row of right of the same keys at or before left_time, null if there is none.
+    """left with name, a struct of the last row of right of the same keys at or before left_time, null if there is none, and
+    name_first.
 
     Of rows of right at one time the one of the largest ties is last. Each row of left gives one row. Null keys and null times
-    meet nothing. Both sides go through one union and one shuffle by keys and span of width microseconds, never through a join
-    of rows; the last row of earlier spans is carried in.
+    meet nothing. name_first is the first row of right of the same keys at any time: where name is null, all are later.
+    Both sides go through one union and one shuffle by keys and span of width microseconds, never through a join of rows; the
+    last row of earlier spans is carried in.
     """
     known = F.lit(True)
     for k in keys:
@@ -68,16 +70,18 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     later = later.withColumn("_span", span_of("_at", width))
     first = left.select(*keys, F.unix_micros(F.when(known, F.col(left_time))).alias("_at"), F.lit(1).alias("_own"), F.struct(*own).alias("_left")).withColumn("_span", span_of("_at", width))
     place = [*keys, "_span"]
-    lasts = later.groupBy(*place).agg(F.max_by("_right", "_tie").alias("_last")).unionByName(first.select(*place).distinct(), allowMissingColumns=True)
-    lasts = lasts.groupBy(*place).agg(F.first("_last", ignorenulls=True).alias("_last"))
-    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(*place, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    ends = later.groupBy(*place).agg(F.max_by("_right", "_tie").alias("_last"), F.min_by("_right", "_tie").alias("_head"))
+    ends = ends.unionByName(first.select(*place).distinct(), allowMissingColumns=True).groupBy(*place).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("_last", "_head")))
+    by_span = Window.partitionBy(*keys).orderBy("_span")
+    earlier, every = by_span.rowsBetween(Window.unboundedPreceding, -1), by_span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = ends.select(*place, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"), F.first("_head", ignorenulls=True).over(every).alias("_head"))
     both = first.unionByName(later, allowMissingColumns=True)
     inside = Window.partitionBy(*place).orderBy("_at", "_own", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_seen", F.last("_right", ignorenulls=True).over(inside)).where("_own = 1").select(*place, "_at", "_left", "_seen")
     out = with_carried(seen, carried, place)
-    match = F.when(F.col("_at").isNotNull(), F.coalesce("_seen", "_carried"))
-    return out.select(*(F.col(c) if c in keys else F.col(f"_left.{c}").alias(c) for c in left.columns), match.alias(name))
+    timed = F.col("_at").isNotNull()
+    found = (F.when(timed, F.coalesce("_seen", "_carried")).alias(name), F.when(timed, F.col("_head")).alias(f"{name}_first"))
+    return out.select(*(F.col(c) if c in keys else F.col(f"_left.{c}").alias(c) for c in left.columns), *found)
 
 
 #: What is older than this share of a recursive mean is left out: far under what a double tells apart.

@@ -5,13 +5,20 @@ Gates fail closed: a rule of unknown value denies the order, so do missing limit
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.scans import asof_join
+
 # The reasons of a denial.
 INCOMPLETE = "risk limits are incomplete"
 NO_FRESHNESS = "risk configuration incomplete: snapshot freshness limit is missing"
 DISABLED = "execution mode is not paper"
+NO_SNAPSHOT = "no portfolio snapshot"
+#: Orders and snapshots of an account are dealt out by spans of so many microseconds (a week).
+GATE_SPAN = 604_800_000_000
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -46,6 +53,26 @@ def gate_reason(mode: str, max_notional: float | None, max_daily_loss: float | N
     return F.coalesce(first_reason(rules), limit_reason(max_notional, max_daily_loss, max_drawdown, max_leverage, max_snapshot_age_ms))
 
 
+def with_portfolio(orders: DataFrame, snapshots: DataFrame, account: str, submitted: str, as_of: str, width: int = GATE_SPAN, ties: Sequence[str] = ()) -> DataFrame:
+    """orders with the columns of the account's last snapshot at or before submission, and snapshot_age_ms.
+
+    An order older than all snapshots of its account gets the first one, of negative age. Accounts without a snapshot and orders
+    without a time have nulls. Of snapshots of one time that of the largest ties counts.
+    """
+    own = [c for c in snapshots.columns if c != account]
+    found = asof_join(orders, snapshots, [account], submitted, as_of, width, ties, "_portfolio")
+    last = F.coalesce("_portfolio", "_portfolio_first")
+    rows = found.withColumn("_portfolio", last)
+    age = (F.unix_micros(submitted) - F.unix_micros(F.col(f"_portfolio.{as_of}"))) / 1000
+    return rows.select(*orders.columns, *(F.col(f"_portfolio.{c}").alias(c) for c in own), age.alias("snapshot_age_ms"))
+
+
+def authorized(orders: DataFrame, mode: str, limits: tuple[float | None, ...], as_of: str) -> DataFrame:
+    """orders (with_portfolio) with reason: why the gate denies an order, null where it passes."""
+    gate = gate_reason(mode, *limits)
+    return orders.withColumn("reason", gate if mode != "paper" else F.when(F.col(as_of).isNull(), F.lit(NO_SNAPSHOT)).otherwise(gate))
+
+
 def quote_reason(max_age_ms: float, max_spread_bps: float, max_deviation_bps: float, max_position_fraction: float) -> Column:
     """Reason for rows (order_symbol, symbol, age_ms, bid, ask, reference_price, exposure, price, notional, equity): the market
     observation and the order's symbol position. Spread and deviation are relative to the reference price."""

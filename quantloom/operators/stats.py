@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.scans import running_sums
 from quantloom.schemas import GROUPS, finite, market_window
+from quantloom.sources.store import written
 
 
 def average_rank(x: str, keys: list[str]) -> Column:
@@ -46,7 +50,10 @@ def summarize_ic(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def adjust_pvalues(rows: DataFrame, method: str, keys: list[str]) -> DataFrame:
-    """rows (p) with adjusted, inside each family that the keys name; families are lists of trials."""
+    """rows (p) with adjusted, inside each family that the keys name; families are lists of trials. A p outside 0 to 1 or one
+    that is unknown raises in the plan."""
+    p = F.col("p")
+    rows = rows.withColumn("p", F.when((p >= 0) & (p <= 1), p).otherwise(F.raise_error(F.lit("p must be from 0 to 1"))))
     family = Window.partitionBy(*keys)
     size = F.count("*").over(family)
     if method == "bonferroni":
@@ -58,17 +65,20 @@ def adjust_pvalues(rows: DataFrame, method: str, keys: list[str]) -> DataFrame:
     return ranked.withColumn("adjusted", F.least(F.lit(1.0), F.min(F.col("p") * F.col("_m") / F.col("_rank")).over(tail))).drop("_rank", "_m")
 
 
-def block_means(series: DataFrame, keys: list[str], value: str, order: str, block: int, resamples: int, seed: int, centred: bool) -> DataFrame:
+def block_means(series: DataFrame, keys: list[str], value: str, order: str, block: int, resamples: int, seed: int, centred: bool, segments: Sequence[str] = ()) -> DataFrame:
     """keys, r, mean, observed, n: means of circular block resamples of each key's series.
 
-    Block starts come from md5('seed|r|k'), so that any engine draws the same. A series is as long as a slice of bars; the
-    resamples are spread over the cluster, and block sums are differences of prefix sums.
+    Block starts come from md5('seed|r|k'), so that any engine draws the same. The resamples are spread over the cluster, and
+    block sums are differences of prefix sums. A series that no task can hold is cut into segments: columns by which it is
+    sorted before order.
     """
-    w = Window.partitionBy(*keys)
-    rows = series.where(finite(F.col(value))).select(*keys, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(order)) - 1).alias("_i"), F.count("*").over(w).alias("n"), F.avg(value).over(w).alias("observed"))
-    rows = rows.withColumn("_v", F.col("_v") - F.col("observed") if centred else F.col("_v"))
-    rows = rows.withColumn("_before", F.sum("_v").over(w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")).withColumn("_all", F.sum("_v").over(w))
-    shape = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.first("observed").alias("observed"), F.first("_all").alias("_all"))
+    good = series.where(finite(F.col(value))).select(*keys, *(F.col(c).alias(f"_by_{k}") for k, c in enumerate(segments)), F.col(order).alias("_order"), F.col(value).alias("_v"))
+    good = written(good, "series")
+    whole = good.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("observed"))  # a row for each series
+    rows = good.join(whole, keys).withColumn("_v", F.col("_v") - F.col("observed") if centred else F.col("_v"))
+    rows = running_sums(rows, keys, {str(k): F.col(f"_by_{k}") for k in range(len(segments))}, ["_order"], {"_i": F.lit(1), "_upto": F.col("_v")})
+    rows = rows.withColumn("_i", F.col("_i") - 1).withColumn("_before", F.col("_upto") - F.col("_v")).withColumn("_all", F.when(F.col("_i") == F.col("n") - 1, F.col("_upto")))
+    shape = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.first("observed").alias("observed"), F.max("_all").alias("_all"))
     shape = shape.where(F.col("n") >= block)
     draws = shape.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n + {block} - 1) div {block} as int) - 1"))))
     word = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r"), F.col("_draw")).cast("binary")), 1, 8)
@@ -83,11 +93,11 @@ def block_means(series: DataFrame, keys: list[str], value: str, order: str, bloc
     return two.groupBy(*keys, "r").agg((total / F.first("n")).alias("mean"), F.first("observed").alias("observed"), F.first("n").alias("n"))
 
 
-def block_bootstrap(series: DataFrame, keys: list[str], value: str, order: str, block: int, resamples: int, seed: int, least: int = 5, two_sided: bool = True) -> DataFrame:
+def block_bootstrap(series: DataFrame, keys: list[str], value: str, order: str, block: int, resamples: int, seed: int, least: int = 5, two_sided: bool = True, segments: Sequence[str] = ()) -> DataFrame:
     """keys, p: (exceed + 1) / (resamples + 1) of centred circular block resamples; 1 for short series."""
     if resamples < 99:
         raise ValueError("at least 99 resamples")
-    means = block_means(series, keys, value, order, block, resamples, seed, centred=True)
+    means = block_means(series, keys, value, order, block, resamples, seed, centred=True, segments=segments)
     beyond = F.abs("mean") >= F.abs("observed") - 1e-15 if two_sided else F.col("mean") >= F.col("observed") - 1e-15
     p = means.groupBy(*keys).agg(F.when(F.first("n") >= max(least, 2 * block), (F.count_if(beyond) + 1) / F.lit(resamples + 1)).alias("p"))
     every = series.select(*keys).distinct()

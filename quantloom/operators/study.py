@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.operators.simulate import excess_returns, positions
 from quantloom.operators.stats import adjust_pvalues, block_bootstrap, spearman, summarize_ic
 from quantloom.schemas import GROUPS
+from quantloom.sources.store import written
 
 LEAST_FOLD = 30
 
@@ -87,7 +88,7 @@ def factor_study(frame: DataFrame, factors: Sequence[str], train: int, test: int
     rows = numbered(frame, "_n")
     times = frame.select("timestamp").distinct().count()
     sealed = times - holdout_times(times, test, holdout)
-    table = walk_forward(rows.where(F.col("_n") < sealed).drop("_n"), factors, train, test, **kwargs)
+    table = written(walk_forward(rows.where(F.col("_n") < sealed).drop("_n"), factors, train, test, **kwargs), "walk-forward")
     last = table.agg(F.max("fold")).first()[0]
     row = table.where((F.col("fold") == last) & F.col("selected")).select("factor").first()
     if row is None:
@@ -115,19 +116,16 @@ def strategy_trials(features: DataFrame, strategies: dict, folds: Sequence[dict[
     """strategy, mean_excess, bars, orders, p over all test folds and markets; each fold starts flat and ends flat."""
     rows = numbered(features)
     spans = F.broadcast(fold_frame(features, [f for f in folds if f["fold"] >= 0]).select("fold", "test_start", "test_end"))  # a row for each fold
-    parts = []
-    for name, s in strategies.items():
-        parts.append(s.signals(rows).select(*GROUPS, "timestamp", "close", "bar_no", "entry", "exit", F.lit(name).alias("strategy")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
+    known = lambda x: F.coalesce(x, F.lit(False))
+    each = [F.struct(F.lit(name).alias("strategy"), *(known(x).alias(c) for x, c in zip(s.conditions(), ("entry", "exit"), strict=True))) for name, s in strategies.items()]
+    every = rows.select(*GROUPS, "timestamp", "close", "bar_no", F.explode(F.array(*each)).alias("_s")).select(*GROUPS, "timestamp", "close", "bar_no", "_s.*")
     inside = every.join(spans, (F.col("bar_no") >= F.col("test_start")) & (F.col("bar_no") < F.col("test_end")))
     keys = (*GROUPS, "strategy", "fold")
     held = excess_returns(positions(inside, keys), keys)
     moved = (F.col("pos") != F.coalesce(F.lag("pos").over(Window.partitionBy(*keys).orderBy("timestamp")), F.lit(0))).cast("long")
-    held = held.withColumn("_order", moved)
+    held = written(held.select(*keys, "timestamp", "excess", moved.alias("_order")), "strategy-returns")
     total = held.groupBy("strategy").agg(F.avg("excess").alias("mean_excess"), F.count("*").alias("bars"), F.sum("_order").alias("orders"))
-    p = block_bootstrap(held.withColumn("_o", F.struct("symbol", "fold", "timestamp")), ["strategy"], "excess", "_o", block, resamples, seed, least=10)
+    p = block_bootstrap(held, ["strategy"], "excess", "timestamp", block, resamples, seed, least=10, segments=["symbol", "fold"])
     return total.join(p, "strategy")
 
 

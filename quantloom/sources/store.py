@@ -29,6 +29,13 @@ def scratch_root(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """frame as a table in the shared folder, so that what follows reads it instead of computing it again."""
+    path = scratch_root(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def versioned(kind: str) -> StructType:
     return StructType([*SCHEMAS[kind].fields, StructField("_v", StringType())])
 
