@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from decimal import Decimal, InvalidOperation
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.scans import running_sums, span_of
+
 EVENT_SCHEMA = "line long, event string, received_at_utc string, connection_id string, reason string, raw_text string"
 ROWS_SCHEMA = "source string, epoch long, line long, product string, side string, level int, price decimal(38,18), size decimal(38,18), updates long"
+TOPS_SCHEMA = "source string, epoch long, product string, side string, level int, price decimal(38,18), size decimal(38,18)"
+COUNTS_SCHEMA = "source string, epoch long, messages long, snapshots long, updates long, heartbeats long, errors long"
 STATE_SCHEMA = "source string, epoch long, product string, ready boolean, updates long, errors long, last_error string, digest string"
 
 
@@ -62,62 +69,90 @@ def canonical(value: Decimal) -> str:
     return text if text != "-0" else "0"
 
 
+class Side:
+    """One side of a book: its sizes by price, its prices in order, and the prices that messages touched."""
+
+    def __init__(self, levels: dict[Decimal, Decimal] | None = None) -> None:
+        self.sizes = dict(levels or {})
+        self.prices = sorted(self.sizes)
+        self.touched: set[Decimal] = set()
+
+    def put(self, price: Decimal, size: Decimal | None) -> Decimal | None:
+        """Set a size, or remove it by None; returns what stood there."""
+        old = self.sizes.get(price)
+        self.touched.add(price)
+        if size is None:
+            if old is not None:
+                del self.sizes[price], self.prices[bisect_left(self.prices, price)]
+        else:
+            if old is None:
+                insort(self.prices, price)
+            self.sizes[price] = size
+        return old
+
+
 class Book:
-    """Both sides of one product; every message applies whole or not at all."""
+    """Both sides of one product; every message applies whole or not at all. What a message changes is noted in undo, so that
+    it costs its own levels and not the book's."""
 
     def __init__(self) -> None:
-        self.sides: dict[str, dict[Decimal, Decimal]] = {"bid": {}, "ask": {}}
+        self.sides = {"bid": Side(), "ask": Side()}
         self.ready, self.updates, self.time, self.beat = False, 0, None, None
 
-    def copy(self) -> Book:
-        """The book as it is: messages replace the sides and never change them."""
-        other = Book()
-        other.__dict__.update(self.__dict__)
-        return other
-
-    def snapshot(self, levels: list[tuple[str, object, object]], time: datetime | None = None) -> None:
-        sides: dict[str, dict[Decimal, Decimal]] = {"bid": {}, "ask": {}}
+    def snapshot(self, levels: list[tuple[str, object, object]], time: datetime | None = None, undo: list | None = None) -> None:
+        given: dict[str, dict[Decimal, Decimal]] = {"bid": {}, "ask": {}}
         for side, price, size in levels:
             at = decimal(price)
-            if at in sides[side]:
+            if at in given[side]:
                 raise BookError("a price comes twice")
-            sides[side][at] = decimal(size)
+            given[side][at] = decimal(size)
+        sides = {k: Side(v) for k, v in given.items()}
         self.checked(sides)
+        if undo is not None:
+            undo.append(partial(self.__dict__.update, self.__dict__.copy()))
         self.sides, self.ready, self.updates, self.time = sides, True, 0, time
 
-    def update(self, levels: list[tuple[str, object, object]], time: datetime) -> None:
+    def update(self, levels: list[tuple[str, object, object]], time: datetime, undo: list | None = None) -> None:
         if not self.ready:
             raise BookError("update before snapshot")
         if self.time is not None and time < self.time:
             raise BookError("time goes back")
-        sides = {k: dict(v) for k, v in self.sides.items()}
-        for side, price, size in levels:
-            at, much = decimal(price), decimal(size, zero=True)
-            if much:
-                sides[side][at] = much
-            else:
-                sides[side].pop(at, None)
-        self.checked(sides)
-        self.sides, self.time, self.updates = sides, time, self.updates + 1
+        changes = [(self.sides[side], decimal(price), decimal(size, zero=True)) for side, price, size in levels]
+        done: list = [(side, price, side.put(price, size or None)) for side, price, size in changes]
+
+        def back(before: tuple = (self.time, self.updates)) -> None:
+            for side, price, old in reversed(done):
+                side.put(price, old)
+            self.time, self.updates = before
+
+        try:
+            self.checked(self.sides)
+        except BookError:
+            back()
+            raise
+        if undo is not None:
+            undo.append(back)
+        self.time, self.updates = time, self.updates + 1
 
     @staticmethod
-    def checked(sides: dict[str, dict[Decimal, Decimal]]) -> None:
-        if not sides["bid"] or not sides["ask"]:
+    def checked(sides: dict[str, Side]) -> None:
+        if not sides["bid"].prices or not sides["ask"].prices:
             raise BookError("one side is empty")
-        if max(sides["bid"]) >= min(sides["ask"]):
+        if sides["bid"].prices[-1] >= sides["ask"].prices[0]:
             raise BookError("the book is crossed")
 
     def top(self, depth: int) -> list[tuple[str, int, Decimal, Decimal]]:
         """(side, level from 1, price, size): bids from the highest, asks from the lowest."""
         out = []
         for side, down in (("bid", True), ("ask", False)):
-            prices = sorted(self.sides[side], reverse=down)[:depth]
-            out += [(side, k, p, self.sides[side][p]) for k, p in enumerate(prices, 1)]
+            held = self.sides[side]
+            prices = held.prices[::-1][:depth] if down else held.prices[:depth]
+            out += [(side, k, p, held.sizes[p]) for k, p in enumerate(prices, 1)]
         return out
 
     def digest(self) -> str:
         """SHA-256 of all levels in price order, as canonical text."""
-        levels = [[s, canonical(p), canonical(q)] for s in ("bid", "ask") for p, q in sorted(self.sides[s].items())]
+        levels = [[s, canonical(p), canonical(q)] for s in ("bid", "ask") for p, q in sorted(self.sides[s].sizes.items())]
         return hashlib.sha256(json.dumps(levels).encode()).hexdigest()
 
 
@@ -166,20 +201,27 @@ class Session:
                     raise BookError("heartbeat gap")
                 self.beat = beat
             return [("", "heartbeat")] * len(events)
-        time, staged, done = event_time(message.get("timestamp")), {}, []
-        for event in events:
-            product, kind, levels = event.get("product_id"), event.get("type"), event.get("updates")
-            if not self.known(product):
-                continue
-            if kind not in ("snapshot", "update") or not isinstance(levels, list) or not levels:
-                raise BookError("malformed event")
-            if any(not isinstance(x, dict) or x.get("side") not in ("bid", "offer") for x in levels):
-                raise BookError("malformed level")
-            book = staged.setdefault(product, self.books.get(product, Book()).copy())
-            changes = [("bid" if x["side"] == "bid" else "ask", x.get("price_level"), x.get("new_quantity")) for x in levels]
-            (book.snapshot if kind == "snapshot" else book.update)(changes, time)
-            done.append((product, kind))
-        self.books.update(staged)
+        time, undo, done = event_time(message.get("timestamp")), [], []
+        try:
+            for event in events:
+                product, kind, levels = event.get("product_id"), event.get("type"), event.get("updates")
+                if not self.known(product):
+                    continue
+                if kind not in ("snapshot", "update") or not isinstance(levels, list) or not levels:
+                    raise BookError("malformed event")
+                if any(not isinstance(x, dict) or x.get("side") not in ("bid", "offer") for x in levels):
+                    raise BookError("malformed level")
+                if product not in self.books:
+                    self.books[product] = Book()
+                    undo.append(partial(self.books.pop, product))
+                book = self.books[product]
+                changes = [("bid" if x["side"] == "bid" else "ask", x.get("price_level"), x.get("new_quantity")) for x in levels]
+                (book.snapshot if kind == "snapshot" else book.update)(changes, time, undo)
+                done.append((product, kind))
+        except BookError:
+            for back in reversed(undo):
+                back()
+            raise
         return done
 
     def plain(self, message: dict) -> list[tuple[str, str]]:
@@ -207,9 +249,10 @@ class Session:
             return [(product, "heartbeat")]
         return []
 
+
     def written(self) -> str:
-        """The session as JSON of plain values, for a stream's state."""
-        books = {p: {"sides": {s: [[str(x), str(q)] for x, q in v.items()] for s, v in b.sides.items()}, "ready": b.ready, "updates": b.updates, "time": b.time and b.time.isoformat(), "beat": b.beat} for p, b in self.books.items()}
+        """The session as JSON of plain values."""
+        books = {p: {"sides": {s: [[str(x), str(q)] for x, q in v.sizes.items()] for s, v in b.sides.items()}, "ready": b.ready, "updates": b.updates, "time": b.time and b.time.isoformat(), "beat": b.beat} for p, b in self.books.items()}
         return json.dumps({"products": self.products, "sequence": self.sequence, "beat": self.beat, "books": books})
 
     @staticmethod
@@ -219,58 +262,107 @@ class Session:
         out.sequence, out.beat = told["sequence"], told["beat"]
         for product, x in told["books"].items():
             book = out.books[product] = Book()
-            book.sides = {s: {Decimal(p): Decimal(q) for p, q in v} for s, v in x["sides"].items()}
+            book.sides = {s: Side({Decimal(p): Decimal(q) for p, q in v}) for s, v in x["sides"].items()}
             book.ready, book.updates, book.beat = x["ready"], x["updates"], x["beat"]
             book.time = x["time"] and datetime.fromisoformat(x["time"])
         return out
 
 
+#: A source's lines are counted in segments of so many.
+LINES = 1 << 20
+
+
 def with_epoch(log: DataFrame) -> DataFrame:
-    """log (source, line, event) with epoch: how many connections its source has begun up to the line."""
-    order = Window.partitionBy("source").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("epoch", F.sum((F.col("event") == "connection_start").cast("long")).over(order))
+    """log (source, line, event) with epoch: how many connections its source has begun up to the line. A long source is
+    counted in segments of LINES lines, in as many tasks."""
+    started = (F.col("event") == "connection_start").cast("long")
+    return running_sums(log, ["source"], {"lines": span_of("line", LINES)}, ["line"], {"epoch": started})
+
+
+class Pass:
+    """One connection's messages in order, with what is counted of them."""
+
+    def __init__(self, source: str, epoch: int, products: list[str] | None) -> None:
+        self.source, self.epoch, self.session = source, epoch, Session(products)
+        self.errors, self.last_error, self.messages, self.snapshots, self.updates, self.heartbeats = 0, None, 0, 0, 0, 0
+
+    def message(self, line: int, text: str | None) -> list[tuple[str, str]]:
+        self.messages += 1
+        try:
+            done = self.session.apply(text)
+        except BookError as wrong:
+            self.errors, self.last_error = self.errors + 1, f"{line}: {wrong}"
+            return []
+        for _, kind in done:
+            self.snapshots += kind == "snapshot"
+            self.updates += kind == "update"
+            self.heartbeats += kind == "heartbeat"
+        return done
+
+
+def passes(log: DataFrame, products: list[str] | None, schema: str, each: Callable[[Pass, int, list[tuple[str, str]]], list[tuple]], end: Callable[[Pass], list[tuple]]) -> DataFrame:
+    """One ordered pass over every connection of a log (source, line, event, raw_text): rows of schema from each message (each)
+    and from each connection's end. Connections are dealt out by source and epoch and sorted in their partition; a task runs
+    through one after another and holds the books of one."""
+    names = [part.split()[0] for part in schema.replace("decimal(38,18)", "decimal").split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: Pass | None = None
+        for batch in batches:
+            out: list[tuple] = []
+            for source, epoch, line, event, text in zip(*(batch[c] for c in ("source", "epoch", "line", "event", "raw_text")), strict=True):
+                if now is None or (source, epoch) != (now.source, now.epoch):
+                    out += end(now) if now else []
+                    now = Pass(source, epoch, products)
+                if event == "message":
+                    out += each(now, line, now.message(line, text))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if now is not None and (out := end(now)):
+            yield pd.DataFrame(out, columns=names)
+
+    rows = with_epoch(log.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "line", "event", "raw_text"))
+    return rows.repartition("source", "epoch").sortWithinPartitions("source", "epoch", "line").mapInPandas(run, schema)
 
 
 def replay(log: DataFrame, products: list[str] | None = None, depth: int = 5, every: int = 1) -> DataFrame:
-    """Top levels after each snapshot and each every-th update of a log (source, line, event, raw_text), one ordered pass
-    for each source and connection. Bad lines change nothing."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        session, out = Session(products), []
-        for row in rows.sort_values("line").itertuples():
-            if row.event != "message":
-                continue
-            try:
-                done = session.apply(row.raw_text)
-            except BookError:
-                continue
-            for product, kind in done:
-                if kind == "heartbeat":
-                    continue
-                book = session.books[product]
-                if kind == "snapshot" or book.updates % every == 0:
-                    out += [(key[0], key[1], row.line, product, *level, book.updates) for level in book.top(depth)]
-        return pd.DataFrame(out, columns=["source", "epoch", "line", "product", "side", "level", "price", "size", "updates"])
+    """Top levels after each snapshot and each every-th update of a log. Bad lines change nothing; a null source is ''."""
+
+    def each(p: Pass, line: int, done: list[tuple[str, str]]) -> list[tuple]:
+        out = []
+        for product, kind in done:
+            book = p.session.books.get(product)
+            if kind == "snapshot" or (kind == "update" and book.updates % every == 0):
+                out += [(p.source, p.epoch, line, product, *level, book.updates) for level in book.top(depth)]
+        return out
+
+    return passes(log, products, ROWS_SCHEMA, each, lambda p: [])
 
-    return with_epoch(log.withColumn("source", F.col("source").cast("string"))).groupBy("source", "epoch").applyInPandas(run, ROWS_SCHEMA)
+
+def last_tops(log: DataFrame, products: list[str] | None = None, depth: int = 5) -> DataFrame:
+    """source, epoch, product, side, level, price, size: top levels at the end of each connection."""
+    end = lambda p: [(p.source, p.epoch, x, *level) for x, b in sorted(p.session.books.items()) if b.ready for level in b.top(depth)]
+    return passes(log, products, TOPS_SCHEMA, lambda *_: [], end)
 
 
 def final_states(log: DataFrame, products: list[str] | None = None) -> DataFrame:
     """source, epoch, product, ready, updates, errors (of the connection), last_error, digest at the end of each connection of
     each source. Messages that break a rule count as errors and change nothing."""
+    end = lambda p: [(p.source, p.epoch, x, b.ready, b.updates, p.errors, p.last_error, b.digest() if b.ready else None) for x, b in sorted(p.session.books.items())]
+    return passes(log, products, STATE_SCHEMA, lambda *_: [], end)
+
+
+def session_counts(log: DataFrame, products: list[str] | None = None) -> DataFrame:
+    """source, epoch, messages, snapshots, updates, heartbeats, errors of each connection."""
+    end = lambda p: [(p.source, p.epoch, p.messages, p.snapshots, p.updates, p.heartbeats, p.errors)]
+    return passes(log, products, COUNTS_SCHEMA, lambda *_: [], end)
+
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        session, errors, last = Session(products), 0, None
-        for row in rows.sort_values("line").itertuples():
-            if row.event == "message":
-                try:
-                    session.apply(row.raw_text)
-                except BookError as wrong:
-                    errors, last = errors + 1, f"{row.line}: {wrong}"
-        out = [(key[0], key[1], p, b.ready, b.updates, errors, last, b.digest() if b.ready else None) for p, b in sorted(session.books.items())]
-        return pd.DataFrame(out, columns=["source", "epoch", "product", "ready", "updates", "errors", "last_error", "digest"])
-
-    return with_epoch(log.withColumn("source", F.col("source").cast("string"))).groupBy("source", "epoch").applyInPandas(run, STATE_SCHEMA)
+def session_verdict(counts: DataFrame) -> DataFrame:
+    """source, connections, messages, errors, ok: a source is good if messages came, none broke a rule and it never began a
+    connection anew."""
+    out = counts.where("epoch > 0").groupBy("source").agg(F.count("*").alias("connections"), F.sum("messages").alias("messages"), F.sum("errors").alias("errors"))
+    return out.withColumn("ok", (F.col("messages") > 0) & (F.col("errors") == 0) & (F.col("connections") == 1))
 
 
 def sequence_gaps(rows: DataFrame, keys: list[str], order: str, number: str) -> DataFrame:

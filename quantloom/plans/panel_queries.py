@@ -563,6 +563,5 @@ def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 lk AS (SELECT *, row_number() OVER (PARTITION BY source, epoch ORDER BY price DESC) AS level FROM lv) SELECT CAST(source AS VARCHAR) AS source, CAST(epoch AS BIGINT) AS epoch, CAST(level AS INTEGER) AS level, CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size FROM lk WHERE level <= 3""")
 def feed_top_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best bids after the last message that each connection accepted."""
-    rows = book.replay(feed_log(spark, sf_dir), depth=3).where("side = 'bid' and epoch > 0")
-    last = rows.groupBy("source", "epoch").agg(F.max("line").alias("line"))
-    return rows.join(last, ["source", "epoch", "line"]).select("source", "epoch", "level", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
+    rows = book.last_tops(feed_log(spark, sf_dir).where("source is not null"), depth=3).where("side = 'bid' and epoch > 0")
+    return rows.select("source", "epoch", "level", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
