@@ -156,7 +156,8 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it."""
     plan = mixture(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").distinct()
     plan = materialize(plan.where("copies > 0"), "copies")
-    sized = docs.withColumn("_n", word_count())
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
+    own = F.struct(*docs.columns).alias("_row")  # no column of docs can clash with the plan's
+    sized = docs.select(own, F.col("doc_id").cast("long").alias("_d"), F.col("source").cast("string").alias("_s"), word_count().alias("_n"))
+    on = F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
     both = sized.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return both.select(*docs.columns)
+    return both.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

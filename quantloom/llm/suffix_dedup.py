@@ -237,11 +237,13 @@ def suffix_dedup(docs: DataFrame, least: int = MIN, gram: int = GRAM, with_text:
     overlapping starts count. Null texts are empty; texts under least bytes lose nothing; rows of equal texts of at least
     that many bytes lose all. Extra columns are ignored.
     """
-    return removal_report(with_spans(docs, least, gram), with_text)
+    return removal_report(with_spans(docs.select("doc_id", "text"), least, gram), with_text)
 
 
 def suffix_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: passages of STAGE_MIN bytes or of STAGE_WORDS words or more that occur twice are cut from every text; no
     row goes."""
-    out = cut_texts(with_spans(docs, STAGE_MIN, STAGE_GRAM, STAGE_WORDS), docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # no column of docs can clash with those added here
+    out = cut_texts(with_spans(packed, STAGE_MIN, STAGE_GRAM, STAGE_WORDS), ["_row", "text"])
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(now.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
