@@ -19,6 +19,18 @@ def parquet_inventory(spark, path: str) -> DataFrame:
     return inventory(spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path")), "file")
 
 
+def footer_inventory(spark, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """rows, and least_ and most_ of columns (numbers, dates or booleans) of the Parquet files under a path, from the statistics
+    in their footers: no data is read.
+
+    It runs in a session of its own, since the push-down of aggregates needs the newer Parquet reader.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "least"), (F.max, "most"))))
+
+
 def sampled_series(frame: DataFrame, max_points: int = 480) -> DataFrame:
     """Every k-th bar of each market, k = ceil(bars / max_points)."""
     w = Window.partitionBy(*GROUPS)

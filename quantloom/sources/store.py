@@ -6,14 +6,16 @@ import hashlib
 import json
 import tempfile
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quantloom.operators.prepare import keyed_merge, same_rows
-from quantloom.schemas import SCHEMAS, empty_frame, require_columns
+from quantloom.functions.digest import content_digest
+from quantloom.operators.prepare import keep_last_observed, keyed_merge
+from quantloom.schemas import KEYS, SCHEMAS, empty_frame, require_columns
 
 PARTS = {"ohlcv": ["exchange", "symbol", "timeframe"], "orderbook": ["exchange", "symbol"], "funding": ["exchange", "symbol"]}
 
@@ -119,19 +121,100 @@ class PanelStore:
 
 
 def write_once(frame: DataFrame, path: str, request: dict) -> None:
-    """Write a dataset and its manifest; if it is there already, it must have the same rows."""
-    spark = frame.sparkSession
+    """Write a dataset, a table of its files' SHA-256 (path.files) and its manifest; if it is there already, it must have the
+    same rows. Rows are compared by their content digest: one pass over the new rows, none over the old."""
+    spark, digest = frame.sparkSession, content_digest(frame)
     try:
         frame.write.mode("errorifexists").parquet(path)
     except AnalysisException:
-        if not same_rows(spark.read.parquet(path), frame):
+        told = _text(spark, f"{path}.manifest.json")
+        had = json.loads(told)["content_sha256"] if told else content_digest(spark.read.parquet(path))
+        if had != digest:
             raise ValueError(f"{path} exists with other rows") from None
         return
-    rows = spark.read.parquet(path).count()
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    file_digests(spark, f"{path}/*.parquet").select(name.alias("file"), "length", "sha256").write.mode("overwrite").parquet(f"{path}.files")
+    files = spark.read.parquet(f"{path}.files")
     text = json.dumps(request, sort_keys=True)
-    _text(spark, f"{path}.manifest.json", json.dumps({"rows": rows, "request": request, "request_sha256": hashlib.sha256(text.encode()).hexdigest()}, sort_keys=True))
+    manifest = {
+        "captured_at_utc": datetime.now(UTC).isoformat(), "content_sha256": digest, "files": files.count(), "files_sha256": content_digest(files), "rows": spark.read.parquet(path).count(),
+        "request": request, "request_sha256": hashlib.sha256(text.encode()).hexdigest(),
+    }
+    _text(spark, f"{path}.manifest.json", json.dumps(manifest, sort_keys=True))
+
+
+def damaged_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, problem of the files of a dataset of write_once that changed, went or came since."""
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    now = file_digests(spark, f"{path}/*.parquet").select(name.alias("file"), F.col("sha256").alias("now"))
+    both = spark.read.parquet(f"{path}.files").join(now, "file", "full")
+    problem = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "unknown").when(F.col("now") != F.col("sha256"), "changed")
+    return both.select("file", problem.alias("problem")).where("problem is not null")
+
+
+def write_artifact(frame: DataFrame, root: str, name: str, request: dict) -> str:
+    """Write a dataset under a name that its request and its content give, unless it is there; returns its path. The same
+    request with other content raises."""
+    spark, asked = frame.sparkSession, hashlib.sha256(json.dumps(request, sort_keys=True).encode()).hexdigest()[:12]
+    path = f"{root.rstrip('/')}/{name}-{asked}"
+    write_once(frame, path, request)
+    digest = json.loads(_text(spark, f"{path}.manifest.json"))["content_sha256"]
+    _text(spark, f"{path}.name", f"{name}-{asked}-{digest[:12]}")
+    return path
+
+
+def write_report(frame: DataFrame, path: str) -> None:
+    """A small report, such as a quality verdict, as one JSON document for each row."""
+    frame.coalesce(1).write.mode("errorifexists").json(path)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length, sha256 of the files under a path, hashed by the tasks that read them."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+class BucketedPanel:
+    """A panel in buckets of its keys: a merge deals out only the batch, old rows stay where they are.
+
+    The table lies in a folder of the shared store, a version for each merge; a version counts once its table exists, and the
+    one before goes then. Keys are not null.
+    """
+
+    def __init__(self, spark: SparkSession, kind: str, root: str, buckets: int = 64):
+        self.spark, self.kind, self.root, self.buckets = spark, kind, root.rstrip("/"), buckets
+        self.keys, self.name, self.version = list(KEYS[kind]), f"panel_{uuid.uuid4().hex[:12]}", 0
+
+    def table(self) -> DataFrame | None:
+        return self.spark.table(f"{self.name}_{self.version}") if self.version else None
+
+    def merged(self, batch: DataFrame) -> DataFrame:
+        """The old rows and the batch's, the last observed of each key; equal times: the batch's."""
+        columns = SCHEMAS[self.kind].fieldNames()
+        new, old = keep_last_observed(batch.select(*columns), self.kind), self.table()
+        if old is None:
+            return new
+        rest = [c for c in columns if c not in self.keys]
+        left = old.select(*self.keys, F.struct(*rest).alias("_old"))
+        right = new.select(*self.keys, F.struct(*rest).alias("_new"))
+        both = left.join(right.hint("merge"), self.keys, "full")
+        later = F.col("_old").isNull() | (F.col("_new.observed_at") >= F.col("_old.observed_at")) | (F.col("_new").isNotNull() & F.col("_old.observed_at").isNull())
+        row = F.when(later & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.coalesce("_old", "_new"))
+        return both.select(*self.keys, row.alias("_row")).select(*self.keys, "_row.*").select(*columns)
+
+    def write(self, batch: DataFrame) -> None:
+        require_columns(batch, SCHEMAS[self.kind].fieldNames())
+        before = self.version
+        rows = self.merged(batch)
+        if not before:
+            rows = rows.repartition(self.buckets, *self.keys)
+        name = f"{self.name}_{before + 1}"
+        rows.write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", f"{self.root}/{name}").option("compression", "zstd").saveAsTable(name)
+        self.version = before + 1
+        if before:
+            self.drop(before)
+
+    def drop(self, version: int | None = None) -> None:
+        name = f"{self.name}_{version or self.version}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
