@@ -7,7 +7,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.digest import content_parts
@@ -16,6 +16,7 @@ from quantloom.plans.panel_queries import FEED_SQL, feed_log, observations, t_ms
 from quantloom.plans.registry import query
 from quantloom.schemas import SCHEMAS
 from quantloom.sources.archive_source import archive_bars
+from quantloom.sources.feed import read_log
 from quantloom.sources.store import BucketedPanel, scratch_root
 from quantloom.streaming.checkpoints import CheckpointSink
 
@@ -130,3 +131,55 @@ def feed_session_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each source's session is good."""
     counts = book.session_counts(feed_log(spark, sf_dir).where("source is not null"))
     return book.session_verdict(counts).withColumn("ok", F.col("ok").cast("int"))
+
+
+# Accepted updates of the feed logs with the levels that stand after them; no update removes a level.
+BOOK_SQL = f"""{FEED_SQL}, ac AS (SELECT source, epoch, line, k, line % 40 + 101 AS price, line % 5 + 1 AS size, row_number() OVER (PARTITION BY source, epoch ORDER BY line) AS n FROM fe WHERE k > 1 AND NOT broken AND NOT crossed),
+lv AS (SELECT source, epoch, price, arg_max(size, line) AS size FROM ac GROUP BY 1, 2, 3 UNION ALL SELECT source, epoch, 100, 1 FROM fe WHERE k = 1)"""
+
+
+@query(f"""WITH {BOOK_SQL} SELECT CAST(source AS VARCHAR) AS source, CAST(epoch AS BIGINT) AS epoch,
+  sha256('[' || string_agg('["bid", "' || price || '", "' || size || '"]', ', ' ORDER BY price) || ', ["ask", "200", "1"]]') AS digest FROM lv GROUP BY source, epoch""")
+def feed_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each connection's book at its end."""
+    states = book.final_states(feed_log(spark, sf_dir).where("source is not null"))
+    return states.where("epoch > 0 and ready").select("source", "epoch", "digest")
+
+
+@query(f"""WITH {BOOK_SQL}, mx AS (SELECT *, max(price) OVER (PARTITION BY source, epoch ORDER BY line ROWS UNBOUNDED PRECEDING) AS best FROM ac),
+ck AS (SELECT mx.source, mx.epoch, mx.line, mx.n AS updates, mx.best AS price, la.size FROM mx ASOF JOIN ac AS la ON la.source = mx.source AND la.epoch = mx.epoch AND la.price = mx.best AND mx.line >= la.line WHERE mx.n % 3 = 0
+  UNION ALL SELECT source, epoch, line, 0, 100, 1 FROM fe WHERE k = 1)
+SELECT CAST(source AS VARCHAR) AS source, CAST(epoch AS BIGINT) AS epoch, line, CAST(updates AS BIGINT) AS updates, CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size FROM ck""")
+def feed_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best bid after each snapshot and each third update."""
+    rows = book.replay(feed_log(spark, sf_dir).where("source is not null"), depth=1, every=3).where("side = 'bid' and epoch > 0")
+    return rows.select("source", "epoch", "line", "updates", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
+
+
+HEARTBEAT_SQL = f"""{FEED_SQL}, hb AS (SELECT *, min(CASE WHEN k > 1 AND line % 19 = 0 THEN k END) OVER (PARTITION BY source, epoch) AS torn FROM fe)"""
+
+
+@query(f"""WITH {HEARTBEAT_SQL} SELECT CAST(source AS VARCHAR) AS source, CAST(epoch AS BIGINT) AS epoch, CAST(count(*) FILTER (WHERE torn IS NULL OR k < torn) AS BIGINT) AS heartbeats, CAST(count(*) FILTER (WHERE k >= torn) AS BIGINT) AS errors FROM hb GROUP BY source, epoch""")
+def feed_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heartbeats of every connection, numbered in order; after a number that is wrong none counts."""
+    rows = feed_log(spark, sf_dir).where("source is not null")
+    order = Window.partitionBy("source", "_epoch").orderBy("line")
+    rows = book.with_epoch(rows).withColumnRenamed("epoch", "_epoch")
+    n = F.sum((F.col("event") == "message").cast("long")).over(order) - 1
+    rows = rows.withColumn("_n", n)
+    beat = F.when((F.col("_n") > 0) & (F.col("line") % 19 == 0), F.lit(0)).otherwise(F.col("_n"))
+    text = F.to_json(F.struct(F.lit("heartbeats").alias("channel"), F.col("_n").alias("sequence_num"), F.array(F.struct(beat.alias("heartbeat_counter"))).alias("events")))
+    counts = book.session_counts(rows.select("source", "line", "event", F.when(F.col("event") == "message", text).alias("raw_text")))
+    return counts.where("epoch > 0 and messages > 0").select("source", "epoch", "heartbeats", "errors")
+
+
+@query(f"""WITH {FEED_SQL} SELECT CAST(count(*) AS BIGINT) AS messages, CAST(count(*) FILTER (WHERE k > 1 AND NOT broken AND NOT crossed) AS BIGINT) AS updates, CAST(count(*) FILTER (WHERE broken OR crossed) AS BIGINT) AS errors, CAST((SELECT count(*) FROM l WHERE source IS NOT NULL AND event = 'connection_start') AS BIGINT) AS connections FROM fe""")
+def feed_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed logs written as JSON lines, many sources in a file, read back and replayed."""
+    root = scratch_root(spark, "logs")
+    log = feed_log(spark, sf_dir).where("source is not null")
+    lines = log.select(F.col("source").cast("string").alias("source"), F.to_json(F.struct("line", "event", F.col("source").cast("string").alias("connection_id"), "raw_text")).alias("value"))
+    lines.repartition("source").select("value").write.text(root)
+    read = read_log(spark, root).withColumn("source", F.col("connection_id"))
+    counts = book.session_counts(read)
+    return counts.where("epoch > 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("messages", "updates", "errors")), F.count("*").alias("connections"))
