@@ -70,3 +70,23 @@ def test_suffix_order_folds_ranges(spark, monkeypatch):
             rank = next(x for d, x in path if d >= n)
             classes.setdefault((n, s[:n]), set()).add((n, rank))
     assert all(len(x) == 1 for x in classes.values()) and len({next(iter(x)) for x in classes.values()}) == len(classes)
+
+
+def test_fingerprints_of_short_texts_keep_likeness(spark):
+    """The first code points are cut finely: a text of one short paragraph shares units with its half-edited self."""
+    import re
+
+    from quantloom.llm.fingerprints import fingerprints
+
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcdefgh éß") for _ in range(n)) for n in (10, 70, 100, 127, 128, 129, 200, 255, 700)] + ["short\nlines\n" * 30, "", None]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), unit=128, head=128).collect()}
+    units = lambda t: set(re.findall("[^\n]{1,32}", t[:128])) | set(re.findall("[^\n]{1,128}", t[128:]))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    order = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert abs(got[i].near_edited - like(units(t), units(edited))) < 1e-12 and abs(got[i].near_next - like(units(t), units(after))) < 1e-12
+        assert got[i].near_edited > 0 or len(t) < 64
