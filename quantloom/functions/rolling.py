@@ -18,9 +18,15 @@ def over(w: int | None = None) -> str:
     return f"(PARTITION BY {', '.join(GROUPS)} ORDER BY timestamp{rows})"
 
 
-def full(agg: Callable[[str], Column], x: str, w: int) -> Column:
-    """An aggregate function of functions, over the last w values of the column x."""
-    return F.expr(f"CASE WHEN count({x}) OVER {over(w)} = {w} THEN {agg.__name__}({x}) OVER {over(w)} END")
+def full(agg: Callable[[str], Column], x: str, w: int, counted: str | None = None) -> Column:
+    """An aggregate function of functions, over the last w values of the column x. counted: a column of how many values of x the
+    market has had so far (`had`), so that the window need not be counted anew for each bar."""
+    count = f"count({x}) OVER {over(w)}" if counted is None else f"{counted} - coalesce(lag({counted}, {w}) OVER {over()}, 0)"
+    return F.expr(f"CASE WHEN {count} = {w} THEN {agg.__name__}({x}) OVER {over(w)} END")
+
+
+def had(x: str) -> Column:
+    return F.expr(f"count({x}) OVER (PARTITION BY {', '.join(GROUPS)} ORDER BY timestamp ROWS UNBOUNDED PRECEDING)")
 
 
 def lag(x: str | Column, k: int = 1) -> Column:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.rolling import correlation, divided, full, lag, with_ewm
+from quantloom.functions.rolling import correlation, divided, full, had, lag, with_ewm
 from quantloom.operators.prepare import clean_ohlcv, require_complete_grid
 from quantloom.schemas import GROUPS
 
@@ -44,8 +44,8 @@ def per_bar(frame: DataFrame) -> DataFrame:
     })
 
 
-def windowed(family: str, w: int) -> Column:
-    """A windowed formula at the current bar, over per_bar's columns."""
+def windowed(family: str, w: int, full: Callable[[Callable, str, int], Column]) -> Column:
+    """A windowed formula at the current bar, over per_bar's columns; full gives an aggregate of a full window."""
     c = _c("close")
     if family in ("momentum", "log_momentum", "efficiency_ratio"):
         past = lag("close", w)
@@ -128,7 +128,17 @@ def compute_factors(frame: DataFrame, specs: Sequence[tuple[str, int | None]], c
     if prior:
         rows = rows.withColumns(prior)
         rows = rows.withColumns({k: lag(k) for k in prior})
-    raw = rows.select(*keys, "_own", *((windowed(f, w) if w is not None else bar_shape(f)).alias(f"_{n}") for (f, w), n in zip(specs, names, strict=True)))
+    shared: dict[tuple[str, int, str], Column] = {}
+
+    def once(agg: Callable, x: str, w: int) -> Column:
+        """An aggregate that several formulas may share, as a column of its own."""
+        shared[x, w, agg.__name__] = full(agg, x, w, f"_had_{x}")
+        return F.col(f"_of_{x}_{w}_{agg.__name__}")
+
+    formulas = [(windowed(f, w, once) if w is not None else bar_shape(f)).alias(f"_{n}") for (f, w), n in zip(specs, names, strict=True)]
+    if shared:
+        rows = rows.withColumns({f"_had_{x}": had(x) for x, _, _ in shared}).withColumns({f"_of_{x}_{w}_{a}": v for (x, w, a), v in shared.items()})
+    raw = rows.select(*keys, "_own", *formulas)
     own = [_c(c) if c in keys else _c(f"_own.{c}").alias(c) for c in columns]
     return raw.select(*own, *(F.expr(f"CASE WHEN abs(_{n}) < double('Infinity') THEN _{n} END").alias(n) for n in names))  # NaN is over all numbers
 
