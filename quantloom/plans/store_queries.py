@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import zipfile
 
 import pandas as pd
@@ -17,7 +18,7 @@ from quantloom.plans.registry import query
 from quantloom.schemas import SCHEMAS
 from quantloom.sources.archive_source import archive_bars
 from quantloom.sources.feed import read_log
-from quantloom.sources.store import BucketedPanel, scratch_root
+from quantloom.sources.store import BucketedPanel, damaged_files, manifest, scratch_root, write_artifact
 from quantloom.streaming.checkpoints import CheckpointSink
 
 # JSON of a row by hand, as the engine writes it.
@@ -183,3 +184,20 @@ def feed_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_log(spark, root).withColumn("source", F.col("connection_id"))
     counts = book.session_counts(read)
     return counts.where("epoch > 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("messages", "updates", "errors")), F.count("*").alias("connections"))
+
+
+MANIFEST_REQUEST = {"months": [1, 2], "table": "orders"}
+
+
+@query(f"""WITH r AS (SELECT md5({ORDER_JSON}) AS d FROM orders),
+p AS (SELECT count(*) AS n, sum(CAST(('0x' || substr(d, 1, 15)) AS HUGEINT)) AS low, sum(CAST(('0x' || substr(d, 16, 15)) AS HUGEINT)) AS high FROM r)
+SELECT CAST(n AS BIGINT) AS "rows", sha256('o_custkey bigint|o_orderkey bigint|o_orderstatus string|' || n || '|' || low || '|' || high) AS content_sha256, sha256('{json.dumps(MANIFEST_REQUEST, sort_keys=True)}') AS request_sha256, CAST(0 AS BIGINT) AS damaged FROM p""")
+def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders written twice as one artifact, what its manifest says and how many of its files changed since."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    root = scratch_root(spark, "artifacts")
+    path = write_artifact(rows, root, "orders", MANIFEST_REQUEST)
+    assert write_artifact(rows.repartition(3), root, "orders", MANIFEST_REQUEST) == path
+    told = manifest(spark, path)
+    one = spark.createDataFrame([(told["rows"], told["content_sha256"], told["request_sha256"])], "rows long, content_sha256 string, request_sha256 string")
+    return one.crossJoin(damaged_files(spark, path).agg(F.count("*").alias("damaged")))  # one row each

@@ -75,7 +75,7 @@ class PanelStore:
     def _rows(self, kind: str, versions: DataFrame) -> DataFrame:
         """All rows of some markets' versions; the join prunes the other partitions."""
         rows = self.spark.read.schema(versioned(kind)).parquet(f"{self.root}/{kind}/markets")
-        return rows.join(F.broadcast(versions), [*PARTS[kind], "_v"]).select(*SCHEMAS[kind].fieldNames())  # a row for each market
+        return rows.join(versions, [*PARTS[kind], "_v"]).select(*SCHEMAS[kind].fieldNames())  # Spark broadcasts a list of a proven size
 
     def write(self, kind: str, frame: DataFrame) -> str:
         require_columns(frame, SCHEMAS[kind].fieldNames())
@@ -143,6 +143,11 @@ def write_once(frame: DataFrame, path: str, request: dict) -> None:
     _text(spark, f"{path}.manifest.json", json.dumps(manifest, sort_keys=True))
 
 
+def manifest(spark: SparkSession, path: str) -> dict:
+    """What write_once noted of a dataset."""
+    return json.loads(_text(spark, f"{path}.manifest.json"))
+
+
 def damaged_files(spark: SparkSession, path: str) -> DataFrame:
     """file, problem of the files of a dataset of write_once that changed, went or came since."""
     name = F.regexp_extract("path", "[^/]*$", 0)
@@ -158,7 +163,7 @@ def write_artifact(frame: DataFrame, root: str, name: str, request: dict) -> str
     spark, asked = frame.sparkSession, hashlib.sha256(json.dumps(request, sort_keys=True).encode()).hexdigest()[:12]
     path = f"{root.rstrip('/')}/{name}-{asked}"
     write_once(frame, path, request)
-    digest = json.loads(_text(spark, f"{path}.manifest.json"))["content_sha256"]
+    digest = manifest(spark, path)["content_sha256"]
     _text(spark, f"{path}.name", f"{name}-{asked}-{digest[:12]}")
     return path
 

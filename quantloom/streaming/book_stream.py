@@ -37,7 +37,7 @@ class BookProcessor(StatefulProcessor):
     def loaded(self) -> tuple[Session, int]:
         session, errors = Session(self.products), 0
         if self.connection.exists():
-            session.sequence, session.beat, errors, _ = self.connection.get()
+            session.sequence, session.beat, errors, *_ = self.connection.get()
         for (product,), (ready, updates, time, beat) in self.books.iterator():
             book = session.books[product] = Book()
             book.ready, book.updates, book.beat, book.time = ready, updates, beat, time and datetime.fromisoformat(time)
@@ -50,7 +50,7 @@ class BookProcessor(StatefulProcessor):
 
     def stored(self, session: Session, errors: int, before: dict[tuple[str, str], Side]) -> None:
         """Write what differs from the sides loaded before."""
-        self.connection.update((session.sequence, session.beat, errors, False))
+        self.connection.update(self.counters(session, errors))
         for product, book in session.books.items():
             self.books.updateValue((product,), (book.ready, book.updates, book.time and book.time.isoformat(), book.beat))
             for name, side in book.sides.items():
@@ -63,6 +63,9 @@ class BookProcessor(StatefulProcessor):
                     elif self.levels.containsKey(key):
                         self.levels.removeKey(key)
 
+    def counters(self, session: Session, errors: int) -> tuple:
+        return session.sequence, session.beat, errors, False
+
     def forget(self) -> None:
         self.books.clear()
         self.levels.clear()
@@ -88,7 +91,7 @@ class BookProcessor(StatefulProcessor):
         yield pd.DataFrame(out, columns=["connection_id", "product", "updates", "errors", "digest"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, _, errors, _ = self.connection.get()
+        errors = self.connection.get()[2]
         self.forget()
         self.connection.update((None, None, errors, True))
         yield pd.DataFrame([(key[0], None, None, errors, None)], columns=["connection_id", "product", "updates", "errors", "digest"])
@@ -108,5 +111,9 @@ def book_states(log: DataFrame, products: list[str] | None = None, stale_ms: int
     if "RocksDB" not in conf.get(PROVIDER, ""):
         conf.set(PROVIDER, ROCKSDB)
         conf.set(ENCODING, "avro")
+    return stateful(log, BookProcessor(products, stale_ms))
+
+
+def stateful(log: DataFrame, processor: BookProcessor) -> DataFrame:
     keyed = log.where("connection_id is not null").groupBy("connection_id")
-    return keyed.transformWithStateInPandas(BookProcessor(products, stale_ms), OUT, "Update", "None" if stale_ms is None else "ProcessingTime")
+    return keyed.transformWithStateInPandas(processor, OUT, "Update", "None" if processor.stale_ms is None else "ProcessingTime")

@@ -241,6 +241,33 @@ def test_stream_equals_batch_after_a_restart(spark, tmp_path):
     assert (last.updates, last.errors, last.digest) == (want.updates, want.errors, want.digest) and want.errors > 0
 
 
+def test_a_state_of_an_older_schema_is_read_on(spark, tmp_path):
+    """A field added at the end of a state's schema is null for what was stored before."""
+    from quantloom.sources.feed import read_log, stream_log
+    from quantloom.streaming.book_stream import BOOK, BookProcessor, book_states, stateful
+
+    class Older(BookProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.connection = handle.getValueState("connection", "sequence long, beat long, errors long")
+            self.books = handle.getMapState("books", "product string", BOOK)
+            self.levels = handle.getMapState("levels", "product string, side string, price string", "size string")
+
+        def counters(self, session, errors):
+            return session.sequence, session.beat, errors
+
+    folder, found = tmp_path / "log", []
+    folder.mkdir()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.encodingFormat", "avro")
+    for k, make in enumerate((lambda log: stateful(log, Older()), book_states)):
+        (folder / f"{k}.jsonl").write_text("\n".join(feed_lines(20, first=20 * k)) + "\n")
+        flow = make(stream_log(spark, str(folder), 1)).writeStream.outputMode("update").foreachBatch(lambda batch, _: found.extend(batch.collect()))
+        flow.option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(200)
+    want = book.final_states(read_log(spark, str(folder)).withColumn("source", F.lit("one"))).first()
+    assert len(found) == 2 and (found[-1].updates, found[-1].errors, found[-1].digest) == (want.updates, want.errors, want.digest)
+
+
 def test_a_silent_connection_goes_stale(spark, tmp_path):
     import time
 
