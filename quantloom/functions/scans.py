@@ -20,28 +20,26 @@ def span_of(x: str | Column, width: int) -> Column:
     return F.floor((F.col(x) if isinstance(x, str) else x) / F.lit(width)).cast("long")
 
 
-def same(columns: Sequence[str], prefix: str) -> Column:
-    """Equality of columns with their copies of another name; nulls are equal."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & F.col(c).eqNullSafe(F.col(prefix + c))
-    return out
-
-
 def with_carried(rows: DataFrame, carried: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """rows with the other columns of carried, a row for each key and segment at most."""
+    """rows with the other columns of carried, a row for each key and segment at most. Rows that are dealt out by these columns
+    already are not moved; null keys meet nothing."""
     named = carried.withColumnsRenamed({c: f"_of_{c}" for c in columns})
-    return rows.join(named, same(columns, "_of_"), "left").drop(*(f"_of_{c}" for c in columns))
+    on = F.lit(True)
+    for c in columns:
+        on = on & (F.col(c) == F.col(f"_of_{c}"))
+    return rows.join(named, on, "left").drop(*(f"_of_{c}" for c in columns))
 
 
 def running_sums(frame: DataFrame, keys: Sequence[str], segments: dict[str, Column], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """frame with the running sum, own row included, of each column of sums over a key's rows by segments, then order.
 
     order must tell a segment's rows apart, or rows of equal order come in any order. Null values add nothing; a sum without
-    any value is 0. Sums of integers are exact.
+    any value is 0. Sums of integers are exact. Null keys are one key.
     """
-    frame = frame.withColumns({f"_seg_{k}": v for k, v in segments.items()})
-    own, place = [*keys, *(f"_seg_{k}" for k in segments)], [f"_seg_{k}" for k in segments]
+    # A struct of a null is equal to itself, so that one partitioning serves windows and join.
+    frame = frame.withColumns({f"_key_{k}": F.struct(k) for k in keys} | {f"_seg_{k}": F.struct(v) for k, v in segments.items()})
+    place, keys = [f"_seg_{k}" for k in segments], [f"_key_{k}" for k in keys]
+    own = [*keys, *place]
     zero = {k: F.coalesce(v, F.lit(0)) for k, v in sums.items()}
     totals = frame.groupBy(*own).agg(*(F.sum(v).alias(f"_sum_{k}") for k, v in zero.items()))
     earlier = Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
@@ -49,7 +47,7 @@ def running_sums(frame: DataFrame, keys: Sequence[str], segments: dict[str, Colu
     inside = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = frame.withColumns({k: F.sum(v).over(inside) for k, v in zero.items()})
     out = with_carried(local, carried, own)
-    return out.withColumns({k: F.col(k) + F.coalesce(f"_had_{k}", F.lit(0)) for k in sums}).drop(*place, *(f"_had_{k}" for k in sums))
+    return out.withColumns({k: F.col(k) + F.coalesce(f"_had_{k}", F.lit(0)) for k in sums}).drop(*own, *(f"_had_{k}" for k in sums))
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, width: int, ties: Sequence[str] = (), name: str = "found") -> DataFrame:
@@ -90,7 +88,7 @@ NEGLIGIBLE = 1e-26
 
 def with_recursive_means(frame: DataFrame, column: str, spans: Sequence[int], keys: Sequence[str], time: str, width: int) -> DataFrame:
     """frame with ewm_<s> for each span s: y = y_before + 2 / (s + 1) * (x - y_before) from the first value on, null for the
-    first s - 1 values. Null values leave the mean as it is and have none. Rows of a key must differ in time.
+    first s - 1 values. Null values leave the mean as it is and have none. Rows of a key must differ in time, keys are not null.
 
     With r = 1 - 2 / (s + 1), the weighted sum of the last 2n values is that of the last n, plus r**n times the one n rows
     before: so a sum doubles its reach with each lag, in one window of a segment of width microseconds. A segment's row number

@@ -95,3 +95,22 @@ def test_one_market_runs_in_several_tasks(spark):
         want = close.ewm(span=s, adjust=False, min_periods=s).mean()
         assert (got[f"ewm_{s}"].isna().to_numpy() == want.isna().to_numpy()).all()
         assert pd.Series(got[f"ewm_{s}"].to_numpy() - want.to_numpy()).abs().max() < 1e-10
+
+
+def test_large_sides_are_dealt_once(spark):
+    """Without broadcasts the rows go through one exchange: windows and the join that carries values in share it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).select(F.lit("a").alias("key"), F.timestamp_seconds("id").alias("t"), "id")
+        sums = running_sums(rows, ["key"], {"s": span_of("id", 100)}, ["id"], {"n": F.lit(1)})
+        means = with_recursive_means(rows, "id", (6,), ["key"], "t", 100_000_000)
+        met = asof_join(rows, rows.withColumnRenamed("id", "r"), ["key"], "t", "t", 100_000_000, ["r"])
+        for frame, column, last in ((sums, "n", 1000), (means, "ewm_6", None), (met, "found.r", 999)):
+            assert frame.count() == 1000 and (last is None or frame.agg(F.max(column)).first()[0] == last)
+            plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            big = plan[plan.index("SortMergeJoin") :]
+            left = big[: big.index("\n", big.index("Exchange"))]
+            assert left.count("Exchange") == 1 and "Window" in left, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
