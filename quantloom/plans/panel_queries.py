@@ -410,22 +410,30 @@ def book_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.count_if(quality.invalid_level()).alias("invalid_levels"))
 
 
+def book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as order-book levels; sizes over 45 are unknown."""
+    return level_rows(spark, sf_dir).select("exchange", "symbol", "observed_at", "side", F.col("l_linenumber").cast("long").alias("level"), "price", F.when(F.col("size") <= 45, F.col("size")).alias("size"))
+
+
 @query(f"""WITH {BOOK_SQL}, n AS (SELECT *, CASE WHEN size > 45 THEN NULL ELSE size END AS own, l_linenumber AS level FROM k),
 c AS (SELECT symbol, t, max(CASE WHEN side = 'bid' THEN price END) AS b, min(CASE WHEN side = 'ask' THEN price END) AS a FROM n GROUP BY 1, 2)
 SELECT CAST(count(*) AS BIGINT) AS "rows", CAST(count(*) FILTER (WHERE own IS NULL) AS BIGINT) AS null_values, CAST(count(*) - count(DISTINCT (symbol, t, side, level)) AS BIGINT) AS duplicate_rows,
   CAST(count(*) FILTER (WHERE own IS NULL OR price <= 0 OR own <= 0) AS BIGINT) AS invalid_levels, CAST((SELECT count(*) FROM c WHERE b IS NULL OR a IS NULL OR b >= a) AS BIGINT) AS crossed_snapshots, CAST(0 AS INTEGER) AS ok FROM n""")
 def book_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of order books; sizes over 45 are unknown."""
-    rows = level_rows(spark, sf_dir).select("exchange", "symbol", "observed_at", "side", F.col("l_linenumber").cast("long").alias("level"), "price", F.when(F.col("size") <= 45, F.col("size")).alias("size"))
-    return quality.assess_orderbook(rows).drop("issues").withColumn("ok", F.col("ok").cast("int"))
+    return quality.assess_orderbook(book_rows(spark, sf_dir)).drop("issues").withColumn("ok", F.col("ok").cast("int"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(count(*) FILTER (WHERE event_id % 10 = 0) AS BIGINT) AS null_values, CAST(count(*) - count(DISTINCT (event_type, ts)) AS BIGINT) AS duplicate_rows, CAST(count(*) FILTER (WHERE event_id % 10 = 0) AS BIGINT) AS invalid_rates FROM events")
-def funding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def funding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as funding rates, one in ten of which is unknown."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     rate = F.when(F.col("event_id") % 10 != 0, F.col("value"))
-    rows = rows.select(F.lit("events").alias("exchange"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("timestamp"), rate.alias("funding_rate"), F.col("ts").cast("timestamp").alias("observed_at"))
-    return quality.assess_funding(rows).drop("issues", "ok")
+    return rows.select(F.lit("events").alias("exchange"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("timestamp"), rate.alias("funding_rate"), F.col("ts").cast("timestamp").alias("observed_at"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(count(*) FILTER (WHERE event_id % 10 = 0) AS BIGINT) AS null_values, CAST(count(*) - count(DISTINCT (event_type, ts)) AS BIGINT) AS duplicate_rows, CAST(count(*) FILTER (WHERE event_id % 10 = 0) AS BIGINT) AS invalid_rates FROM events")
+def funding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess_funding(funding_rows(spark, sf_dir)).drop("issues", "ok")
 
 
 EPOCH_SQL = """l AS (SELECT user_id AS source, event_id AS line, CASE WHEN event_type = 'login' OR event_id % 11 = 0 THEN 'connection_start' ELSE 'message' END AS event FROM events),

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.digest import content_parts
-from quantloom.operators import book, inventory
+from quantloom.operators import book, inventory, quality
+from quantloom.operators.prepare import same_rows
+from quantloom.plans import panel_queries, registry
 from quantloom.plans.panel_queries import FEED_SQL, feed_log, observations, t_ms
 from quantloom.plans.registry import query
 from quantloom.schemas import SCHEMAS
 from quantloom.sources.archive_source import archive_bars
 from quantloom.sources.feed import read_log
-from quantloom.sources.store import BucketedPanel, damaged_files, manifest, scratch_root, write_artifact
+from quantloom.sources.store import BucketedPanel, damaged_files, manifest, scratch_root, write_artifact, write_report
 from quantloom.streaming.checkpoints import CheckpointSink
 
 # JSON of a row by hand, as the engine writes it.
@@ -201,3 +203,28 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = manifest(spark, path)
     one = spark.createDataFrame([(told["rows"], told["content_sha256"], told["request_sha256"])], "rows long, content_sha256 string, request_sha256 string")
     return one.crossJoin(damaged_files(spark, path).agg(F.count("*").alias("damaged")))  # one row each
+
+
+def _issues(*metrics: str) -> str:
+    cases = ", ".join(f"CASE WHEN {m} > 0 THEN '{m}:' || {m} END" for m in metrics)
+    return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"""SELECT 'orderbook' AS kind, "rows", {_issues('null_values', 'duplicate_rows', 'invalid_levels', 'crossed_snapshots')} AS issues FROM ({registry.ORACLE['book_assessment']})
+UNION ALL SELECT 'funding', "rows", {_issues('null_values', 'duplicate_rows', 'invalid_rates')} FROM ({registry.ORACLE['funding_quality']})""")
+def quality_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of two kinds of tables, each written as a JSON report and read back."""
+    root, out = scratch_root(spark, "reports"), []
+    for kind, rows in (("orderbook", panel_queries.book_rows(spark, sf_dir)), ("funding", panel_queries.funding_rows(spark, sf_dir))):
+        write_report(quality.assess(kind, rows), f"{root}/{kind}")
+        out.append(spark.read.json(f"{root}/{kind}").select(F.lit(kind).alias("kind"), "rows", "issues"))
+    return out[0].union(out[1])
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders), b AS (SELECT * FROM a UNION ALL SELECT * FROM a WHERE o_orderkey % 500 = 0), c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 700 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM a)
+SELECT 'same' AS case_name, 1 AS equal UNION ALL SELECT 'repeated', CAST((SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) = 0 AS INTEGER) UNION ALL SELECT 'changed', CAST((SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM c)) = 0 AS INTEGER)""")
+def frame_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the orders equal themselves in another order, with rows repeated, and with values lost."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    cases = {"same": rows.repartition(5).select("o_orderstatus", "o_orderkey"), "repeated": rows.union(rows.where("o_orderkey % 500 = 0")), "changed": rows.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 700 != 0, F.col("o_orderstatus")))}
+    return spark.createDataFrame([(name, int(same_rows(rows, other))) for name, other in cases.items()], "case_name string, equal int")
