@@ -224,8 +224,18 @@ class Shard:
         return ids[best], points[best]
 
 
-#: Shards and queries are numbered from 0 to NUMBERS - 1.
-NUMBERS = 1 << 30
+#: Shards are numbered in so many groups by hash of their names.
+GROUPS = 1 << 10
+
+
+def shard_numbers(index: DataFrame) -> DataFrame:
+    """(shard, number): numbers from 0 without gaps. Names are counted inside a group; only the groups' totals are counted in
+    one task."""
+    named = index.select("shard", F.pmod(F.xxhash64("shard"), F.lit(GROUPS)).alias("group"))
+    earlier = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # at most GROUPS rows
+    offsets = named.groupBy("group").count().select(F.col("group").alias("of"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    placed = named.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("shard")) - 1)
+    return materialize(placed.join(F.broadcast(offsets), F.col("group") == F.col("of")).select("shard", (F.col("before") + F.col("place")).cast("int").alias("number")), "shard-numbers")
 
 
 def asked_in(path: str) -> Iterator[pa.RecordBatch]:
@@ -239,8 +249,7 @@ def asked_in(path: str) -> Iterator[pa.RecordBatch]:
 
 def search_shards(index: DataFrame, queries: str, mean: float, top: int, shards: int, home: bool) -> DataFrame:
     """(query_id, doc_id, points) of the index's shards for the queries' table at a path: of each query's home shards, or of
-    the others. Shards and queries have a number by hash; about the root of the shards' number, those that follow a query's
-    number, are its home.
+    the others. The root of the shards' number of them, those that follow a query's own number, are its home.
 
     Each shard reads the queries in batches, so that they are neither copied by a shuffle nor held whole.
     """
@@ -253,7 +262,7 @@ def search_shards(index: DataFrame, queries: str, mean: float, top: int, shards:
                 for asked in asked_in(queries):
                     query, chosen, threshold = (np.asarray(asked.column(c)) for c in ("doc_id", "home", "threshold"))
                     out: list[tuple[int, np.ndarray, np.ndarray]] = []
-                    for r in np.flatnonzero(((number - chosen) % NUMBERS < NUMBERS * isqrt(shards) // shards) == home).tolist():
+                    for r in np.flatnonzero(((number - chosen) % shards < isqrt(shards)) == home).tolist():
                         terms, idf = (np.asarray(asked.column(c)[r].values) for c in ("terms", "idf"))
                         found, points = shard.search(query[r], terms.view(U64), idf, threshold[r], top)
                         if len(found):
@@ -289,9 +298,9 @@ def top_documents(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
     df = document_counts(index).join(spec.select("term").distinct(), "term", "left_semi")
     idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     spec = spec.join(df, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
-    asked = spec.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(NUMBERS)).alias("home"), "t.term", "t.idf").toDF("doc_id", "home", "terms", "idf")
+    asked = spec.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("home"), "t.term", "t.idf").toDF("doc_id", "home", "terms", "idf")
     first = written(asked.withColumn("threshold", F.lit(0.0)), "queries")
-    index = index.withColumn("number", F.pmod(F.xxhash64("shard"), F.lit(NUMBERS)))
+    index = index.join(shard_numbers(index), "shard")  # Spark broadcasts the numbers while their size allows it
     seen = materialize(search_shards(index, first, mean, top, max(1, shards), True), "home-results")
     order = Window.partitionBy("query_id").orderBy(F.col("points").desc(), "doc_id")
     least = seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == top).select("query_id", F.col("points").alias("least"))
