@@ -95,7 +95,8 @@ def performance(curve: DataFrame, keys: tuple[str, ...] = GROUPS, cash: float =
 def scan_thresholds(frame: DataFrame, factor: str, thresholds: list[float], fee: float = FEE, slippage: float = SLIPPAGE, funding: float = 0.0, latency: int = 0) -> DataFrame:
     """For each threshold, all-in: long from factor > threshold until factor <= threshold; an open trade is marked.
 
-    Closed trades multiply the equity by C_x (1 - s)(1 - f) / (C_e (1 + s)(1 + f)). Nulls neither enter nor exit.
+    Closed trades multiply the equity by C_x (1 - s)(1 - f) / (C_e (1 + s)(1 + f)). Nulls neither enter nor exit. Two bars of a
+    market at one time raise in the plan.
     """
     if fee is None or slippage is None or funding or latency:
         raise ValueError("costs must be given; funding and latency are not modelled")
@@ -105,7 +106,8 @@ def scan_thresholds(frame: DataFrame, factor: str, thresholds: list[float], fee:
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = frame.select(*GROUPS, "timestamp", "close", factor, levels)
     event = F.when(F.col(factor) > F.col("threshold"), 1).when(F.col(factor) <= F.col("threshold"), 0)
-    rows = rows.withColumn("_e", event).withColumn("pos", F.coalesce(F.last("_e", True).over(past), F.lit(0)))
+    again = F.lag("timestamp").over(w) == F.col("timestamp")
+    rows = rows.withColumn("_e", F.when(again, F.raise_error(F.lit("two bars of a market at one time"))).otherwise(event)).withColumn("pos", F.coalesce(F.last("_e", True).over(past), F.lit(0)))
     before = F.coalesce(F.lag("pos").over(w), F.lit(0))
     rows = rows.withColumns({"_buy": (F.col("pos") == 1) & (before == 0), "_sell": (F.col("pos") == 0) & (before == 1)})
     step = F.when(F.col("_buy"), -F.ln("close") - F.lit(log((1 + slippage) * (1 + fee)))).when(F.col("_sell"), F.ln("close") + F.lit(log((1 - slippage) * (1 - fee))))

@@ -213,6 +213,15 @@ def test_p_values_outside_their_range_raise(spark):
             stats.adjust_pvalues(spark.createDataFrame([("f", 0.5), ("f", p)], "family string, p double"), "bonferroni", ["family"]).collect()
 
 
+def test_a_scan_needs_unique_times(spark):
+    from quantloom.operators.simulate import scan_thresholds
+
+    rows = panel(spark, [("a", 1, 1.0, 1), ("a", 2, 2.0, 1)]).withColumn("x", F.lit(0.5))
+    assert scan_thresholds(rows, "x", [0.0]).count() == 1
+    with pytest.raises(Exception, match="at one time"):
+        scan_thresholds(rows.union(rows.limit(1)), "x", [0.0]).collect()
+
+
 def feed_lines(n, connection="c1", first=0):
     level = lambda side, p, q: {"side": side, "price_level": str(p), "new_quantity": str(q)}
     out = []
