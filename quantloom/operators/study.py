@@ -74,7 +74,7 @@ def walk_forward(frame: DataFrame, factors: Sequence[str], train: int, test: int
         raise ValueError("the embargo must cover the horizon")
     times = frame.select("timestamp").distinct().count()
     folds = time_folds(times, train, test, embargo)
-    ics = fold_ics(frame, factors, folds, horizon, min_assets)
+    ics = written(fold_ics(frame, factors, folds, horizon, min_assets), "fold-ics")
     trained, tested = ics.where("phase = 'train'"), ics.where("phase = 'test'")
     p = block_bootstrap(trained, ["fold", "factor"], "ic", "timestamp", block, resamples, seed)
     summary = adjust_pvalues(summarize_ic(trained, ["fold", "factor"]).join(p, ["fold", "factor"]), method, ["fold"])
@@ -84,14 +84,16 @@ def walk_forward(frame: DataFrame, factors: Sequence[str], train: int, test: int
 
 
 def factor_study(frame: DataFrame, factors: Sequence[str], train: int, test: int, holdout: float = 0.2, **kwargs) -> DataFrame:
-    """The walk-forward table over development times, and the last fold's choice evaluated once on the sealed holdout."""
+    """The walk-forward table over development times, and the last fold's choice evaluated once on the sealed holdout. The
+    factors are computed once: the panel is written, with the columns that the study needs alone."""
+    frame = written(frame.select(*GROUPS, "timestamp", "close", *factors), "study-panel")
     rows = numbered(frame, "_n")
     times = frame.select("timestamp").distinct().count()
     sealed = times - holdout_times(times, test, holdout)
     table = written(walk_forward(rows.where(F.col("_n") < sealed).drop("_n"), factors, train, test, **kwargs), "walk-forward")
-    last = table.agg(F.max("fold")).first()[0]
-    row = table.where((F.col("fold") == last) & F.col("selected")).select("factor").first()
-    if row is None:
+    choice = F.max_by(F.struct("fold", F.when(F.col("selected"), F.col("factor")).alias("factor")), F.struct("fold", F.col("selected").cast("int")))
+    last, *row = table.agg(choice.alias("last")).select("last.*").first()
+    if row == [None]:
         return table.withColumn("holdout_ic", F.lit(None).cast("double"))
     fold = {"fold": 0, "train_start": 0, "train_end": 0, "test_start": sealed, "test_end": times}
     sealed_ic = summarize_ic(fold_ics(frame, [row[0]], [fold], kwargs.get("horizon", 1), kwargs.get("min_assets", 3)).where("phase = 'test'"), ["factor"])
