@@ -65,3 +65,27 @@ def test_alignment_of_bars_with_a_price_of_nought(spark, tmp_path, name):
     assert len(got) == len(want) and got.close.isna().any()
     for c in columns:
         assert (got[c].isna() == want[c].isna()).all() and (got[c].fillna("") == want[c].fillna("")).all(), c
+
+
+def same_as_sql(spark, con, name, events, folder):
+    """The query on a table events made by SQL equals its own SQL there, infinities and nulls too."""
+    con.sql(f"COPY ({events}) TO '{folder}/events.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+    got = [tuple(r) for r in engine.queries()[name](spark, str(folder)).collect()]
+    want = con.sql(engine.oracle_sql()[name]).fetchall()
+    order = lambda rows: sorted(rows, key=lambda r: tuple((x is not None, x) for x in r))
+    assert len(got) == len(want)
+    for a, b in zip(order(got), order(want), strict=True):
+        assert [pytest.approx(y, rel=1e-6, abs=1e-7, nan_ok=True) if isinstance(y, float) else y for y in b] == list(a)
+    return want
+
+
+@pytest.mark.parametrize("name", ("adjust_prices", "align_forward_close", "align_leave_null", "bars_1h", "clean_bars"))
+def test_events_of_an_hours_last_half_millisecond(spark, tmp_path, name):
+    """epoch_ms takes the nearest millisecond, which is the next hour's first."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    late = "date_trunc('hour', ts) + to_microseconds(3600000000 - 1 - CAST(event_id // 40 AS BIGINT))"
+    source = f"SELECT * REPLACE (CASE WHEN event_id % 40 = 7 THEN {late} ELSE ts END AS ts) FROM '/root/testdata/sf0.01/events.parquet'"
+    assert con.sql(f"SELECT count(*) FROM ({source}) WHERE epoch_ms(ts) // 3600000 <> epoch_us(ts) // 3600000000").fetchall() == [(250,)]
+    assert same_as_sql(spark, con, name, source, tmp_path)
