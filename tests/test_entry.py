@@ -80,7 +80,7 @@ def same_as_sql(spark, con, name, events, folder):
     return want
 
 
-@pytest.mark.parametrize("name", ("adjust_prices", "align_forward_close", "align_leave_null", "bars_1h", "clean_bars"))
+@pytest.mark.parametrize("name", ("adjust_prices", "align_forward_close", "align_leave_null", "bars_1h", "bucketed_merge", "clean_bars", "clean_bars_last_observed", "clean_dedup_last", "duplicate_keys", "keyed_merge", "store_merge", "eligibility_calendar"))
 def test_events_of_an_hours_last_half_millisecond(spark, tmp_path, name):
     """epoch_ms takes the nearest millisecond, which is the next hour's first."""
     duckdb = pytest.importorskip("duckdb")
