@@ -243,7 +243,8 @@ def suffix_dedup(docs: DataFrame, least: int = MIN, gram: int = GRAM, with_text:
 def suffix_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: passages of STAGE_MIN bytes or of STAGE_WORDS words or more that occur twice are cut from every text; no
     row goes."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # no column of docs can clash with those added here
-    out = cut_texts(with_spans(packed, STAGE_MIN, STAGE_GRAM, STAGE_WORDS), ["_row", "text"])
     now = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    # No column of docs can clash with those added here, and the text is carried once.
+    packed = docs.select(F.struct(*([c for c in docs.columns if c not in now] or [F.lit(None).alias("none")])).alias("_row"), "text")
+    out = cut_texts(with_spans(packed, STAGE_MIN, STAGE_GRAM, STAGE_WORDS), ["_row", "text"])
     return out.select(*(now.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))

@@ -138,3 +138,23 @@ def test_line_dedup_equals_brute_force(spark):
     got = line_removals(spark.createDataFrame(rows, DOCS)).collect()
     assert Counter(map(tuple, got)) == want and want
     assert line_removals(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_texts_are_cut_in_small_pieces_and_carried_once(spark, monkeypatch):
+    """A task holds few rows of a large batch as Python objects, and the stage's shuffle has each text once."""
+    import pyarrow as pa
+
+    from quantloom.llm import spans, suffix_dedup as module
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["n"])
+    assert max(p.num_rows for p in spans.pieces(iter([batch]))) <= 128 and sum(p.num_rows for p in spans.pieces(iter([batch]))) == 1000
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    column = pa.array([[{"a": 9, "b": 12}], [{"a": 5, "b": 9}, {"a": 0, "b": 2}, {"a": 1, "b": 3}], None, []], kind)
+    assert [(a.tolist(), b.tolist()) for a, b in spans.runs_of(column.slice(1))] == [([0, 5], [3, 9]), ([], []), ([], [])]
+    seen = []
+    plain = module.cut_texts
+    monkeypatch.setattr(module, "cut_texts", lambda rows, columns: seen.append(rows) or plain(rows, columns))
+    docs = spark.createDataFrame([(k, "word " * 90 + str(k), "en", "s", 1) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = module.suffix_dedup_stage(spark, docs, "")
+    assert seen[0].schema["_row"].dataType.names == ["doc_id", "lang", "source"]
+    assert out.columns == docs.columns and {(r.doc_id, r.lang, r.source, r.n_chars == len(r.text)) for r in out.collect()} == {(k, "en", "s", True) for k in range(3)}
