@@ -26,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import HASH_A, HASH_B, U64, binary_column, byte_blocks, discard, materialize, mixed
+from quantloom.llm.common import HASH_A, HASH_B, U64, binary_column, byte_blocks, discard, materialize, mixed, sieved
+from quantloom.llm.passages import shared_passages, sliding_least
 from quantloom.llm.shingles import word_bounds
 from quantloom.llm.spans import cut_texts, removal_report, text_key
 from quantloom.llm.suffix_order import at_depth, suffix_order
@@ -36,17 +37,6 @@ STAGE_MIN, STAGE_GRAM, STAGE_WORDS = 256, 96, 51
 _A, _B = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 
 
-def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every run of so many keys: of prefix minima and suffix minima of blocks."""
-    n = len(keys)
-    padded = np.full(-(-n // width) * width, np.iinfo(U64).max, U64)
-    padded[:n] = keys
-    blocks = padded.reshape(-1, width)
-    before = np.minimum.accumulate(blocks, axis=1).ravel()
-    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(after[: n - width + 1], before[width - 1 : n])
-
-
 def phrases(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """key, i0, i1 (first and last window), at (their trigger), g (its hash), f (hash of the phrase) of docs (key, text)."""
 
@@ -163,10 +153,11 @@ def windows(parts: DataFrame, least: int) -> DataFrame:
     return parts.mapInArrow(scan, "key binary, lo int, w int, e binary, h binary")
 
 
-def repeated_spans(docs: DataFrame, least: int = MIN, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = MIN, gram: int = GRAM, few: bool = False) -> DataFrame:
     """(key, spans array<struct<a, b>>) for the texts of docs (key, text) with strings of least bytes that start elsewhere too.
 
     Spans are byte ranges, not yet merged. A key stands for one text; rows of equal texts are occurrences of it.
+    few: only texts that may have phrases to be sorted are moved to them.
     """
     parse = materialize(phrases(docs, least, gram), "parse")
     # Written first, so that the join with them can split a frequent trigger.
@@ -179,7 +170,7 @@ def repeated_spans(docs: DataFrame, least: int = MIN, gram: int = GRAM) -> DataF
     whole = parse2.join(words.where("n > 1").select("g", "f"), ["g", "f"], "left_semi").select("key", F.col("i0").alias("a"), (F.col("i1") + least).alias("b"))
     unsure = words.join(mixed_g, "g", "left_semi").select("one.*", F.least("n", F.lit(2)).cast("int").alias("w"))
     parts = materialize(unsure.groupBy("key").agg(F.collect_list(F.struct("i0", "i1", "at", "w")).alias("parts")), "unsure")
-    texts = docs.join(parts.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = (sieved(docs, parts, "key") if few else docs).join(parts.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     phrase = materialize(strings(texts.join(parts, "key"), least), "unsure-phrases")
     order = placed(phrase)
     discard(phrase, parts)
@@ -230,14 +221,26 @@ def with_spans(docs: DataFrame, least: int, gram: int, words: int | None = None)
     return keyed.join(materialize(found.withColumnRenamed("key", "_key"), "spans"), "_key", "left")
 
 
-def suffix_dedup(docs: DataFrame, least: int = MIN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, least: int = MIN, gram: int = GRAM, with_text: bool = False, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text left, for every row of docs (doc_id, text).
 
     Removed is each byte that a string of least bytes covers which also starts anywhere else, in the same text included;
     overlapping starts count. Null texts are empty; texts under least bytes lose nothing; rows of equal texts of at least
     that many bytes lose all. Extra columns are ignored.
+
+    words adds n_passage_bytes: the bytes of the text as given in passages of so many words that another row holds too,
+    however few bytes they have. Nothing is removed for it.
     """
-    return removal_report(with_spans(docs.select("doc_id", "text"), least, gram), with_text)
+    docs = docs.select("doc_id", "text")
+    if not words:
+        return removal_report(with_spans(docs, least, gram), with_text)
+    rows = docs.select(text_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    passages = shared_passages(rows, words)  # first, so that its tables are gone when the others are written
+    spans = repeated_spans(rows, least, gram, few=True)
+    both = spans.withColumn("passages", F.lit(None)).unionByName(passages.withColumn("spans", F.lit(None)))
+    both = both.groupBy(F.col("key").alias("_key")).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("spans", "passages")))
+    keyed = docs.withColumn("_key", text_key()).join(materialize(both, "spans"), "_key", "left")
+    return removal_report(keyed, with_text, words)
 
 
 def suffix_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
