@@ -26,11 +26,14 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def keys_sql(text: str, unit: int = UNIT, head: int = 0) -> str:
+def keys_sql(text: str, unit: int = UNIT, head: int = 0, short: int = 0) -> str:
     """Sorted distinct 62-bit digests of a text's units of at most so many code points; its first head code points, if told, are
-    cut into units of a quarter of head, so that short texts have several."""
+    cut into units of a quarter of head, so that short texts have several. Texts of fewer code points than short have units of an
+    eighth of short besides."""
     cut = lambda x, n: f"regexp_extract_all({x}, '[^\\\\n]{{1,{n}}}', 0)"
     units = f"concat({cut(f'substring({text}, 1, {head})', head // 4)}, {cut(f'substring({text}, {head + 1})', unit)})" if head else cut(text, unit)
+    if short:
+        units = f"concat({units}, if(length({text}) < {short}, {cut(text, short // 8)}, cast(array() as array<string>)))"
     return f"sort_array(array_distinct(transform({units}, u -> xxhash64(u) & {KEY_SPACE - 1}L)))"
 
 
@@ -178,7 +181,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     return copied.withColumn("next", F.lead("text").over(order)).where("copy = 0").drop("part", "copy")
 
 
-def compared(docs: DataFrame, unit: int = UNIT, head: int = 0) -> DataFrame:
+def compared(docs: DataFrame, unit: int = UNIT, head: int = 0, short: int = 0) -> DataFrame:
     """fingerprints() with what the sketches' differences hold: near_edited_lost and near_edited_gained, the digests of units
     that only the text and only the edited text has, and near_next_lost and near_next_gained likewise; near_edited_direct and
     near_next_direct count the blocks of a row that sketches could not decide."""
@@ -186,18 +189,18 @@ def compared(docs: DataFrame, unit: int = UNIT, head: int = 0) -> DataFrame:
     rows = with_next(rows).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 2)), substring(next, 1, int(n_chars div 2)))"))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next")
-    rows = once(rows, **{f"{x}_keys": keys_sql(x, unit, head) for x in ("text", "edited", "next")}).drop("text", "edited", "next")
+    rows = once(rows, **{f"{x}_keys": keys_sql(x, unit, head, short) for x in ("text", "edited", "next")}).drop("text", "edited", "next")
     rows = rows.select("*", *(F.expr(blocks_sql(f"size({x}_keys)")).alias(f"{x}_blocks") for x in ("text", "edited", "next")))
     rows = once(rows, **{f"{x}_cells": sketch_sql(f"{x}_keys", f"{x}_blocks") for x in ("text", "edited", "next")})
     rows = with_likeness(with_likeness(rows, "text", "edited", "near_edited"), "text", "next", "near_next")
     return rows.select("doc_id", "n_chars", "edited_sha256", written("text_cells").alias("fingerprint"), written("edited_cells").alias("edited_fingerprint"), "near_edited", "near_next", *(f"near_{x}_{y}" for x in ("edited", "next") for y in ("lost", "gained", "direct")))
 
 
-def fingerprints(docs: DataFrame, unit: int = UNIT, head: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, unit: int = UNIT, head: int = 0, short: int = 0) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs (doc_id, text).
 
     edited is the text with its last floor(n_chars / 2) code points replaced by as many of the next row's (or all), in
     descending doc_id. Null texts are empty; texts without units have equal fingerprints, and likeness 1 to each other.
     Repeated units of a text count once. near_edited and near_next are the likeness to the edited and to the next text.
     """
-    return compared(docs, unit, head).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return compared(docs, unit, head, short).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
